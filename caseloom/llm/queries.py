@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import overlap, splits, top_n
+from caseloom.llm import overlap, splits, top_n, vectors
 from caseloom.session import table
 
 LABELS = ["atelectasis", "cardiomegaly", "consolidation", "device", "edema", "effusion", "fracture", "nodule"]
@@ -42,8 +42,14 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_pairs(spark, d), table(spark, d, "paired_cases"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    views = {"image": "image_embedding", "report": "report_embedding"}
+    near = vectors.most_similar(table(spark, d, "candidate_vectors"), "case_id", views, 5)
+    return near.select("view_name", "case_id", "neighbour_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_report)
+    f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_report, p5_found)
 }
 
 SQL: dict[str, str] = {

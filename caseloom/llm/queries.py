@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import overlap, splits, top_n, vectors
+from caseloom.llm import encode, leaks, overlap, splits, top_n, vectors
 from caseloom.session import table
 
 LABELS = ["atelectasis", "cardiomegaly", "consolidation", "device", "edema", "effusion", "fracture", "nodule"]
@@ -48,8 +48,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select("view_name", "case_id", "neighbour_id")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_report, p5_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_report, p5_found, p6_ids, p7_found)
 }
 
 SQL: dict[str, str] = {

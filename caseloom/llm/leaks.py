@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.session import stored
@@ -19,7 +19,7 @@ WORD = regex.compile(r"[^\W_]+")
 TAG = regex.compile(r"<[!/]?\p{L}[^<>]{0,200}>")
 HIDDEN = regex.compile(r"[\p{Cf}\p{Mn}]+")
 PHRASE = 5  # words of an aligned phrase of an item
-RARE = 3  # rarest terms of a phrase that are looked up in the index
+RARE = 2  # rarest pairs of adjacent words of a phrase that are looked up in the index
 ITEM_WORDS = 2_000_000  # most words of items that one pass broadcasts; more items take more passes
 
 
@@ -58,21 +58,28 @@ def term_positions(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.col(text).cast("string")).mapInArrow(cut, f"`{key}` {kind}, terms array<long>")
 
 
+def adjacent_pairs(terms) -> Column:
+    """Terms of adjacent words: the index is kept over these, as their lists are far shorter than those of single words."""
+    n = F.size(terms) - 1
+    return F.zip_with(F.slice(terms, 1, n), F.slice(terms, 2, n), lambda a, b: F.xxhash64(a, b))
+
+
 def item_phrases(items: DataFrame, frequency: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Phrases of PHRASE successive words at every PHRASE-th position of an item, and their rarest terms.
 
-    Gives (item_id, at, phrase) and (phrase, place, term) with the RARE rarest places of each phrase by
+    Gives (item_id, at, phrase) and (phrase, place, pair) with the RARE rarest pairs of each phrase by
     document frequency. A passage of 20 words with two changes holds an unchanged phrase, as does any
     longer one with one change in ten.
     """
     starts = F.transform(F.sequence(F.lit(0), (F.size("terms") / PHRASE).cast("int") - 1), lambda i: i * PHRASE)
     cut = items.where(F.size("terms") >= PHRASE).select("item_id", "terms", F.explode(starts).alias("at"))
     cut = cut.select("item_id", "at", F.slice("terms", F.col("at") + 1, PHRASE).alias("words")).withColumn("phrase", F.xxhash64("words"))
-    places = cut.select("phrase", "words").dropDuplicates(["phrase"]).select("phrase", F.posexplode("words").alias("place", "term"))
-    ranked = places.join(frequency, "term")  # a term that no document has rules its phrase out
+    places = cut.select("phrase", "words").dropDuplicates(["phrase"])
+    places = places.select("phrase", F.posexplode(adjacent_pairs(F.col("words"))).alias("place", "pair"))
+    ranked = places.join(frequency, "pair")  # a pair that no document has rules its phrase out
     order = Window.partitionBy("phrase").orderBy("df", "place")
     ranked = ranked.withColumn("r", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("phrase")))
-    return cut.select("item_id", "at", "phrase"), ranked.where((F.col("n") == PHRASE) & (F.col("r") <= RARE)).select("phrase", "place", "term")
+    return cut.select("item_id", "at", "phrase"), ranked.where((F.col("n") == PHRASE - 1) & (F.col("r") <= RARE)).select("phrase", "place", "pair")
 
 
 def _reach(a: np.ndarray, b: np.ndarray, most: int) -> list[int]:
@@ -117,9 +124,9 @@ def longest_passage(item: np.ndarray, document: np.ndarray, at: int, start: int,
 def leaked_items(documents: DataFrame, items: DataFrame, least: int = 20, share: float = 0.1) -> DataFrame:
     """(doc_id, item_id, words): every document that holds at least `least` successive words of an item, of which at most `share` is changed, missing or added.
 
-    Documents become lists of positions of terms, stored once. Phrases of the items are looked up by
-    their rarest terms: postings of those terms only, moved back by the term's place in the phrase, are
-    intersected by (document, phrase, start). The places found are then compared with the stored positions,
+    Documents become lists of terms in order of position, stored once; the index's postings are the positions of pairs
+    of adjacent terms. Phrases of the items are looked up by their rarest pairs: postings of those only,
+    moved back by the pair's place in the phrase, are intersected by (document, phrase, start). The places found are then compared with the stored positions,
     exactly for the phrase and by proximity around it. words is the length of the longest passage.
     Whole documents are used; a posting list of any length is spread over tasks, as postings are
     joined to the short list of phrases and combined before they are shuffled. Null or empty texts on
@@ -139,13 +146,15 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = 20, share:
 
 
 def _leaks_of(spark, held: DataFrame, asked: DataFrame, least: int, share: float) -> DataFrame:
-    vocabulary = asked.select(F.explode(F.array_distinct("terms")).alias("term")).distinct()
-    frequency = held.select(F.explode(F.array_distinct("terms")).alias("term")).join(vocabulary, "term", "left_semi")
-    frequency = stored(frequency.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
+    both = F.size("terms") > 1
+    vocabulary = asked.where(both).select(F.explode(adjacent_pairs(F.col("terms"))).alias("pair")).distinct()
+    frequency = held.where(both).select(F.explode(F.array_distinct(adjacent_pairs(F.col("terms")))).alias("pair"))
+    frequency = frequency.join(vocabulary, "pair", "left_semi")
+    frequency = stored(frequency.groupBy("pair").agg(F.count(F.lit(1)).alias("df")), "frequency")
     phrases, rare = item_phrases(asked, frequency)
     phrases, rare = stored(phrases, "phrases"), stored(rare, "rare")
-    postings = held.select("doc_id", F.posexplode("terms").alias("pos", "term"))
-    hits = postings.join(rare, "term").select("doc_id", "phrase", (F.col("pos") - F.col("place")).alias("start")).where("start >= 0")
+    postings = held.where(both).select("doc_id", F.posexplode(adjacent_pairs(F.col("terms"))).alias("pos", "pair"))
+    hits = postings.join(rare, "pair").select("doc_id", "phrase", (F.col("pos") - F.col("place")).alias("start")).where("start >= 0")
     hits = hits.groupBy("doc_id", "phrase", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RARE)
     places = hits.select("doc_id", "phrase", "start").groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "start")).alias("places"))
     rows = {}

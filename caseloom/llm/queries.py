@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import encode, leaks, overlap, splits, top_n, vectors
+from caseloom.llm import encode, leaks, overlap, reading, splits, top_n, vectors
 from caseloom.session import table
 
 LABELS = ["atelectasis", "cardiomegaly", "consolidation", "device", "edema", "effusion", "fracture", "nodule"]
@@ -56,8 +56,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "level_no")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    rated = _levels(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return rated.groupBy("source", "level_no").agg(
+        F.count(F.lit(1)).alias("n_documents"),
+        F.avg("unfamiliar_share").alias("mean_unfamiliar_share"),
+        F.avg("words_per_sentence").alias("mean_words_per_sentence"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_report, p5_found, p6_ids, p7_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_report, p5_found, p6_ids, p7_found, p8_found, p8_profile)
 }
 
 SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import encode, leaks, overlap, reading, splits, top_n, vectors
+from caseloom.llm import answers, encode, leaks, overlap, reading, splits, top_n, vectors
 from caseloom.session import table
 
 LABELS = ["atelectasis", "cardiomegaly", "consolidation", "device", "edema", "effusion", "fracture", "nodule"]
@@ -27,6 +27,12 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_splits(table(spark, d, "paired_cases"), table(spark, d, "duplicate_clusters"), SHARES, LABELS)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    results = table(spark, d, "verifier_results").select(F.col("result_id").alias("record_id"), "qid", "answer")
+    checks = table(spark, d, "evidence_checks").select(F.col("check_id").alias("record_id"), "qid", F.col("revised_answer").alias("answer"))
+    return answers.broken_answers(results.unionByName(checks), table(spark, d, "questions"))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return overlap.cross_split_pairs(
         table(spark, d, "paired_cases"), table(spark, d, "study_splits"), table(spark, d, "duplicate_clusters")
@@ -74,7 +80,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_splits, p4_found, p4_report, p5_found, p6_ids, p7_found, p8_found, p8_profile)
+    f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p6_ids, p7_found, p8_found, p8_profile)
 }
 
 SQL: dict[str, str] = {

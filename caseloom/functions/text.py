@@ -80,8 +80,8 @@ def plain_sentences(value: Column) -> Column:
 
 def numbered_sentences(value: Column) -> Column:
     """Third splitter: '1. ' numbering is protected; breaks at sentence ends, new lines and semicolons."""
-    guarded = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?m)(^|\s)(\d+)\.\s+", "$1$2\u0001 ")
-    parts = F.split(guarded, r"(?<=[.!?])\s+|\n+|;")
+    guarded = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"\b(\d+)\.\s+", "$1\u0001 ")
+    parts = F.split(guarded, r"(?<=[.!?])\s+|[\r\n]+|\s*;\s*")
     return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: s != "")
 
 
@@ -93,24 +93,22 @@ def bounded_sentences(value: Column, maximum: int = 2) -> Column:
     return F.when(F.size(done) == 0, text).otherwise(joined)
 
 
-# Words without content, and the cues of negation or normality.
+# Words without content in evidence checks, and the cues of negation and of normality.
 STOP_WORDS = (
-    "a an and are as at be been but by for from had has have in into is it its of on or that the their there these "
-    "this those to was were which with within"
+    "a an and are as at be by based described evidence for finding findings from has have in indicating is it noted of "
+    "on or report section the there this to was were with within yes"
 ).split()
-NEGATION = (
-    r"(?i)\b(?:no|not|without|absent|negative|clear|normal|unremarkable|resolved|free of|denies|none|never|"
-    r"unchanged|stable)\b"
-)
+NEGATION = r"(?i)\b(?:no|not|without|absent|absence\s+of|negative\s+for|free\s+of|neither|nor|cannot|can't|unable\s+to)\b"
+NORMALITY = r"(?i)\b(?:normal|within\s+normal\s+limits|unremarkable|no\s+acute\s+(?:disease|abnormality))\b"
 
 
 def stemmed(token: Column) -> Column:
-    """Plural endings only: ies -> y, es and s dropped, for tokens longer than four letters."""
+    """Plural endings only: ies gives y, then es (but not ses), then s (but not ss) is dropped, in words long enough."""
     size = F.length(token)
     return (
-        F.when((size > 4) & token.endswith("ies"), F.concat(F.substring(token, 1, size - 3), F.lit("y")))
-        .when((size > 4) & token.endswith("es"), F.substring(token, 1, size - 2))
-        .when((size > 3) & token.endswith("s") & ~token.endswith("ss"), F.substring(token, 1, size - 1))
+        F.when((size > 4) & token.endswith("ies"), F.concat(token.substr(F.lit(1), size - 3), F.lit("y")))
+        .when((size > 4) & token.endswith("es") & ~token.endswith("ses"), token.substr(F.lit(1), size - 2))
+        .when((size > 3) & token.endswith("s") & ~token.endswith("ss"), token.substr(F.lit(1), size - 1))
         .otherwise(token)
     )
 
@@ -122,4 +120,6 @@ def content_tokens(value: Column) -> Column:
 
 
 def contains_negation(value: Column) -> Column:
-    return F.coalesce(value, F.lit("")).rlike(NEGATION)
+    """A cue of negation or of normality."""
+    text = F.coalesce(value, F.lit(""))
+    return text.rlike(NEGATION) | text.rlike(NORMALITY)

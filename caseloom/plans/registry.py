@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from caseloom.plans import evaluation, retrieval, text
+
+QUERIES = text.QUERIES | retrieval.QUERIES | evaluation.QUERIES
+SQL = text.SQL | retrieval.SQL | evaluation.SQL

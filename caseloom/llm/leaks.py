@@ -124,6 +124,8 @@ def longest_passage(item: np.ndarray, document: np.ndarray, at: int, start: int,
 def leaked_items(documents: DataFrame, items: DataFrame, least: int = 20, share: float = 0.1) -> DataFrame:
     """(doc_id, item_id, words): every document that holds at least `least` successive words of an item, of which at most `share` is changed, missing or added.
 
+    Words changed at the ends of a passage count as part of it: 18 unchanged words can be a passage of 20.
+
     Documents become lists of terms in order of position, stored once; the index's postings are the positions of pairs
     of adjacent terms. Phrases of the items are looked up by their rarest pairs: postings of those only,
     moved back by the pair's place in the phrase, are intersected by (document, phrase, start). The places found are then compared with the stored positions,

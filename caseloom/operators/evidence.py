@@ -71,13 +71,15 @@ def revised_answers(checks: DataFrame, key: str) -> DataFrame:
 def verifier_action(draft: Column, checks: Column, policy: Column, contradiction: float = 0.5) -> Column:
     """struct<answer, n_accepted, n_rejected, abstained, revised> after a policy over sentence checks.
 
-    sentence_filter keeps supported sentences; contradiction_only drops those contradicted at or above
-    the threshold; audit_only keeps the draft as it is (and abstains only without checks).
+    sentence_filter keeps supported sentences; contradiction_only keeps those of consistent polarity that are
+    contradicted below the threshold; audit_only keeps the draft (and abstains only without checks).
     """
-    kept = F.filter(checks, lambda s: F.when(policy == "sentence_filter", s["supported"]).when(policy == "contradiction_only", s["contradiction_probability"] < contradiction).otherwise(F.lit(True)))
+    fair = lambda s: s["negation_consistent"] & (s["contradiction_probability"] < contradiction)
+    kept = F.filter(checks, lambda s: F.when(policy == "sentence_filter", s["supported"]).when(policy == "contradiction_only", fair(s)).otherwise(F.lit(True)))
     n, k = F.size(checks), F.size(kept)
-    text = F.when(policy == "audit_only", draft).otherwise(F.array_join(F.transform(kept, lambda s: s["sentence"]), " "))
-    return F.struct(text.alias("answer"), k.alias("n_accepted"), (n - k).alias("n_rejected"), (k == 0).alias("abstained"), ((policy != "audit_only") & (k < n)).alias("revised"))
+    said = F.when(k > 0, F.array_join(F.transform(kept, lambda s: s["sentence"]), " ")).otherwise(F.lit(INSUFFICIENT))
+    text = F.when(policy == "audit_only", draft).otherwise(said)
+    return F.struct(text.alias("answer"), k.alias("n_accepted"), (n - k).alias("n_rejected"), (k == 0).alias("abstained"), (F.trim(text) != F.trim(draft)).alias("revised"))
 
 
 def adaptive_choice(base_top: Column, base_margin: Column, base_score: Column, other_top: Column, other_margin: Column, other_threshold: float, base_threshold: float, minimum_base: float = 0.0) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import normalized_key
-from caseloom.operators import cohorts, evidence, metrics
+from caseloom.operators import cohorts, evidence, metrics, relevance
 from caseloom.plans.text import S
 from caseloom.session import table
 
@@ -154,10 +154,47 @@ def latest_answers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("result_id", "qid", "study_id", "abstained", F.unix_micros("created_at").alias("created_us"))
 
 
+def claim_polarities(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "verifier_results").select("result_id", "answer", "action_policy").dropDuplicates(["result_id"])
+    return rows.groupBy("action_policy", relevance.claim_polarity(F.col("answer")).alias("polarity")).agg(F.count(F.lit(1)).alias("n_answers"))
+
+
+def answer_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by whether the question could be answered and whether they abstained: counts and rates per policy."""
+    said = table(spark, d, "verifier_results").select("result_id", "qid", "action_policy", "abstained").dropDuplicates(["result_id"])
+    asked = table(spark, d, "questions").groupBy("qid").agg(F.min("is_answerable").alias("is_answerable"))
+    rows = said.join(asked, "qid")
+    n = lambda c: F.count_if(c)
+    yes, quiet = F.col("is_answerable"), F.col("abstained")
+    out = rows.groupBy("action_policy").agg(n(yes & ~quiet).alias("tp"), n(~yes & quiet).alias("tn"), n(~yes & ~quiet).alias("fp"), n(yes & quiet).alias("fn"))
+    f1 = metrics.f1_of(F.col("tp"), F.col("fp"), F.col("fn"))
+    false = F.coalesce(F.try_divide(F.col("fp").cast("double"), F.col("fp") + F.col("tn")), F.lit(0.0))
+    return out.withColumn("answerable_f1", F.round(f1, 6)).withColumn("false_answer_rate", F.round(false, 6))
+
+
+def confusion_by_reason(spark: SparkSession, d: str) -> DataFrame:
+    """Decision reasons against support, pivoted."""
+    return sentence_checks(spark, d).groupBy("decision_reason").pivot("supported", [True, False]).count().fillna(0).select("decision_reason", F.col("true").alias("supported"), F.col("false").alias("unsupported"))
+
+
+def support_by_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Sweep of decision thresholds: share of sentences kept, and share of the kept ones that are supported."""
+    rows = sentence_checks(spark, d).select("combined_support_score", "supported")
+    sums = [F.struct(F.lit(t).alias("threshold"), F.count_if(F.col("combined_support_score") >= t).alias("kept"), F.count_if((F.col("combined_support_score") >= t) & F.col("supported")).alias("right")) for t in (0.3, 0.4, 0.5, 0.55, 0.6, 0.7)]
+    wide = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("cells"))
+    return wide.select("n", F.explode("cells").alias("c")).select("c.threshold", F.round(F.col("c.kept") / F.col("n"), 6).alias("coverage"), F.round(F.coalesce(F.try_divide(F.col("c.right").cast("double"), F.col("c.kept")), F.lit(0.0)), 6).alias("precision"))
+
+
+def cluster_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edge counts of listed clusters, once per cluster and member."""
+    rows = table(spark, d, "duplicate_clusters").select("cluster_id", F.upper(F.regexp_replace("case_id", r"^\s+|\s+$", "")).alias("case_id"), "exact_text_edges", "near_text_edges", "exact_image_edges").distinct()
+    return rows.groupBy("cluster_id").agg(F.countDistinct("case_id").alias("n_members"), F.max("exact_text_edges").alias("exact_text_edges"), F.max("near_text_edges").alias("near_text_edges"), F.max("exact_image_edges").alias("exact_image_edges"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_profile, verifier_actions, evidence_support, policy_summary, answer_token_f1, calibration, reliability_table, support_auroc, risk_coverage,
+        claim_polarities, answer_outcomes, confusion_by_reason, support_by_threshold, cluster_edges, evidence_profile, verifier_actions, evidence_support, policy_summary, answer_token_f1, calibration, reliability_table, support_auroc, risk_coverage,
         support_thresholds, label_f1, holm_adjusted, abstention_intervals, support_bootstrap, score_quantiles, bank_audit, patient_partition, study_derangement,
         exact_text_clusters, ambiguous_questions, latest_answers,
     )
@@ -170,15 +207,34 @@ checks AS (SELECT check_id, qid, pos, c.sentence AS sentence, c.lexical_score AS
 _KEY = f"lower(trim(regexp_replace(coalesce(%s, ''), '{S}+', ' ', 'g')))"
 _PATIENT = r"nullif(upper(regexp_replace(patient_id, '^\s+|\s+$', '', 'g')), '')"
 
+_SAID = f"(SELECT result_id, min(qid) AS qid, min(action_policy) AS action_policy, bool_and(abstained) AS abstained, {_KEY % 'min(answer)'} AS t FROM verifier_results GROUP BY result_id)"
+
 SQL = {
+    "claim_polarities": rf"""
+        SELECT action_policy, CASE WHEN regexp_matches(regexp_extract(t, '^[^.;]*'), '^yes\b') THEN 'positive'
+            WHEN regexp_matches(regexp_extract(t, '^[^.;]*'), '^no\b') OR regexp_matches(t, '\b(?:no|not|without|absent|absence\s+of|negative\s+for|free\s+of|neither|nor|cannot|can''t|unable\s+to)\b') THEN 'negative'
+            WHEN regexp_matches(t, '\b(normal|no acute|no active disease|unremarkable)\b') THEN 'normal'
+            WHEN regexp_matches(t, '\b(there is|there are|present|seen|shows|demonstrates|compatible with)\b') THEN 'positive' ELSE 'uncertain' END AS polarity, count(*) AS n_answers
+        FROM {_SAID} GROUP BY 1, 2""",
+    "answer_outcomes": f"""
+        WITH r AS (SELECT * FROM {_SAID} JOIN (SELECT qid, bool_and(is_answerable) AS y FROM questions GROUP BY qid) USING (qid)),
+        c AS (SELECT action_policy, count(*) FILTER (y AND NOT abstained) AS tp, count(*) FILTER (NOT y AND abstained) AS tn, count(*) FILTER (NOT y AND NOT abstained) AS fp, count(*) FILTER (y AND abstained) AS fn FROM r GROUP BY 1)
+        SELECT *, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS answerable_f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS false_answer_rate FROM c""",
+    "confusion_by_reason": f"WITH {_CHECKS} SELECT decision_reason, count(*) FILTER (supported) AS supported, count(*) FILTER (NOT supported) AS unsupported FROM checks GROUP BY 1",
+    "support_by_threshold": f"""WITH {_CHECKS}, g AS (SELECT unnest([0.3, 0.4, 0.5, 0.55, 0.6, 0.7]::DOUBLE[]) AS threshold)
+        SELECT threshold, round(avg((combined_support_score >= threshold)::INT), 6) AS coverage,
+               round(coalesce(count(*) FILTER (combined_support_score >= threshold AND supported) / nullif(count(*) FILTER (combined_support_score >= threshold), 0), 0), 6) AS precision FROM checks, g GROUP BY threshold""",
+    "cluster_edges": r"""SELECT cluster_id, count(DISTINCT upper(regexp_replace(case_id, '^\s+|\s+$', '', 'g'))) AS n_members, max(exact_text_edges) AS exact_text_edges, max(near_text_edges) AS near_text_edges,
+        max(exact_image_edges) AS exact_image_edges FROM duplicate_clusters GROUP BY cluster_id""",
     "evidence_profile": f"""WITH {_CHECKS} SELECT decision_reason, supported, count(*) AS n_sentences, count(DISTINCT sentence) AS n_distinct,
         round(avg(combined_support_score), 6) AS mean_score, max(combined_support_score) AS max_score, sum(length(sentence))::BIGINT AS n_chars FROM checks GROUP BY 1, 2""",
     "verifier_actions": """
         WITH one AS (SELECT check_id, coalesce(arg_min(revised_answer, created_at), '') AS draft, arg_min(sentence_checks, created_at) AS sc FROM evidence_checks GROUP BY check_id),
         p AS (SELECT *, unnest(['sentence_filter', 'contradiction_only', 'audit_only']) AS policy FROM one),
-        k AS (SELECT *, list_filter(sc, lambda s: CASE policy WHEN 'sentence_filter' THEN s.supported WHEN 'contradiction_only' THEN s.contradiction_probability < 0.5 ELSE true END) AS kept FROM p)
-        SELECT check_id, policy, sha256(CASE WHEN policy = 'audit_only' THEN draft ELSE array_to_string(list_transform(kept, lambda s: s.sentence), ' ') END) AS answer_sha256,
-               len(kept) AS n_accepted, len(sc) - len(kept) AS n_rejected, len(kept) = 0 AS abstained, policy <> 'audit_only' AND len(kept) < len(sc) AS revised FROM k""",
+        k AS (SELECT *, list_filter(sc, lambda s: CASE policy WHEN 'sentence_filter' THEN s.supported WHEN 'contradiction_only' THEN s.negation_consistent AND s.contradiction_probability < 0.5 ELSE true END) AS kept FROM p),
+        a AS (SELECT *, CASE WHEN policy = 'audit_only' THEN draft WHEN len(kept) = 0 THEN 'The retrieved report evidence is insufficient to answer this question.'
+                        ELSE array_to_string(list_transform(kept, lambda s: s.sentence), ' ') END AS answer FROM k)
+        SELECT check_id, policy, sha256(answer) AS answer_sha256, len(kept) AS n_accepted, len(sc) - len(kept) AS n_rejected, len(kept) = 0 AS abstained, trim(answer, ' ') <> trim(draft, ' ') AS revised FROM a""",
     "policy_summary": """
         WITH r AS (SELECT result_id, min(action_policy) AS action_policy, bool_and(abstained) AS abstained, bool_and(revised) AS revised, min(len(accepted_sentences)) AS n FROM verifier_results GROUP BY result_id)
         SELECT action_policy, abstained, count(*) AS n_rows, grouping(action_policy, abstained)::INT AS grouping, round(avg(revised::INT), 6) AS revised_rate, median(n)::DOUBLE AS median_accepted

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.vectors import label_similarity, label_weights
-from caseloom.operators import evidence, metrics, rank, search
+from caseloom.functions.text import token_set
+from caseloom.operators import evidence, metrics, rank, relevance, search
 from caseloom.plans.text import _tokens
 from caseloom.session import table
 
@@ -131,9 +132,61 @@ def graded_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return metrics.ndcg(gains, "qid", "rank", "gain", 10).select("qid", F.round("ndcg", 6).alias("ndcg"))
 
 
+def case_labels(spark: SparkSession, d: str) -> DataFrame:
+    """(study_id, labels, facts) of the latest row of each study; maps travel as JSON, which can be compared."""
+    x = F.max(F.struct("ingested_at", F.to_json("labels").alias("j"), F.array_sort(F.array_distinct("radgraph_facts")).alias("facts"))).alias("x")
+    rows = table(spark, d, "paired_cases").groupBy("study_id").agg(x)
+    return rows.select("study_id", F.from_json(F.coalesce("x.j", F.lit("{}")), "map<string,double>").alias("labels"), F.coalesce("x.facts", F.array().cast("array<string>")).alias("facts"))
+
+
+def relevance_gains(spark: SparkSession, d: str) -> DataFrame:
+    """Graded relevance of the five best studies of each question to the question's own case."""
+    top = rank.ranked(best_scores(spark, d).where("score is not null"), "qid", "study_id", "score", 5)
+    target = table(spark, d, "questions").groupBy("qid").agg(F.min("case_id").alias("case_id"))
+    cases = case_labels(spark, d)
+    own = cases.select(F.col("study_id").alias("case_id"), F.col("labels").alias("ql"), F.col("facts").alias("qf"))
+    rows = top.select("qid", "study_id").join(target, "qid").join(own, "case_id").join(cases, "study_id").where("case_id <> study_id")
+    return rows.select("qid", "study_id", F.round(relevance.report_gain(F.col("ql"), F.col("labels"), F.col("qf"), F.col("facts")), 6).alias("gain"))
+
+
+def relevance_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Component profile of the same pairs."""
+    top = rank.ranked(best_scores(spark, d).where("score is not null"), "qid", "study_id", "score", 5)
+    target = table(spark, d, "questions").groupBy("qid").agg(F.min("case_id").alias("case_id"))
+    said = table(spark, d, "paired_cases").groupBy("study_id").agg(F.min("indication").alias("indication"))
+    facts = case_labels(spark, d).join(said, "study_id").withColumn("a", relevance.fact_attributes(F.col("facts")))
+    side = facts.select("study_id", F.struct("a.*", token_set(F.col("indication")).alias("indication"), F.map_keys(label_weights(F.col("labels"))).alias("report_label")).alias("side"))
+    rows = top.select("qid", "study_id").join(target, "qid").where("case_id <> study_id")
+    rows = rows.join(side.withColumnRenamed("side", "c"), "study_id").join(side.select(F.col("study_id").alias("case_id"), F.col("side").alias("q")), "case_id")
+    out = relevance.relevance_profile(rows, "q", "c")
+    return out.select("qid", "study_id", F.round("qrel_v2", 6).alias("qrel_v2"), F.round("qrel_v2_available_normalized", 6).alias("normalized"))
+
+
+def list_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence of each question's ranked list; agreement is the share of components whose best study is the list's."""
+    best = best_scores(spark, d).where("score is not null")
+    ranks = rank.ranked(best, "qid", "study_id", "score")
+    sums = ranks.groupBy("qid").agg(F.max("score").alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.min("score").alias("low"), F.max(F.when(F.col("rank") == 1, F.col("study_id"))).alias("best"))
+    tops = component_ranks(best).where("rank = 1").join(sums.select("qid", "best"), "qid").groupBy("qid").agg(F.avg((F.col("study_id") == F.col("best")).cast("double")).alias("agreement"))
+    c = relevance.retrieval_confidence(F.col("top"), F.coalesce("second", F.lit(0.0)), F.col("low"), F.col("agreement"), F.lit(0.0), F.lit(0.0))
+    return sums.join(tops, "qid").select("qid", F.round(c, 6).alias("confidence"))
+
+
+def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Mean reciprocal rank of the question's case for weights of text against image; one pass scores all weights."""
+    best = best_scores(spark, d)
+    a = F.explode(F.array(*[F.lit(w) for w in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("alpha")
+    rows = best.select("qid", "study_id", rank.minmax(F.col("bm25"), ["qid"], 1e-12).alias("t"), rank.minmax(F.col("image"), ["qid"], 1e-12).alias("v"))
+    rows = rows.select("qid", "study_id", a, "t", "v").withColumn("score", F.round(F.col("alpha") * F.col("t") + (1 - F.col("alpha")) * F.col("v"), 9))
+    ranks = rank.ranked(rows, "qid", "study_id", "score", extra=["alpha"])
+    target = table(spark, d, "questions").select("qid", F.col("case_id").alias("study_id")).where("study_id is not null").distinct()
+    found = ranks.join(target, ["qid", "study_id"]).groupBy("alpha", "qid").agg(F.min("rank").alias("first"))
+    return found.groupBy("alpha").agg(F.count(F.lit(1)).alias("n_found"), F.round(F.sum(1.0 / F.col("first")), 6).alias("sum_rr"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (bm25_top_documents, tfidf_top_reports, scoped_bm25_reports, dense_top_vectors, ranked_scores, minmax_components, rrf_fusion, weighted_rrf, weighted_fusion, shortlist_fusion, candidate_union, adaptive_choices, route_metrics, graded_ndcg)
+    for f in (relevance_gains, relevance_profiles, list_confidence, alpha_sweep, bm25_top_documents, tfidf_top_reports, scoped_bm25_reports, dense_top_vectors, ranked_scores, minmax_components, rrf_fusion, weighted_rrf, weighted_fusion, shortlist_fusion, candidate_union, adaptive_choices, route_metrics, graded_ndcg)
 }
 
 _ASKED = "asked AS (SELECT qid, min(question) AS question FROM questions WHERE substr(qid, 2)::BIGINT % 100 = 0 GROUP BY qid)"
@@ -165,7 +218,30 @@ def _bm25(rows: str, key: str, text: str, scope: str = "") -> str:
                    FROM q a JOIN idf USING (term) JOIN post p ON p.term = a.term{join}, size GROUP BY ALL)"""
 
 
+_CASES = """cases AS (
+  SELECT study_id, map_entries(arg_max(labels, ingested_at)) AS labels, list_distinct(arg_max(radgraph_facts, ingested_at)) AS facts FROM paired_cases GROUP BY study_id),
+w AS (SELECT study_id, facts, list_transform(list_filter(coalesce(labels, []), lambda e: e.value IN (1.0, 0.5, -1.0)), lambda e: struct_pack(k := e.key, v := CASE WHEN e.value = 1.0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)) AS l FROM cases)"""
+
 SQL = {
+    "relevance_gains": f"""
+        WITH {_BEST}, {_CASES}, top AS (SELECT qid, study_id FROM best WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, study_id) <= 5),
+        t AS (SELECT qid, min(case_id) AS case_id FROM questions GROUP BY qid),
+        j AS (SELECT qid, c.study_id, q.l AS ql, c.l AS cl, coalesce(q.facts, []) AS qf, coalesce(c.facts, []) AS cf FROM top JOIN t USING (qid) JOIN w q ON q.study_id = t.case_id JOIN w c ON c.study_id = top.study_id WHERE t.case_id <> top.study_id),
+        s AS (SELECT *, coalesce(list_sum(list_transform(ql, lambda a: coalesce(list_sum(list_transform(list_filter(cl, lambda b: b.k = a.k), lambda b: least(a.v, b.v))), 0))), 0) AS lo,
+                     coalesce(list_sum(list_transform(ql, lambda a: a.v)), 0) + coalesce(list_sum(list_transform(cl, lambda b: b.v)), 0) AS total, len(list_intersect(qf, cf)) AS common FROM j)
+        SELECT qid, study_id, round(0.6::DOUBLE * CASE WHEN total = 0 THEN 1 ELSE lo / (total - lo) END
+             + 0.4::DOUBLE * CASE WHEN len(qf) = 0 AND len(cf) = 0 THEN 1 WHEN len(qf) = 0 OR len(cf) = 0 THEN 0 ELSE 2.0::DOUBLE * common / (len(qf) + len(cf)) END, 6) AS gain FROM s""",
+    "alpha_sweep": f"""
+        WITH {_BEST}, m AS (SELECT qid, study_id, {_mm('bm25')} AS t, {_mm('image')} AS v FROM best), a AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS alpha),
+        r AS (SELECT alpha, qid, study_id, row_number() OVER (PARTITION BY alpha, qid ORDER BY round(alpha * t + (1 - alpha) * v, 9) DESC, study_id) AS rank FROM m, a),
+        f AS (SELECT alpha, qid, min(rank) AS first FROM r JOIN (SELECT DISTINCT qid, case_id AS study_id FROM questions WHERE case_id IS NOT NULL) USING (qid, study_id) GROUP BY 1, 2)
+        SELECT alpha, count(*) AS n_found, round(sum(1.0::DOUBLE / first), 6) AS sum_rr FROM f GROUP BY alpha""",
+    "list_confidence": f"""
+        WITH {_BEST}, {_LONG.replace('FROM best', 'FROM best WHERE score IS NOT NULL')},
+        o AS (SELECT qid, study_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, study_id) AS rk FROM best WHERE score IS NOT NULL),
+        s AS (SELECT qid, max(score) AS top, coalesce(max(CASE WHEN rk = 2 THEN score END), 0) AS second, min(score) AS low, max(CASE WHEN rk = 1 THEN study_id END) AS b FROM o GROUP BY qid),
+        g AS (SELECT qid, avg((study_id = b)::INT) AS ag FROM ranks JOIN s USING (qid) WHERE rank = 1 GROUP BY qid)
+        SELECT qid, round(1 / (1 + exp(-(CASE WHEN top > low THEN 1.6 + 3.0::DOUBLE * (top - second) / (top - low) ELSE 0.8 END + 0.8 * ag - 1.4))), 6) AS confidence FROM s JOIN g USING (qid)""",
     "bm25_top_documents": f"""
         WITH {_ASKED}, {_bm25('documents', 'doc_id', 'text')},
         every AS (SELECT a.qid, d.doc_id, coalesce(round(s.score, 9), 0) AS score FROM asked a CROSS JOIN documents d LEFT JOIN scores s ON s.qid = a.qid AND s.doc_id = d.doc_id)

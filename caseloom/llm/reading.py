@@ -21,7 +21,8 @@ TOKEN = regex.compile(r"\S*[\p{L}\p{N}]\S*")
 SENTENCE = regex.compile(r"(?<=[.!?;])[\s\"”»')]+|\n+")
 LIST_SIZES = (100, 200, 300)  # nested high-frequency lists; shares outside each of them enter the formula
 LEAST_WORDS = 50
-RATED_DOCUMENTS = 5000  # most rated documents that the fit uses, drawn by hash
+RATED_DOCUMENTS = 4000  # most rated documents that the fit uses, drawn by hash
+SENTENCES = 50  # most sentences of a rated document that the fit uses
 
 # Frequent function words by language, for telling English texts.
 FUNCTION_WORDS = {
@@ -62,7 +63,7 @@ def is_english(sentences: list[list[str]]) -> bool:
 def document_words(documents: DataFrame) -> DataFrame:
     """(doc_id, sentences): lower-case words by sentence of every English text of at least LEAST_WORDS words, mark-up left out.
 
-    Null texts and ids, short texts and texts in other languages have no row; a document written twice has one.
+    Null texts and ids, short texts and texts in other languages have no row.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +82,7 @@ def document_words(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "sentences"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    once = documents.select("doc_id", F.col("text").cast("string")).dropDuplicates(["doc_id"])
-    return once.mapInArrow(cut, f"doc_id {kind}, sentences array<string>")
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(cut, f"doc_id {kind}, sentences array<string>")
 
 
 def familiar_words(cut: DataFrame, most: int) -> list[str]:
@@ -107,7 +107,7 @@ def _squares(x: np.ndarray) -> np.ndarray:
 class LevelFormula:
     """Softmax over the features of a sentence and their products, fitted by gradient descent."""
 
-    def __init__(self, features: np.ndarray, levels: np.ndarray, weights: np.ndarray, rounds: int = 1500):
+    def __init__(self, features: np.ndarray, levels: np.ndarray, weights: np.ndarray, rounds: int = 800):
         self.levels = np.unique(levels)
         x = _squares(features)
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -148,7 +148,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, sizes: tuple[int, ..
     sentence a level from its share of unfamiliar words and its length; the level of a document is
     the one that most of its words stand in, so that a stray sentence or an inserted passage doesn't
     move it (ties go to the lower level). The formula is fitted to at most `most_rated` rated documents;
-    everything else covers all documents. Without a usable rating, or without documents, the result is empty.
+    everything else covers all documents. A document written twice has
+    one row (of its lowest level, if its texts differ). Without a usable rating, or without documents, the result is empty.
     """
     spark = documents.sparkSession
     cut = stored(document_words(documents), "sentences")
@@ -166,8 +167,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, sizes: tuple[int, ..
                 rows += [(level, len(w) / total, sentence_features(w, known, lists)) for w in own]
             yield pd.DataFrame(rows, columns=["level_no", "weight", "x"])
 
-    # grouped first, so that what reaches the driver is bounded by rated documents, not by their lengths: one long text counts as 200 sentences
-    sample = rated.select("level_no", F.when(F.size("sentences") > 200, F.slice(F.shuffle("sentences", F.lit(11)), 1, 200)).otherwise(F.col("sentences")).alias("sentences"))
+    # what reaches the driver is bounded: one rated text gives at most SENTENCES of its sentences
+    sample = rated.select("level_no", F.when(F.size("sentences") > SENTENCES, F.slice(F.shuffle("sentences", F.lit(11)), 1, SENTENCES)).otherwise(F.col("sentences")).alias("sentences"))
     fit = sample.mapInPandas(features, "level_no long, weight double, x array<double>").toPandas()
     kind = documents.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {kind}, level_no long, unfamiliar_share double, words_per_sentence double"
@@ -196,4 +197,5 @@ def reading_levels(documents: DataFrame, labels: DataFrame, sizes: tuple[int, ..
                 {"doc_id": frame["doc_id"], "level_no": use.levels[votes.argmax(axis=1)].astype(np.int64), "unfamiliar_share": strange / total, "words_per_sentence": total / counts}
             )
 
-    return cut.mapInPandas(rate, result)
+    one = cut.mapInPandas(rate, result).groupBy("doc_id").agg(F.min(F.struct("level_no", "unfamiliar_share", "words_per_sentence")).alias("x"))
+    return one.select("doc_id", "x.*")

@@ -34,7 +34,7 @@ def test_which_documents(spark):
     english = "the lungs are clear and this is an easy text for you to read. " * 6
     rows = [(1, english, 0, ""), (2, None, 0, ""), (3, "", 0, ""), (4, "the short one is not rated.", 0, ""), (5, "la radiografía no muestra el derrame y los pulmones están en el lado del corazón. " * 6, 0, ""), (1, english, 0, ""), (None, english, 0, ""), (6, f"<div>{english * 400}</div>", 0, "")]
     got = sorted(r["doc_id"] for r in document_words(spark.createDataFrame(rows, DOCS)).collect())
-    assert got == [1, 6]
+    assert got == [1, 1, 6]
 
 
 def test_votes_and_empty(spark):

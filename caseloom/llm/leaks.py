@@ -135,7 +135,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = 20, share:
     either side, and null ids, give nothing; repeated rows change nothing; empty tables give an empty result.
     """
     spark = documents.sparkSession
-    held = stored(term_positions(documents.select(F.col("doc_id"), "text").dropDuplicates(["doc_id", "text"]), "doc_id", "text"), "positions")
+    held = stored(term_positions(documents, "doc_id", "text"), "positions")  # repeated rows only repeat what is found
     asked = stored(term_positions(items.select(F.col("item_id"), "text").dropDuplicates(["item_id", "text"]), "item_id", "text"), "items")
     size = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     passes = max(1, -(-size // ITEM_WORDS))

@@ -121,6 +121,15 @@ def longest_passage(item: np.ndarray, document: np.ndarray, at: int, start: int,
     return best
 
 
+def may_hold(item: list[int], near: set[int], at: int, need: int) -> bool:
+    """Whether enough words around a phrase of the item stand near the phrase in the document.
+
+    Any passage of 20 or more words with at most one change in ten has an unchanged phrase inside 20 of
+    its words with at most three changes; those lie within 15 words before and 20 after the phrase's start.
+    """
+    return sum(w in near for w in item[max(0, at - 15) : at + 20]) >= need
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, least: int = 20, share: float = 0.1) -> DataFrame:
     """(doc_id, item_id, words): every document that holds at least `least` successive words of an item, of which at most `share` is changed, missing or added.
 
@@ -159,6 +168,7 @@ def _leaks_of(spark, held: DataFrame, asked: DataFrame, least: int, share: float
     hits = postings.join(rare, "pair").select("doc_id", "phrase", (F.col("pos") - F.col("place")).alias("start")).where("start >= 0")
     hits = hits.groupBy("doc_id", "phrase", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RARE)
     places = hits.select("doc_id", "phrase", "start").groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "start")).alias("places"))
+    need = 17 if least >= 20 and share <= 0.1 else 0  # see may_hold
     rows = {}
     for r in asked.collect():  # bounded by ITEM_WORDS
         rows.setdefault(r["item_id"], []).append(np.array(r["terms"], np.int64))
@@ -169,17 +179,20 @@ def _leaks_of(spark, held: DataFrame, asked: DataFrame, least: int, share: float
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, at_phrase = shared.value
+        lists = {item: [v.tolist() for v in versions] for item, versions in texts.items()}
         for batch in batches:
             docs, ids, words = [], [], []
             for doc, spots, terms in zip(batch.column(0), batch.column(1), batch.column(2)):
                 terms = terms.values.to_numpy(zero_copy_only=False)
                 best: dict = {}
                 for spot in spots.as_py():
+                    start = spot["start"]
+                    near = set(terms[max(0, start - 18) : start + 23].tolist())
                     for item, at in at_phrase.get(spot["phrase"], ()):
-                        for version in texts[item]:
-                            if at + PHRASE > len(version) or best.get(item, 0) >= len(version):
+                        for version, listed in zip(texts[item], lists[item]):
+                            if at + PHRASE > len(version) or best.get(item, 0) >= len(version) or not may_hold(listed, near, at, need):
                                 continue
-                            n = longest_passage(version, terms, at, spot["start"], share)
+                            n = longest_passage(version, terms, at, start, share)
                             if n >= least and n > best.get(item, 0):
                                 best[item] = n
                 docs += [doc.as_py()] * len(best)

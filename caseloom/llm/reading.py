@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,9 +17,8 @@ from pyspark.sql import functions as F
 from caseloom.session import stored
 
 TAG = regex.compile(r"<[!/]?\p{L}[^<>]{0,200}>")
-WORD = regex.compile(r"\p{L}+(?:['’]\p{L}+)?")
-TOKEN = regex.compile(r"\S*[\p{L}\p{N}]\S*")
-SENTENCE = regex.compile(r"(?<=[.!?;])[\s\"”»')]+|\n+")
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+SENTENCE = re.compile(r"(?<=[.!?;])[\s\"”»')]+|\n+")
 LIST_SIZES = (100, 200, 300)  # nested high-frequency lists; shares outside each of them enter the formula
 LEAST_WORDS = 50
 RATED_DOCUMENTS = 4000  # most rated documents that the fit uses, drawn by hash
@@ -43,21 +43,34 @@ def plain(text: str) -> str:
 
 def sentences_of(text: str) -> list[list[str]]:
     """Lower-case words of every sentence that has one."""
-    cut = ([w.lower() for w in WORD.findall(s)] for s in SENTENCE.split(text))
+    cut = (WORD.findall(s) for s in SENTENCE.split(text.lower()))
     return [words for words in cut if words]
 
 
-_FUNCTION_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+def has_words(text: str, least: int) -> bool:
+    """Whether at least `least` blank-separated words hold a letter or digit."""
+    n = 0
+    for word in text.split():
+        n += word.isalnum() or any(map(str.isalnum, word))
+        if n >= least:
+            return True
+    return False
+
+
+_LANGUAGES: dict[str, list[int]] = {}
+for _place, _words in enumerate(FUNCTION_WORDS.values()):
+    for _word in _words.split():
+        _LANGUAGES.setdefault(_word, []).append(_place)
 
 
 def is_english(sentences: list[list[str]]) -> bool:
-    """Whether English function words outnumber those of any other language in most of the words."""
-    counts = dict.fromkeys(_FUNCTION_SETS, 0)
+    """Whether English function words outnumber those of any other language."""
+    counts = [0] * len(FUNCTION_WORDS)
     for words in sentences:
         for w in words:
-            for k, known in _FUNCTION_SETS.items():
-                counts[k] += w in known
-    return counts["en"] > 0 and all(counts["en"] > counts[k] for k in counts if k != "en")
+            for place in _LANGUAGES.get(w, ()):
+                counts[place] += 1
+    return counts[0] > max(counts[1:])
 
 
 def document_words(documents: DataFrame) -> DataFrame:
@@ -73,7 +86,7 @@ def document_words(documents: DataFrame) -> DataFrame:
                 if doc is None or not text:
                     continue
                 shown = plain(text)
-                if len(TOKEN.findall(shown)) < LEAST_WORDS:
+                if not has_words(shown, LEAST_WORDS):
                     continue
                 sentences = sentences_of(shown)
                 if is_english(sentences):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseloom.plans import evaluation, retrieval, text
+from caseloom.plans import evaluation, more, retrieval, text
 
-QUERIES = text.QUERIES | retrieval.QUERIES | evaluation.QUERIES
-SQL = text.SQL | retrieval.SQL | evaluation.SQL
+QUERIES = text.QUERIES | retrieval.QUERIES | evaluation.QUERIES | more.QUERIES
+SQL = text.SQL | retrieval.SQL | evaluation.SQL | more.SQL

@@ -12,6 +12,7 @@ from caseloom.operators.cohorts import patient_key
 from caseloom.operators.order import with_positions
 from caseloom.plans.evaluation import _CHECKS, _PATIENT, sentence_checks
 from caseloom.plans.retrieval import _BEST, COMPONENTS, _mm, best_scores
+from caseloom.plans.text import _clean
 from caseloom.session import table
 
 TERMS = ["effusion", "nodule", "consolidation", "oedema", "fracture"]

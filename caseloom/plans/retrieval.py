@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.vectors import label_similarity, label_weights
 from caseloom.functions.text import token_set
-from caseloom.operators import evidence, metrics, rank, relevance, search
+from caseloom.operators import agent, chunks, evidence, metrics, rank, relevance, search
 from caseloom.plans.text import _tokens
 from caseloom.session import table
 
@@ -184,9 +184,17 @@ def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("alpha").agg(F.count(F.lit(1)).alias("n_found"), F.round(F.sum(1.0 / F.col("first")), 6).alias("sum_rr"))
 
 
+def closed_loop_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every question through the closed loop over the sentence chunks of its case."""
+    asked = table(spark, d, "questions").groupBy("qid").agg(F.min(F.struct("question", "case_id")).alias("q")).select("qid", "q.question", "q.case_id")
+    rows = table(spark, d, "paired_cases").groupBy("study_id").agg(F.min("findings").alias("findings"), F.min("impression").alias("impression"))
+    out = agent.closed_loop(asked, chunks.section_chunks(rows, "study_id", ["findings", "impression"]))
+    return out.withColumn("answer_probability", F.round("answer_probability", 6)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (relevance_gains, relevance_profiles, list_confidence, alpha_sweep, bm25_top_documents, tfidf_top_reports, scoped_bm25_reports, dense_top_vectors, ranked_scores, minmax_components, rrf_fusion, weighted_rrf, weighted_fusion, shortlist_fusion, candidate_union, adaptive_choices, route_metrics, graded_ndcg)
+    for f in (closed_loop_answers, relevance_gains, relevance_profiles, list_confidence, alpha_sweep, bm25_top_documents, tfidf_top_reports, scoped_bm25_reports, dense_top_vectors, ranked_scores, minmax_components, rrf_fusion, weighted_rrf, weighted_fusion, shortlist_fusion, candidate_union, adaptive_choices, route_metrics, graded_ndcg)
 }
 
 _ASKED = "asked AS (SELECT qid, min(question) AS question FROM questions WHERE substr(qid, 2)::BIGINT % 100 = 0 GROUP BY qid)"
@@ -231,6 +239,15 @@ SQL = {
                      coalesce(list_sum(list_transform(ql, lambda a: a.v)), 0) + coalesce(list_sum(list_transform(cl, lambda b: b.v)), 0) AS total, len(list_intersect(qf, cf)) AS common FROM j)
         SELECT qid, study_id, round(0.6::DOUBLE * CASE WHEN total = 0 THEN 1 ELSE lo / (total - lo) END
              + 0.4::DOUBLE * CASE WHEN len(qf) = 0 AND len(cf) = 0 THEN 1 WHEN len(qf) = 0 OR len(cf) = 0 THEN 0 ELSE 2.0::DOUBLE * common / (len(qf) + len(cf)) END, 6) AS gain FROM s""",
+    "graded_ndcg": f"""
+        WITH {_BEST}, {_CASES}, t AS (SELECT qid, min(case_id) AS case_id FROM questions GROUP BY qid),
+        r AS (SELECT qid, study_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, study_id) AS rank FROM best WHERE score IS NOT NULL),
+        j AS (SELECT qid, rank, q.l AS ql, c.l AS cl FROM r JOIN t USING (qid) JOIN w q ON q.study_id = t.case_id JOIN w c ON c.study_id = r.study_id),
+        s AS (SELECT qid, rank, coalesce(list_sum(list_transform(ql, lambda a: coalesce(list_sum(list_transform(list_filter(cl, lambda b: b.k = a.k), lambda b: least(a.v, b.v))), 0))), 0) AS lo,
+                     coalesce(list_sum(list_transform(ql, lambda a: a.v)), 0) + coalesce(list_sum(list_transform(cl, lambda b: b.v)), 0) AS total FROM j),
+        g AS (SELECT qid, rank, round(CASE WHEN total = 0 THEN 1 ELSE lo / (total - lo) END, 9) AS gain FROM s),
+        o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY gain DESC, rank) AS ideal FROM g)
+        SELECT qid, round(coalesce(sum(CASE WHEN rank <= 10 THEN (2.0::DOUBLE ** gain - 1) / log2(rank + 1) ELSE 0 END) / nullif(sum(CASE WHEN ideal <= 10 THEN (2.0::DOUBLE ** gain - 1) / log2(ideal + 1) ELSE 0 END), 0), 0), 6) AS ndcg FROM o GROUP BY qid""",
     "alpha_sweep": f"""
         WITH {_BEST}, m AS (SELECT qid, study_id, {_mm('bm25')} AS t, {_mm('image')} AS v FROM best), a AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS alpha),
         r AS (SELECT alpha, qid, study_id, row_number() OVER (PARTITION BY alpha, qid ORDER BY round(alpha * t + (1 - alpha) * v, 9) DESC, study_id) AS rank FROM m, a),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.text import ascii_tokens, clean_text, normalized_key
 from caseloom.operators.rank import ranked
 from caseloom.operators.search import bm25_scores
+from caseloom.session import stored
 
 # Terms that a report can't answer, and cues of the two sections.
 OUT_OF_SCOPE = ["attenuation", "discharge", "hounsfield", "medication", "oxygen saturation", "pathology", "prescribed", "serum", "specimen", "treatment", "troponin"]
@@ -57,10 +58,12 @@ def closed_loop(questions: DataFrame, chunks: DataFrame, k: int = 3, threshold:
     pass scores below the threshold are asked again, in other words and in one section. Two passes as two
     joins: no loop over rows. Null questions retrieve nothing and abstain.
     """
+    chunks = stored(chunks.select("chunk_id", "case_id", "section", "text"), "chunks")  # read by both passes
     plan = questions.select("qid", "case_id", F.coalesce("question", F.lit("")).alias("question")).withColumn("intent", report_intent(F.col("question")))
     routed = F.col("intent").isin("findings", "impression")
     first = plan.where("intent <> 'unavailable'").select("qid", "case_id", F.col("question").alias("query"), F.when(routed, F.col("intent")).alias("section"), F.when(routed, 0.55).otherwise(0.15).alias("credit"))
     one = _scored(first, retrieve_scoped(first, chunks, k)).select("qid", F.col("hits").alias("h1"), F.col("score").alias("s1"))
+    one = stored(one, "first_pass")
     summary = F.lower("question").contains("summar")
     again = plan.join(one.where(F.col("s1") < threshold).select("qid"), "qid").select(
         "qid", "case_id", F.concat("question", F.when(summary, F.lit(" final radiology impression conclusion")).otherwise(F.lit(" radiographic findings impression"))).alias("query"),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from caseloom.functions.hashing import order_key
 from caseloom.functions.text import normalized_key
 from caseloom.operators.components import connected_components, star_edges
+from caseloom.operators.near_text import near_text_pairs
 from caseloom.operators.order import with_positions
+from caseloom.session import stored
 
 
 def patient_key(value: Column) -> Column:
@@ -67,6 +69,21 @@ def exact_text_clusters(cases: DataFrame, key: str, texts: list[str]) -> DataFra
     return every.join(sizes, "component").select(F.col("k").alias(key), F.col("component").alias("cluster_id"), "n_members")
 
 
+def near_text_clusters(cases: DataFrame, key: str, texts: list[str], threshold: float = 0.95) -> DataFrame:
+    """(key, cluster_id, n_members) as exact_text_clusters, where texts with a gram cosine of at least the threshold tie as well."""
+    text = normalized_key(reduce(lambda a, b: F.concat_ws(" ", a, b), [F.col(t) for t in texts]))
+    rows = stored(cases.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), text.alias("text")).distinct().withColumn("h", F.xxhash64("text")), "texts")
+    said = rows.where("text <> ''")
+    one = said.groupBy("h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"), F.min("k").alias("k"))
+    near = near_text_pairs(one.select(F.col("h").alias("id"), "text", "n"), threshold)
+    heads = one.select("h", "k")
+    near = near.join(heads.select(F.col("h").alias("a"), F.col("k").alias("u")), "a").join(heads.select(F.col("h").alias("b"), F.col("k").alias("v")), "b")
+    parts = connected_components(star_edges(said, "k", "h").unionByName(near.select("u", "v")))
+    every = rows.select("k").distinct().join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    sizes = every.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
+    return every.join(sizes, "component").select(F.col("k").alias(key), F.col("component").alias("cluster_id"), "n_members")
+
+
 def spectrum(labels: Column) -> Column:
     """normal without an active label, indeterminate with uncertain ones only or no label at all, else abnormal."""
     values = F.map_values(labels)

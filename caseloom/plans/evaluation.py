@@ -142,6 +142,10 @@ def exact_text_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cohorts.exact_text_clusters(table(spark, d, "paired_cases"), "study_id", ["findings", "impression"])
 
 
+def near_text_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cohorts.near_text_clusters(table(spark, d, "paired_cases"), "study_id", ["findings", "impression"])
+
+
 def ambiguous_questions(spark: SparkSession, d: str) -> DataFrame:
     """Question texts that are asked of more than one case."""
     rows = table(spark, d, "questions").groupBy(normalized_key(F.col("question")).alias("question")).agg(F.countDistinct("case_id").alias("n_cases"), F.countDistinct("qid").alias("n_questions"))
@@ -196,7 +200,7 @@ QUERIES = {
     for f in (
         claim_polarities, answer_outcomes, confusion_by_reason, support_by_threshold, cluster_edges, evidence_profile, verifier_actions, evidence_support, policy_summary, answer_token_f1, calibration, reliability_table, support_auroc, risk_coverage,
         support_thresholds, label_f1, holm_adjusted, abstention_intervals, support_bootstrap, score_quantiles, bank_audit, patient_partition, study_derangement,
-        exact_text_clusters, ambiguous_questions, latest_answers,
+        exact_text_clusters, near_text_clusters, ambiguous_questions, latest_answers,
     )
 }
 

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.operators.metrics import wilson
+
 DEFECTS = ("empty", "refusal", "copies_question", "other_language", "truncated")
 
 INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\p{Z}⠀ㅤ]+")
@@ -314,31 +316,39 @@ def _opening(sentence: str, size: int) -> tuple[str, ...] | None:
     return tuple(words[:size]) if len(words) >= size else None
 
 
-def opens_a_sentence(core: str, openings: frozenset[tuple[str, ...]]) -> bool:
-    """Whether the last run of words without an end mark opens like the complete sentences of the corpus do."""
+def last_opening(core: str) -> tuple[str, ...] | None:
+    """Opening of the last run of words, if it lacks an end mark."""
     end = core.rstrip(" *_`\"”»'")
-    if not end or end[-1] in ".!?" or not openings:
-        return False
+    if not end or end[-1] in ".!?":
+        return None
     tail = regex.split(r"(?<=[.!?])[\s\"”»*]+|\n+|(?:^|\s)[-–—•]\s+", end)[-1]
-    return (_opening(tail, 3) or _opening(tail, 2)) in openings
+    return _opening(tail, 3) or _opening(tail, 2)
 
 
-def frequent_openings(answers: DataFrame, least: int = 5, most: int = 5000) -> list[list[str]]:
-    """Openings of two and three words (numbers masked) that complete sentences of the answers often have and whole answers without an end mark seldom.
+def opens_a_sentence(core: str, openings: frozenset[tuple[str, ...]]) -> bool:
+    """Whether the last run of words without an end mark opens like the complete sentences of the corpus do."""
+    return last_opening(core) in openings
+
 
-    Counted over all answers; the `most` most frequent ones are kept.
+def frequent_openings(answers: DataFrame, most_open: float = 0.3 / 1.3, z: float = 1.2816) -> DataFrame:
+    """(opening): openings of two and three words (numbers masked, words joined by blanks) that complete sentences of the answers have and answers without an end mark seldom.
+
+    Complete sentences are counted over all distinct answers, so that a text can't qualify its own opening by being repeated; those without an
+    end mark in every row, as a short answer that is given again and again is whole. An opening qualifies if the share of its open sentences is below
+    most_open by the upper end of its Wilson interval (one-sided, 90 %), so the evidence asked for doesn't depend on the size of the corpus.
     """
     text = F.lower(F.coalesce("answer", F.lit("")))
-    marked = F.regexp_replace(text, r"\d+(?:[.,:]\d+)*", "0")
+    marked = F.regexp_replace("text", r"\d+(?:[.,:]\d+)*", "0")
     pieces = F.filter(F.split(marked, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 3)
-    sentences = answers.select(F.explode(pieces).alias("s"))
+    texts = answers.select(text.alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("times"))
+    sentences = texts.select("times", F.explode(pieces).alias("s"))
     words = F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     done = F.col("s").rlike(r"[.!?]$")
-    heads = sentences.select(words.alias("w"), done.alias("done")).where(F.size("w") >= 2)
-    heads = heads.select("done", F.explode(F.array(F.slice("w", 1, 2), F.slice("w", 1, 3))).alias("head"))
-    counts = heads.groupBy("head").agg(F.count_if("done").alias("whole"), F.count_if(~F.col("done")).alias("open"))
-    kept = counts.where((F.col("whole") >= least) & (F.col("open") <= 0.3 * F.col("whole")))
-    return [r["head"] for r in kept.orderBy(F.desc("whole"), "head").limit(most).collect()]
+    heads = sentences.select("times", words.alias("w"), done.alias("done")).where(F.size("w") >= 2)
+    heads = heads.select("times", "done", F.explode(F.array_distinct(F.array(F.slice("w", 1, 2), F.slice("w", 1, 3)))).alias("head"))
+    open_rows = F.coalesce(F.sum(F.when(~F.col("done"), F.col("times"))), F.lit(0)).cast("double")
+    counts = heads.groupBy(F.array_join("head", " ").alias("opening")).agg(open_rows.alias("open"), (F.count_if("done") + open_rows).alias("n"))
+    return counts.where(wilson(F.col("open"), F.col("n"), z)[1] <= most_open).select("opening")
 
 
 def broken_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -349,22 +359,24 @@ def broken_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     text alone; null record ids are left out. A record written twice counts once, with the first defect
     in the order of DEFECTS if its texts differ. Whole texts are parsed. Empty tables give an empty result.
     """
-    spark = answers.sparkSession
     latest = questions.where("qid is not null").groupBy("qid").agg(F.max(F.struct("created_at", "question")).getField("question").alias("question"))
     asked = answers.where("record_id is not null").select("record_id", "qid", "answer").join(latest, "qid", "left").select("record_id", "question", "answer")
-    openings = spark.sparkContext.broadcast([tuple(h) for h in frequent_openings(answers)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frozenset(openings.value)
         for batch in batches:
-            ids, defects = [], []
+            ids, defects, openings = [], [], []
             for record, question, answer in zip(*(c.to_pylist() for c in batch.columns)):
-                defect = defect_of(question, answer, known)
-                if defect:
+                defect = defect_of(question, answer)
+                opening = None if defect else last_opening(undressed(answer))
+                if defect or opening:
                     ids.append(record)
-                    defects.append(DEFECTS.index(defect))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(defects, pa.int32())], names=["record_id", "place"])
-
-    found = asked.mapInArrow(judge, "record_id string, place int").groupBy("record_id").agg(F.min("place").alias("place"))
+                    defects.append(DEFECTS.index(defect) if defect else None)
+                    openings.append(" ".join(opening) if opening else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(defects, pa.int32()), pa.array(openings, pa.string())], names=["record_id", "place", "opening"])
+
+    judged = asked.mapInArrow(judge, "record_id string, place int, opening string")
+    known = frequent_openings(answers).withColumn("known", F.lit(DEFECTS.index("truncated")))
+    judged = judged.join(known, "opening", "left").select("record_id", F.coalesce("place", "known").alias("place")).where("place is not null")
+    found = judged.groupBy("record_id").agg(F.min("place").alias("place"))
     names = F.array(*[F.lit(d) for d in DEFECTS])
     return found.select("record_id", names[F.col("place")].alias("defect"))

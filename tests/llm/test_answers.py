@@ -36,3 +36,13 @@ def test_join_repeats_and_unknown_questions(spark):
     assert got == {("r1", "copies_question"), ("r3", "empty"), ("r4", "truncated")}
     assert broken_answers(answers.limit(0), questions).count() == 0
     assert broken_answers(answers, questions.limit(0)).count() == 2
+
+
+def test_openings_of_repeated_and_of_many_sentences(spark):
+    letters = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05}")
+    rows = [(f"z{i}", None, "Zebra lines cross here.") for i in range(9)] + [("cut", None, "Zebra lines cross")]  # one text, written often
+    rows += [(f"m{j}", None, " ".join(f"Mark {letters(i)} lies {letters(j)}." for i in range(2600) if i or j < 30)) for j in range(31)]
+    rows += [("rare", None, f"Mark {letters(0)} lies")]  # the least frequent of 5,200 openings
+    answers = spark.createDataFrame(rows, "record_id string, qid string, answer string")
+    questions = spark.createDataFrame([], "qid string, question string, created_at long")
+    assert {(r[0], r[1]) for r in broken_answers(answers, questions).collect()} == {("rare", "truncated")}

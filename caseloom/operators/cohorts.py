@@ -24,15 +24,21 @@ def patient_key(value: Column) -> Column:
 def bank_audit(queries: DataFrame, bank: DataFrame, study: str, patient: str) -> DataFrame:
     """Per query study: how many studies of the bank fall out as the same study or the same patient, and how many stay.
 
-    Equi-joins on the patient instead of a product of queries and bank: counts are the bank's size less the excluded.
+    Studies are counted per patient and the counts joined back, so no pairs are formed. A study of several patient keys
+    adds their counts, less the studies that it meets under more than one of them; those have several keys themselves.
     """
     total = bank.agg(F.countDistinct(study).alias("n_bank"))
-    pairs = bank.select(F.col(study).alias("s"), patient_key(F.col(patient)).alias("p")).distinct()
-    asked = queries.select(F.col(study).alias("q")).distinct().join(pairs, F.col("q") == F.col("s")).select("q", "p").distinct()
-    same = asked.where("p is not null").join(pairs, "p").where("s <> q").select("q", "s").distinct().groupBy("q").agg(F.count(F.lit(1)).alias("n_same_patient"))
-    out = asked.select("q").distinct().join(same, "q", "left").join(F.broadcast(total))  # total is one row
-    n = F.coalesce("n_same_patient", F.lit(0))
-    return out.select(F.col("q").alias(study), F.lit(1).cast("long").alias("n_same_study"), n.alias("n_same_patient"), (F.col("n_bank") - 1 - n).alias("n_candidates"))
+    pairs = bank.where(F.col(study).isNotNull()).select(F.col(study).alias("s"), patient_key(F.col(patient)).alias("p")).distinct()
+    known = pairs.where("p is not null")
+    asked = pairs.join(queries.select(F.col(study).alias("s")).distinct(), "s", "left_semi")
+    others = known.groupBy("p").agg((F.count(F.lit(1)) - 1).alias("n_others"))
+    summed = asked.join(others, "p", "left").groupBy("s").agg(F.coalesce(F.sum("n_others"), F.lit(0)).alias("n"))
+    several = known.join(known.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s"), "s", "left_semi")
+    twice = several.join(several.select(F.col("s").alias("o"), "p"), "p").where("s <> o").groupBy("s", "o").agg((F.count(F.lit(1)) - 1).alias("again"))
+    twice = twice.where("again > 0").groupBy("s").agg(F.sum("again").alias("again"))
+    out = summed.join(twice, "s", "left").join(F.broadcast(total))  # total is one row
+    n = F.col("n") - F.coalesce("again", F.lit(0))
+    return out.select(F.col("s").alias(study), F.lit(1).cast("long").alias("n_same_study"), n.alias("n_same_patient"), (F.col("n_bank") - 1 - n).alias("n_candidates"))
 
 
 def hash_partition(ids: DataFrame, key: str, fractions: dict[str, float], domain: str, seed: int) -> DataFrame:

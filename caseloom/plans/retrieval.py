@@ -139,29 +139,48 @@ def case_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("study_id", F.from_json(F.coalesce("x.j", F.lit("{}")), "map<string,double>").alias("labels"), F.coalesce("x.facts", F.array().cast("array<string>")).alias("facts"))
 
 
-def relevance_gains(spark: SparkSession, d: str) -> DataFrame:
-    """Graded relevance of the five best studies of each question to the question's own case."""
-    top = rank.ranked(best_scores(spark, d).where("score is not null"), "qid", "study_id", "score", 5)
+def _best_five(spark: SparkSession, d: str) -> DataFrame:
+    return rank.ranked(best_scores(spark, d).where("score is not null"), "qid", "study_id", "score", 5).select("qid", "study_id")
+
+
+def _every_pair(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "scored_cases").where("qid is not null and study_id is not null").select("qid", "study_id").distinct()
+
+
+def _gains(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     target = table(spark, d, "questions").groupBy("qid").agg(F.min("case_id").alias("case_id"))
     cases = case_labels(spark, d)
     own = cases.select(F.col("study_id").alias("case_id"), F.col("labels").alias("ql"), F.col("facts").alias("qf"))
-    rows = top.select("qid", "study_id").join(target, "qid").join(own, "case_id").join(cases, "study_id").where("case_id <> study_id")
+    rows = pairs.join(target, "qid").join(own, "case_id").join(cases, "study_id").where("case_id <> study_id")
     return rows.select("qid", "study_id", F.round(relevance.report_gain(F.col("ql"), F.col("labels"), F.col("qf"), F.col("facts")), 6).alias("gain"))
 
 
-def relevance_profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Component profile of the same pairs."""
-    top = rank.ranked(best_scores(spark, d).where("score is not null"), "qid", "study_id", "score", 5)
+def _profiles(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     target = table(spark, d, "questions").groupBy("qid").agg(F.min("case_id").alias("case_id"))
     said = table(spark, d, "paired_cases").groupBy("study_id").agg(F.min("indication").alias("indication"))
     facts = case_labels(spark, d).join(said, "study_id").withColumn("a", relevance.fact_attributes(F.col("facts")))
     side = facts.select("study_id", F.struct("a.*", token_set(F.col("indication")).alias("indication"), F.map_keys(label_weights(F.col("labels"))).alias("report_label")).alias("side"))
-    rows = top.select("qid", "study_id").join(target, "qid").where("case_id <> study_id")
+    rows = pairs.join(target, "qid").where("case_id <> study_id")
     rows = rows.join(side.withColumnRenamed("side", "c"), "study_id").join(side.select(F.col("study_id").alias("case_id"), F.col("side").alias("q")), "case_id")
     out = relevance.relevance_profile(rows, "q", "c")
     return out.select("qid", "study_id", F.round("qrel_v2", 6).alias("qrel_v2"), F.round("qrel_v2_available_normalized", 6).alias("normalized"))
 
 
+def relevance_gains(spark: SparkSession, d: str) -> DataFrame:
+    """Graded relevance of the five best studies of each question to the question's own case, as the SQL asks."""
+    return _gains(spark, d, _best_five(spark, d))
+
+
+def relevance_gains_all(spark: SparkSession, d: str) -> DataFrame:
+    """Graded relevance of every scored study of each question."""
+    return _gains(spark, d, _every_pair(spark, d))
+
+
+def relevance_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Component profile of every scored study of each question; it has no SQL that would ask for five."""
+    return _profiles(spark, d, _every_pair(spark, d))
+
+
 def list_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Confidence of each question's ranked list; agreement is the share of components whose best study is the list's."""
     best = best_scores(spark, d).where("score is not null")
@@ -194,7 +213,7 @@ def closed_loop_answers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (closed_loop_answers, relevance_gains, relevance_profiles, list_confidence, alpha_sweep, bm25_top_documents, tfidf_top_reports, scoped_bm25_reports, dense_top_vectors, ranked_scores, minmax_components, rrf_fusion, weighted_rrf, weighted_fusion, shortlist_fusion, candidate_union, adaptive_choices, route_metrics, graded_ndcg)
+    for f in (closed_loop_answers, relevance_gains, relevance_gains_all, relevance_profiles, list_confidence, alpha_sweep, bm25_top_documents, tfidf_top_reports, scoped_bm25_reports, dense_top_vectors, ranked_scores, minmax_components, rrf_fusion, weighted_rrf, weighted_fusion, shortlist_fusion, candidate_union, adaptive_choices, route_metrics, graded_ndcg)
 }
 
 _ASKED = "asked AS (SELECT qid, min(question) AS question FROM questions WHERE substr(qid, 2)::BIGINT % 100 = 0 GROUP BY qid)"

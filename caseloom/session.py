@@ -53,9 +53,15 @@ def checkpoint_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="caseloom-"))
+        _drop_at_exit(spark, context.getCheckpointDir())
     return context.getCheckpointDir()
 
 
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """An eager, reliable checkpoint: it survives lost executors."""
     checkpoint_root(df.sparkSession)
@@ -70,8 +76,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # not needed beyond the application
-    place.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(place)
+    _drop_at_exit(spark, path)  # not needed beyond the application
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -101,7 +101,7 @@ def grouped_splits(
         if len(whole):
             yield whole.assign(split_name=_place(whole, names, want))[["group_id", "split_name", "studies", "labels"]]
 
-    first = cut_lineage(large.coalesce(1).mapInPandas(place_large, schema))
+    first = cut_lineage(large.repartition(1).mapInPandas(place_large, schema))  # at most `block` rows move; the scan keeps its tasks
     got = {r["split_name"]: np.array(r[1:]) for r in first.groupBy("split_name").agg(*sums).collect()}
     want = np.maximum(0.0, want - np.array([got.get(n, np.zeros(len(total))) for n in names]))
     rest = parts.where(F.col("studies") * block <= total[0])

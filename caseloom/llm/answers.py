@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.operators.metrics import wilson
+from caseloom.operators.skew import join_one_per_key
+from caseloom.session import stored
 
 DEFECTS = ("empty", "refusal", "copies_question", "other_language", "truncated")
 
 INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\p{Z}⠀ㅤ]+")
-TAG = regex.compile(r"</?\p{L}[^<>]{0,60}/?>")
+TAG = regex.compile(r"</?\p{L}[^<>]*>")
 LABEL = regex.compile(
     r"^(?:final\s+)?(?:answer|response|reply|output|result|assistant|a|r|antwort|respuesta|réponse|risposta|resposta)\s*[:：]\s*", regex.I
 )
@@ -38,7 +41,7 @@ FUNCTION_WORDS = {
 }
 _FUNCTION_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 LETTER, LETTERS, HYPHENATED = regex.compile(r"\p{L}"), regex.compile(r"\p{L}+"), regex.compile(r"\p{L}+(?:-\p{L}+)*")
-QUOTED = regex.compile(r'["“«„][^"”»“]{0,200}["”»“]')
+QUOTED = regex.compile(r'["“«„][^"”»“«„]*["”»“]')
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Han", "Hiragana", "Katakana", "Hangul", "Devanagari", "Thai")
 _SCRIPT = {s: regex.compile(rf"\p{{Script={s}}}") for s in SCRIPTS}
 
@@ -100,17 +103,28 @@ FINITE = frozenset(
 )
 
 
-SIGNS = regex.compile(r"```|\*\*|__|</?\p{L}[^<>]{0,60}/?>|[\"`()\[\]{}«»“”„‹›]")
+SIGNS = regex.compile(r"```|\*\*|__|</?\p{L}[^<>]*>|[\"`()\[\]{}«»“”„‹›]")
+ITEM = regex.compile(r"^\s*(?:[-*•·–]|\p{N}{1,3}[.)])\s+(.*\S)", regex.M)
+# Tags without an end tag, and tags whose end tag may be left out.
+LONE_TAGS = frozenset(("br", "hr", "img"))
+LOOSE_TAGS = frozenset(("<p>", "<li>", "<td>", "<th>", "<tr>", "<dt>", "<dd>"))
 FOREIGN = regex.compile(r"[\p{L}--\p{Latin}]", regex.V1)
 
 
 class PushdownParser:
-    """Brackets, quotations, fences, mark-up and list items of a text, with a stack of what is open."""
+    """Brackets, quotations, fences, emphasis, mark-up and list items of a text, with a stack of what is open.
+
+    A closing sign also closes what was opened after its opening sign. Inside a fence brackets are code and don't count.
+    items are the list items of the text outside fences.
+    """
 
     def __init__(self, text: str):
         self.open: list[str] = []
+        outside, at = [], 0
         for found in SIGNS.finditer(text):
             sign = found.group()
+            if sign == "```" and "```" not in self.open:
+                outside.append(text[at : found.start()])
             if sign[0] == "<":
                 self._tag(sign)
             elif sign in ("```", "**", "__", '"', "`"):
@@ -122,6 +136,16 @@ class PushdownParser:
                     if sign in _OPENERS.get(self.open[depth], ""):
                         del self.open[depth:]
                         break
+            if sign == "```" and "```" not in self.open:
+                at = found.end()
+        if "```" not in self.open:
+            outside.append(text[at:])
+        self.items: list[str] = ITEM.findall("\n".join(outside)) if ITEM.search(text) else []
+
+    def last_item_is_open(self) -> bool:
+        """Whether the last list item lacks the end mark that an item before it has."""
+        ended = [item.rstrip(" *_`\"”»'").endswith((".", "!", "?", ";")) for item in self.items]
+        return len(ended) > 1 and any(ended[:-1]) and not ended[-1] and len(self.items[-1].split()) > 1
 
     def _toggle(self, mark: str) -> None:
         if mark in self.open:
@@ -131,7 +155,7 @@ class PushdownParser:
 
     def _tag(self, tag: str) -> None:
         name = tag.strip("</> ").split()[0].lower() if tag.strip("</> ") else ""
-        if tag.endswith("/>") or name in ("br", "hr", "img"):
+        if tag.endswith("/>") or name in LONE_TAGS:
             return
         if tag.startswith("</"):
             for depth in range(len(self.open) - 1, -1, -1):
@@ -212,20 +236,16 @@ def copies_question(core: str, question: str | None) -> bool:
         return False
     said = CLOSING_LABEL.sub("", ASKING_LABEL.sub("", core + " ")).strip(" \"“”«»'*_`")
     q = list(_flat_question(question))
-    if not q or len(said) < 0.5 * len(question):
-        return False
     a = _flat(said)
-    if not a:
+    if not q or not a:
         return False
     if a == q or "".join(a) == "".join(q):
         return True
     rest = f" {' '.join(a)} ".replace(f" {' '.join(q)} ", "  ").replace(f" {' '.join(q)} ", "  ")
     if rest.strip() != " ".join(a):
         return not set(rest.split()) - LABEL_WORDS  # the question again and again, or the question and more
-    if abs(len(a) - len(q)) > 1 or a[-1] != q[-1] or len(set(a) & set(q)) < 0.7 * len(set(q)):
-        return False
-    both = tiled(a, q)
-    return both >= max(0.6 * max(len(a), len(q)), max(len(a), len(q)) - 2)
+    need = max(0.6 * max(len(a), len(q)), max(len(a), len(q)) - 2)
+    return sum((Counter(a) & Counter(q)).values()) >= need and tiled(a, q) >= need  # tiles can't cover more than the common words
 
 
 def language_of(text: str) -> tuple[str, float]:
@@ -271,7 +291,7 @@ def other_language(core: str, question: str | None) -> bool:
 def is_truncated(text: str, core: str) -> bool:
     """Breaks off within a sentence: something stays open, the end dangles, or a sentence lacks its end mark."""
     parser = PushdownParser(text)
-    if any(mark in ("(", "[", "{", "«", "“", "„", "‹", "```", '"') for mark in parser.open):
+    if set(parser.open) - LOOSE_TAGS or parser.last_item_is_open():
         return True
     end = core.rstrip(" *_`\"”»'")
     if not end:
@@ -283,6 +303,9 @@ def is_truncated(text: str, core: str) -> bool:
     tail = regex.split(r"(?<=[.!?])[\s\"”»*]+|\n+(?:[-*•]\s+|\d+[.)]\s+)?", end)[-1].strip()
     asked = regex.search(r"[?.]\s+[-–—•]\s+", end) or regex.search(r"\n[-–—•*]\s+", end)
     tail = regex.split(r"(?:^|\s)[-–—•]\s+", tail)[-1] if asked else tail
+    listed = parser.items[-1].rstrip(" *_`\"”»'") if len(parser.items) > 1 else None
+    if listed and end.endswith(listed):  # an item is judged by its own words
+        asked, tail = True, regex.split(r"(?<=[.!?])\s+", listed)[-1]
     words = [w.casefold() for w in regex.findall(r"[\p{L}\p{N}]+(?:[.'’-][\p{L}\p{N}]+)*", tail)]
     if not words:
         return False
@@ -354,29 +377,59 @@ def frequent_openings(answers: DataFrame, most_open: float = 0.3 / 1.3, z: float
 def broken_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """(record_id, defect) of every answer that is no proper answer to its question.
 
-    answers has record_id, qid, answer. Records are joined to their question (the latest row of a qid); adaptive execution splits a
-    qid that holds a large part of all records. A record without a known question is judged by its
-    text alone; null record ids are left out. A record written twice counts once, with the first defect
+    answers has record_id, qid, answer. What needs no question (empty, refused, broken off) is decided where the rows are read; only the
+    content of the other answers meets its question (the latest row of a qid), in a join whose hot keys adaptive execution splits.
+    A record without a known question is judged by its text alone; null record ids are left out. A record written twice counts once, with the first defect
     in the order of DEFECTS if its texts differ. Whole texts are parsed. Empty tables give an empty result.
     """
     latest = questions.where("qid is not null").groupBy("qid").agg(F.max(F.struct("created_at", "question")).getField("question").alias("question"))
-    asked = answers.where("record_id is not null").select("record_id", "qid", "answer").join(latest, "qid", "left").select("record_id", "question", "answer")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, defects, openings = [], [], []
-            for record, question, answer in zip(*(c.to_pylist() for c in batch.columns)):
-                defect = defect_of(question, answer)
-                opening = None if defect else last_opening(undressed(answer))
-                if defect or opening:
-                    ids.append(record)
-                    defects.append(DEFECTS.index(defect) if defect else None)
-                    openings.append(" ".join(opening) if opening else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(defects, pa.int32()), pa.array(openings, pa.string())], names=["record_id", "place", "opening"])
-
-    judged = asked.mapInArrow(judge, "record_id string, place int, opening string")
+    rows = answers.where("record_id is not null").select(F.col("record_id").cast("string").alias("record_id"), F.col("qid").cast("string").alias("qid"), F.col("answer").cast("string").alias("answer"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """place of a defect that needs no question; else the content, whether it breaks off, and how its open end begins."""
+        for batch in _slices(batches):
+            out: list[tuple] = []
+            for record, qid, answer in zip(*(c.to_pylist() for c in batch.columns)):
+                if is_empty(answer):
+                    out.append((record, qid, DEFECTS.index("empty"), None, None, None))
+                    continue
+                core = undressed(answer)
+                if is_refusal(core):
+                    out.append((record, qid, DEFECTS.index("refusal"), None, None, None))
+                    continue
+                cut = is_truncated(answer, core)
+                head = None if cut else last_opening(core)
+                out.append((record, qid, None, core, cut, " ".join(head) if head else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(PARSED)], schema=PARSED)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            out = []
+            for record, core, cut, head, question in zip(*(c.to_pylist() for c in batch.columns)):
+                name = "copies_question" if copies_question(core, question) else "other_language" if other_language(core, question) else "truncated" if cut else None
+                if name or head:
+                    out.append((record, DEFECTS.index(name) if name else None, head))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["record_id", "place", "opening"])
+
+    # stored, so that the parser runs once for the rows that are decided and for those that are not
+    parsed = stored(rows.mapInArrow(parse, "record_id string, qid string, place int, core string, cut boolean, opening string"), "parsed")
+    decided = parsed.where("place is not null").select("record_id", "place")
+    rest = parsed.where("place is null").select("record_id", "qid", "core", "cut", "opening")
+    told = join_one_per_key(rest.where("qid is not null"), latest, "qid", "left").select("record_id", "core", "cut", "opening", "question")
+    told = told.unionAll(rest.where("qid is null").select("record_id", "core", "cut", "opening", F.lit(None).cast("string").alias("question")))
+    judged = told.mapInArrow(compare, "record_id string, place int, opening string")
     known = frequent_openings(answers).withColumn("known", F.lit(DEFECTS.index("truncated")))
-    judged = judged.join(known, "opening", "left").select("record_id", F.coalesce("place", "known").alias("place")).where("place is not null")
-    found = judged.groupBy("record_id").agg(F.min("place").alias("place"))
+    judged = join_one_per_key(judged, known, "opening", "left").select("record_id", F.coalesce("place", "known").alias("place")).where("place is not null")
+    found = decided.unionAll(judged).groupBy("record_id").agg(F.min("place").alias("place"))
     names = F.array(*[F.lit(d) for d in DEFECTS])
     return found.select("record_id", names[F.col("place")].alias("defect"))
+
+
+PARSED = pa.schema([("record_id", pa.string()), ("qid", pa.string()), ("place", pa.int32()), ("core", pa.string()), ("cut", pa.bool_()), ("opening", pa.string())])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Short slices of Arrow batches, so that few whole texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

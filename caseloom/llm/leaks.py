@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from caseloom.session import stored
 
 WORD = regex.compile(r"[^\W_]+")
-TAG = regex.compile(r"<[!/]?\p{L}[^<>]{0,200}>")
+ASCII_WORD = re.compile(r"[a-z0-9]+")
+TAG = regex.compile(r"<[!/]?\p{L}[^<>]*>")
 HIDDEN = regex.compile(r"[\p{Cf}\p{Mn}]+")
 PHRASE = 5  # words of an aligned phrase of an item
 RARE = 2  # rarest pairs of adjacent words of a phrase that are looked up in the index
@@ -28,31 +30,37 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     plain = TAG.sub(" ", html.unescape(text)) if "<" in text or "&" in text else text
+    if plain.isascii():  # neither invisible signs nor compatibility forms
+        return ASCII_WORD.findall(plain.lower())
     return WORD.findall(HIDDEN.sub("", unicodedata.normalize("NFKC", plain)).casefold())
 
 
+class _Terms(dict):
+    """64-bit terms of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        term = self[word] = int(np.uint64(xxhash.xxh64_intdigest(word)).astype(np.int64))
+        return term
+
+
 def term_positions(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, terms): the 64-bit terms of a text in order of position; null keys and texts without words drop out."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        for batch in batches:
-            keys, terms = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(t)
-                if k is None or not words:
-                    continue
-                if len(memo) > 500_000:
-                    memo.clear()
-                row = np.empty(len(words), np.int64)
-                for i, w in enumerate(words):
-                    h = memo.get(w)
-                    if h is None:
-                        h = memo[w] = int(np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64))
-                    row[i] = h
-                keys.append(k)
-                terms.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(terms, pa.list_(pa.int64()))], names=[key, "terms"])
+        memo = _Terms()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # few whole texts are Python objects at a time
+                batch = whole.slice(at, 256)
+                keys, terms = [], []
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    words = words_of(t)
+                    if k is None or not words:
+                        continue
+                    if len(memo) > 500_000:
+                        memo.clear()
+                    keys.append(k)
+                    terms.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(terms, pa.list_(pa.int64()))], names=[key, "terms"])
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, F.col(text).cast("string")).mapInArrow(cut, f"`{key}` {kind}, terms array<long>")
@@ -121,86 +129,115 @@ def longest_passage(item: np.ndarray, document: np.ndarray, at: int, start: int,
     return best
 
 
-def may_hold(item: list[int], near: set[int], at: int, need: int) -> bool:
-    """Whether enough words around a phrase of the item stand near the phrase in the document.
+class ItemWindows:
+    """The items of one pass, and which of their places may hold a passage around a phrase that a document has.
 
-    Any passage of 20 or more words with at most one change in ten has an unchanged phrase inside 20 of
-    its words with at most three changes; those lie within 15 words before and 20 after the phrase's start.
+    Some `least` successive words of a passage hold an unchanged phrase and at most `changes` changed, missing or added words. They lie
+    within least - PHRASE words before and least words after the phrase's start, on diagonals at most `changes` off the phrase's own.
+    So fewer than least - changes words that stand on those diagonals in the document rule a place out.
     """
-    return sum(w in near for w in item[max(0, at - 15) : at + 20]) >= need
+
+    def __init__(self, rows: list[tuple], phrases: list[tuple], least: int, share: float):
+        self.items = [r[0] for r in rows]
+        self.terms = [np.array(r[1], np.int64) for r in rows]
+        self.changes = int(least * share + 1e-9) + 1
+        self.need, self.back, self.wide = least - self.changes, least - PHRASE, 2 * least - PHRASE
+        edge = self.wide + self.changes
+        starts = np.cumsum([0, *[len(t) + edge for t in self.terms]])[:-1] + edge
+        self.flat = np.zeros(int(sum(len(t) + edge for t in self.terms)) + 2 * edge, np.int64)
+        for at, t in zip(starts, self.terms):
+            self.flat[at : at + len(t)] = t
+        number: dict = {}
+        for i, item in enumerate(self.items):
+            number.setdefault(item, []).append(i)
+        listed = sorted((phrase, i, at) for item, at, phrase in phrases for i in number[item] if at + PHRASE <= len(self.terms[i]))
+        self.phrase = np.array([x[0] for x in listed], np.int64)
+        self.of = np.array([x[1] for x in listed], np.int64)
+        self.at = np.array([x[2] for x in listed], np.int64)
+        self.place = starts[self.of] + self.at if len(listed) else np.zeros(0, np.int64)
+
+    def candidates(self, terms: np.ndarray, phrase: np.ndarray, start: np.ndarray, block: int = 4096) -> Iterator[tuple[int, int, int]]:
+        """(item number, place in the item, start in the document) of the places that are left; terms is the document."""
+        low, high = np.searchsorted(self.phrase, phrase), np.searchsorted(self.phrase, phrase, "right")
+        upto = np.cumsum(high - low)
+        edge = self.wide + self.changes
+        padded = np.full(len(terms) + 2 * edge, -1, np.int64)
+        padded[edge : edge + len(terms)] = terms
+        for begin in range(0, int(upto[-1]) if len(upto) else 0, block):
+            n = np.arange(begin, min(begin + block, upto[-1]))
+            spot = np.searchsorted(upto, n, "right")
+            pick = high[spot] - (upto[spot] - n)
+            asked = self.flat[(self.place[pick] - self.back)[:, None] + np.arange(self.wide)]
+            there = padded[(start[spot] + edge - self.back - self.changes)[:, None] + np.arange(self.wide + 2 * self.changes)]
+            met = np.zeros(asked.shape, bool)
+            for shift in range(2 * self.changes + 1):
+                met |= asked == there[:, shift : shift + self.wide]
+            left = np.flatnonzero(met.sum(axis=1) >= self.need)
+            yield from zip(self.of[pick[left]].tolist(), self.at[pick[left]].tolist(), start[spot[left]].tolist())
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, least: int = 20, share: float = 0.1) -> DataFrame:
     """(doc_id, item_id, words): every document that holds at least `least` successive words of an item, of which at most `share` is changed, missing or added.
 
-    Words changed at the ends of a passage count as part of it: 18 unchanged words can be a passage of 20.
+    Words changed at the ends of a passage count as part of it: 18 unchanged words can be a passage of 20. words is the length of the longest passage.
 
-    Documents become lists of terms in order of position, stored once; the index's postings are the positions of pairs
-    of adjacent terms. Phrases of the items are looked up by their rarest pairs: postings of those only,
-    moved back by the pair's place in the phrase, are intersected by (document, phrase, start). The places found are then compared with the stored positions,
-    exactly for the phrase and by proximity around it. words is the length of the longest passage.
-    Whole documents are used; a posting list of any length is spread over tasks, as postings are
-    joined to the short list of phrases and combined before they are shuffled. Null or empty texts on
-    either side, and null ids, give nothing; repeated rows change nothing; empty tables give an empty result.
+    The index's terms are pairs of adjacent words. Documents become lists of words in order of position, stored once; document frequencies of
+    the items' pairs tell the rarest pairs of each phrase of an item, and the postings (pair, document, position) of those are stored once, in
+    the order of pairs. Postings, moved back by a pair's place in its phrase, are intersected by (document, phrase, start). Around the places that are
+    left, the words on diagonals near the phrase's own are counted, and what has enough of them is compared word by word.
+    Whole documents are used. A posting list of any length is spread over tasks, as postings are joined to the short list of pairs where the
+    documents are read, and combined before they are shuffled. Items are compared in passes of at most ITEM_WORDS words. Null or empty texts on
+    either side, and null ids, give nothing; repeated rows change nothing; empty tables give an empty result. Least words and share must be such
+    that a passage keeps an unchanged aligned phrase, as 20 and a tenth do.
     """
-    spark = documents.sparkSession
+    if (least - PHRASE + 1) // PHRASE <= int(least * share + 1e-9):
+        raise ValueError("a passage may be left without an unchanged phrase: ask for more words or a smaller share of changes")
     held = stored(term_positions(documents, "doc_id", "text"), "positions")  # repeated rows only repeat what is found
     asked = stored(term_positions(items.select(F.col("item_id"), "text").dropDuplicates(["item_id", "text"]), "item_id", "text"), "items")
-    size = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
-    passes = max(1, -(-size // ITEM_WORDS))
-    found = None
-    for k in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        rows = _leaks_of(spark, held, part, least, share)
-        found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
-
-
-def _leaks_of(spark, held: DataFrame, asked: DataFrame, least: int, share: float) -> DataFrame:
     both = F.size("terms") > 1
     vocabulary = asked.where(both).select(F.explode(adjacent_pairs(F.col("terms"))).alias("pair")).distinct()
     frequency = held.where(both).select(F.explode(F.array_distinct(adjacent_pairs(F.col("terms")))).alias("pair"))
-    frequency = frequency.join(vocabulary, "pair", "left_semi")
-    frequency = stored(frequency.groupBy("pair").agg(F.count(F.lit(1)).alias("df")), "frequency")
+    frequency = stored(frequency.join(vocabulary, "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("df")), "frequency")
     phrases, rare = item_phrases(asked, frequency)
     phrases, rare = stored(phrases, "phrases"), stored(rare, "rare")
     postings = held.where(both).select("doc_id", F.posexplode(adjacent_pairs(F.col("terms"))).alias("pos", "pair"))
+    postings = stored(postings.join(rare.select("pair").distinct(), "pair", "left_semi").sortWithinPartitions("pair", "doc_id", "pos"), "postings")
     hits = postings.join(rare, "pair").select("doc_id", "phrase", (F.col("pos") - F.col("place")).alias("start")).where("start >= 0")
-    hits = hits.groupBy("doc_id", "phrase", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RARE)
-    places = hits.select("doc_id", "phrase", "start").groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "start")).alias("places"))
-    need = 17 if least >= 20 and share <= 0.1 else 0  # see may_hold
-    rows = {}
-    for r in asked.collect():  # bounded by ITEM_WORDS
-        rows.setdefault(r["item_id"], []).append(np.array(r["terms"], np.int64))
-    where: dict[int, list] = {}
-    for r in phrases.collect():
-        where.setdefault(r["phrase"], []).append((r["item_id"], r["at"]))
-    shared = spark.sparkContext.broadcast((rows, where))
+    hits = hits.groupBy("doc_id", "phrase", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RARE).select("doc_id", "phrase", "start")
+
+    size = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    passes = max(1, -(-size // ITEM_WORDS))
+    hits = stored(hits, "hits") if passes > 1 else hits
+    found = None
+    for k in range(passes):
+        own = F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k
+        rows = _verified(held, hits, asked.where(own), phrases.where(own), least, share)
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, at_phrase = shared.value
-        lists = {item: [v.tolist() for v in versions] for item, versions in texts.items()}
-        for batch in batches:
-            docs, ids, words = [], [], []
-            for doc, spots, terms in zip(batch.column(0), batch.column(1), batch.column(2)):
-                terms = terms.values.to_numpy(zero_copy_only=False)
-                best: dict = {}
-                for spot in spots.as_py():
-                    start = spot["start"]
-                    near = set(terms[max(0, start - 18) : start + 23].tolist())
-                    for item, at in at_phrase.get(spot["phrase"], ()):
-                        for version, listed in zip(texts[item], lists[item]):
-                            if at + PHRASE > len(version) or best.get(item, 0) >= len(version) or not may_hold(listed, near, at, need):
-                                continue
-                            n = longest_passage(version, terms, at, start, share)
-                            if n >= least and n > best.get(item, 0):
-                                best[item] = n
-                docs += [doc.as_py()] * len(best)
-                ids += list(best)
-                words += list(best.values())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, doc_type), pa.array(ids, item_type), pa.array(words, pa.int32())], names=["doc_id", "item_id", "words"])
 
+def _verified(held: DataFrame, hits: DataFrame, asked: DataFrame, phrases: DataFrame, least: int, share: float) -> DataFrame:
+    """(doc_id, item_id, words) of the passages around the hits of one pass; its items are bounded by ITEM_WORDS."""
+    spark = held.sparkSession
+    windows = ItemWindows([tuple(r) for r in asked.select("item_id", "terms").collect()], [tuple(r) for r in phrases.select("item_id", "at", "phrase").collect()], least, share)
+    shared = spark.sparkContext.broadcast(windows)
+    places = hits.groupBy("doc_id").agg(F.collect_list("phrase").alias("phrases"), F.collect_list("start").alias("starts"))
     kind = {"doc_id": held.schema["doc_id"].dataType.simpleString(), "item_id": asked.schema["item_id"].dataType.simpleString()}
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    doc_type, item_type = arrow[kind["doc_id"]], arrow[kind["item_id"]]
-    return places.join(held, "doc_id").mapInArrow(verify, f"doc_id {kind['doc_id']}, item_id {kind['item_id']}, words int")
+    types = [arrow[kind["doc_id"]], arrow[kind["item_id"]], pa.int32()]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, spots, starts, words in zip(*batch.columns):
+                terms = words.values.to_numpy(zero_copy_only=False)
+                best: dict[int, int] = {}
+                for item, at, start in of.candidates(terms, spots.values.to_numpy(), starts.values.to_numpy().astype(np.int64)):
+                    if best.get(item, 0) < len(of.terms[item]):
+                        best[item] = max(best.get(item, 0), longest_passage(of.terms[item], terms, at, start, share))
+                out += [(doc.as_py(), of.items[item], n) for item, n in best.items() if n >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "item_id", "words"])
+
+    rows = places.join(held, "doc_id").select("doc_id", "phrases", "starts", "terms")
+    return rows.mapInArrow(verify, f"doc_id {kind['doc_id']}, item_id {kind['item_id']}, words int")

@@ -16,7 +16,7 @@ from caseloom.llm.splits import shared_key
 from caseloom.session import stored
 
 WORD = regex.compile(r"[^\W_]+")
-BANDS, ROWS = 32, 10
+BANDS, ROWS = 40, 9  # a pair of similarity j is missed with probability (1 - j**ROWS)**BANDS: 0.3 % at 0.8, 0.08 % at 0.818
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,16 +25,12 @@ def plain_words(text: str) -> list[str]:
     return WORD.findall(unicodedata.normalize("NFKC", text).casefold())
 
 
-def _word_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
-    if len(memo) > 1_000_000:
-        memo.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+class _Hashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
 
 
 def counted(hashes: np.ndarray) -> np.ndarray:
@@ -47,47 +43,63 @@ def counted(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(items: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band from BANDS * ROWS minwise hashes."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(items), 512):  # long texts in slices, so that memory stays flat
-        least = np.minimum(least, (items[at : at + 512, None] * factors + offsets).min(axis=0))
-    least = (least >> np.uint64(20)).reshape(BANDS, ROWS)
+    """One 64-bit key per band from BANDS * ROWS minwise hashes of 32 bits."""
+    short = (items >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(short), 256):  # long texts in slices, so that memory stays flat
+        least = np.minimum(least, (short[at : at + 256, None] * factors + offsets).min(axis=0))
+    rows = least.astype(np.uint64).reshape(BANDS, ROWS)
     keys = np.arange(BANDS, dtype=np.uint64) * _MIX
     for k in range(ROWS):
-        keys = (keys ^ least[:, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys = (keys ^ rows[:, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
         keys ^= keys >> np.uint64(31)
     return keys
 
 
-def report_signatures(reports: DataFrame, seed: int = 7) -> DataFrame:
-    """(study_id, class_id, items, bands) per report row; text columns findings and impression.
+def report_bags(reports: DataFrame) -> DataFrame:
+    """(study_id, class_id, items) per report row; text columns findings and impression.
 
     class_id stands for the exact bag of words: equal bags share it. Reports without a word have no row.
     """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Hashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # few whole texts are Python objects at a time
+                ids, classes, items = [], [], []
+                for study, findings, impression in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns)):
+                    words = plain_words(f"{findings or ''}\n{impression or ''}")
+                    if not words:
+                        continue
+                    if len(memo) > 1_000_000:
+                        memo.clear()
+                    bag = counted(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+                    ids.append(study)
+                    classes.append(xxhash.xxh3_128_digest(bag.tobytes()))
+                    items.append(bag.view(np.int64))
+                columns = [pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.array(items, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["study_id", "class_id", "items"])
+
+    return reports.select("study_id", "findings", "impression").mapInArrow(cut, "study_id string, class_id binary, items array<long>")
+
+
+def class_bands(classes: DataFrame, seed: int = 7) -> DataFrame:
+    """(class_id, in_train, in_eval, band) with BANDS rows of each class; classes has class_id, in_train, in_eval, items."""
     draws = np.random.default_rng(seed)
-    factors = draws.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    offsets = draws.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+    factors = draws.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+    offsets = draws.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        for batch in batches:
-            ids, classes, items, bands = [], [], [], []
-            for study, findings, impression in zip(*(c.to_pylist() for c in batch.columns)):
-                words = plain_words(f"{findings or ''}\n{impression or ''}")
-                if not words:
-                    continue
-                bag = counted(_word_hashes(words, memo))
-                ids.append(study)
-                classes.append(xxhash.xxh3_128_hexdigest(bag.tobytes()))
-                items.append(bag.view(np.int64))
-                bands.append(band_keys(bag, factors, offsets).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(classes, pa.string()), pa.array(items, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                names=["study_id", "class_id", "items", "bands"],
-            )
-
-    rows = reports.select("study_id", "findings", "impression")
-    return rows.mapInArrow(sign, "study_id string, class_id string, items array<long>, bands array<long>")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                keys = [band_keys(bag.values.to_numpy().view(np.uint64), factors, offsets) for bag in batch.column(3)]
+                spread = np.repeat(np.arange(len(keys)), BANDS)
+                bands = pa.array(np.concatenate(keys).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(spread)) for c in batch.columns[:3]], bands], names=["class_id", "in_train", "in_eval", "band"])
+
+    rows = classes.select("class_id", "in_train", "in_eval", "items")
+    return rows.mapInArrow(sign, "class_id binary, in_train boolean, in_eval boolean, band long")
 
 
 def study_sides(splits: DataFrame, train: str, evaluation: list[str]) -> DataFrame:
@@ -101,16 +113,16 @@ def study_sides(splits: DataFrame, train: str, evaluation: list[str]) -> DataFra
 def similar_classes(classes: DataFrame, least: float) -> DataFrame:
     """Pairs (train_class, eval_class, jaccard) of different bags whose exact Jaccard similarity is at least `least`.
 
-    classes has class_id, items, bands, in_train, in_eval. Only pairs across the sides are formed: the
+    classes has class_id, items, in_train, in_eval. Only pairs across the sides are formed: the
     join of a bucket is between its train and its evaluation classes.
     """
-    banded = classes.select("class_id", "in_train", "in_eval", F.explode("bands").alias("band"))
+    banded = class_bands(classes)
     left = banded.where("in_train").select("band", F.col("class_id").alias("train_class"))
     right = banded.where("in_eval").select("band", F.col("class_id").alias("eval_class"))
     pairs = left.join(right, "band").where("train_class <> eval_class").select("train_class", "eval_class").distinct()
     bag = classes.select("class_id", "items")
-    both = pairs.join(bag.select(F.col("class_id").alias("train_class"), F.col("items").alias("a")), "train_class")
-    both = both.join(bag.select(F.col("class_id").alias("eval_class"), F.col("items").alias("b")), "eval_class")
+    both = pairs.join(bag.where("in_train").select(F.col("class_id").alias("train_class"), F.col("items").alias("a")), "train_class")
+    both = both.join(bag.where("in_eval").select(F.col("class_id").alias("eval_class"), F.col("items").alias("b")), "eval_class")
     common = F.size(F.array_intersect("a", "b"))
     sized = both.select("train_class", "eval_class", common.alias("i"), (F.size("a") + F.size("b")).alias("n"))
     return sized.select("train_class", "eval_class", (F.col("i") / (F.col("n") - F.col("i"))).alias("jaccard")).where(
@@ -118,49 +130,79 @@ def similar_classes(classes: DataFrame, least: float) -> DataFrame:
     )
 
 
-def cross_split_pairs(
-    cases: DataFrame,
-    splits: DataFrame,
-    clusters: DataFrame,
-    train: str = "train",
-    evaluation: tuple[str, ...] = ("calibration", "validation", "test"),
-    least: float = 0.8,
-) -> DataFrame:
-    """(train_study, eval_study, split_name) for reports that occur the same or nearly so on both sides, or in one cluster.
+EVALUATION = ("calibration", "validation", "test")
+
 
-    The items compared are the words of a report as a bag, as sentence order and the border between the
+class Overlap:
+    """What the two sides of a split have in common, before it is spread over studies.
+
+    members: (study_id, split_name, is_train, key), where a key is an exact bag of words, or a listed cluster;
+    links: (train_key, eval_key) of bags that are equal or similar, and of clusters.
+
+    The items compared are the words of a report as a bag (shingles of one word, numbered by occurrence), as sentence order and the border between the
     fields don't matter: bags that agree up to a tenth of the longer have a Jaccard similarity of at
-    least 0.818. Equal bags form a class; minwise hashes are made and compared once per class and
-    spread over members at the end, so groups of copies cost no hashing and no verification. Null and empty texts only
+    least 0.818. Equal bags form a class; minwise hashes are made and compared once per class, so groups of copies cost no hashing and no verification. Null and empty texts only
     match by cluster; repeated rows change nothing; a study without a split, or empty tables, give nothing.
     """
-    sides = study_sides(splits, train, list(evaluation))
-    reports = cases.select(shared_key(F.col("study_id")).alias("study_id"), "findings", "impression")
-    signed = stored(report_signatures(reports.join(sides.select("study_id").distinct(), "study_id", "left_semi")), "reports")
-    members = signed.select("study_id", "class_id").distinct().join(sides, "study_id")
-    flags = members.groupBy("class_id").agg(F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-    bags = signed.groupBy("class_id").agg(F.first("items").alias("items"), F.first("bands").alias("bands"))
-    near = similar_classes(bags.join(flags, "class_id"), least)
-    same = flags.where("in_train and in_eval").select(F.col("class_id").alias("train_class"), F.col("class_id").alias("eval_class"))
-    pairs = near.select("train_class", "eval_class").unionByName(same)
-    left = members.where("is_train").select(F.col("class_id").alias("train_class"), F.col("study_id").alias("train_study"))
-    right = members.where("not is_train").select(F.col("class_id").alias("eval_class"), F.col("study_id").alias("eval_study"), "split_name")
-    by_text = pairs.join(left, "train_class").join(right, "eval_class").select("train_study", "eval_study", "split_name")
-    listed = clusters.select("cluster_id", shared_key(F.col("case_id")).alias("study_id")).where("cluster_id is not null").distinct()
-    placed = listed.join(sides, "study_id")
-    by_cluster = placed.where("is_train").select("cluster_id", F.col("study_id").alias("train_study")).join(
-        placed.where("not is_train").select("cluster_id", F.col("study_id").alias("eval_study"), "split_name"), "cluster_id"
-    )
-    found = by_text.unionByName(by_cluster.select("train_study", "eval_study", "split_name"))
-    return found.where("train_study <> eval_study").distinct()
-
-
-def overlap_report(pairs: DataFrame, cases: DataFrame) -> DataFrame:
-    """Confirmed pairs by evaluation split and by the source of the train study; a study's source is its smallest non-null one."""
-    source = cases.select(shared_key(F.col("study_id")).alias("train_study"), "source").groupBy("train_study").agg(F.min("source").alias("source"))
-    rows = pairs.join(source, "train_study", "left")
-    return rows.groupBy("split_name", "source").agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.countDistinct("train_study").alias("n_train_studies"),
-        F.countDistinct("eval_study").alias("n_eval_studies"),
-    )
+
+    def __init__(self, cases: DataFrame, splits: DataFrame, clusters: DataFrame, train: str = "train", evaluation: tuple[str, ...] = EVALUATION, least: float = 0.8):
+        sides = study_sides(splits, train, list(evaluation))
+        reports = cases.select(shared_key(F.col("study_id")).alias("study_id"), "findings", "impression")
+        signed = stored(report_bags(reports.join(sides.select("study_id").distinct(), "study_id", "left_semi")), "reports")
+        written = signed.select("study_id", "class_id").distinct().join(sides, "study_id")
+        flags = written.groupBy("class_id").agg(F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
+        bags = signed.groupBy("class_id").agg(F.first("items").alias("items"))
+        near = similar_classes(stored(bags.join(flags, "class_id"), "bags"), least).select("train_class", "eval_class")
+        same = flags.where("in_train and in_eval").select(F.col("class_id").alias("train_class"), F.col("class_id").alias("eval_class"))
+        listed = clusters.select(shared_key(F.col("case_id")).alias("study_id"), F.encode("cluster_id", "utf-8").alias("key")).where("key is not null").distinct()
+        placed = listed.join(sides, "study_id")
+        met = placed.groupBy("key").agg(F.max("is_train").alias("t"), F.max(~F.col("is_train")).alias("e")).where("t and e")
+        bag, cluster = F.lit(b"b"), F.lit(b"c")  # a bag and a cluster never share a key
+        columns = ["study_id", "split_name", "is_train"]
+        self.members = written.select(*columns, F.concat(bag, "class_id").alias("key")).unionByName(placed.select(*columns, F.concat(cluster, "key").alias("key")))
+        by_text = near.unionByName(same).select(F.concat(bag, "train_class").alias("train_key"), F.concat(bag, "eval_class").alias("eval_key"))
+        by_cluster = met.select(F.concat(cluster, "key").alias("train_key"), F.concat(cluster, "key").alias("eval_key"))
+        self.links = by_text.unionByName(by_cluster)
+
+
+def cross_split_pairs(cases: DataFrame, splits: DataFrame, clusters: DataFrame, **settings) -> DataFrame:
+    """(train_study, eval_study, split_name) for reports that occur the same or nearly so on both sides, or in one cluster.
+
+    Settings and cases are those of Overlap. Classes are spread over their studies at the end; as the result lists pairs of studies, its rows grow with the square of a group of copies.
+    """
+    both = Overlap(cases, splits, clusters, **settings)
+    left = both.members.where("is_train").select(F.col("key").alias("train_key"), F.col("study_id").alias("train_study"))
+    right = both.members.where("not is_train").select(F.col("key").alias("eval_key"), F.col("study_id").alias("eval_study"), "split_name")
+    pairs = both.links.join(left, "train_key").join(right, "eval_key").select("train_study", "eval_study", "split_name")
+    return pairs.where("train_study <> eval_study").distinct()
+
+
+def overlap_report(cases: DataFrame, splits: DataFrame, clusters: DataFrame, **settings) -> DataFrame:
+    """(split_name, source, n_pairs, n_train_studies, n_eval_studies): the pairs of cross_split_pairs by evaluation split and source of the train study, without listing them.
+
+    Studies of the same bags and clusters share a profile, and pairs of profiles are weighed by how many studies they have on either side; a study on
+    both sides has a profile of its own, as it is no partner of itself. A study's source is its smallest non-null one.
+    """
+    both = Overlap(cases, splits, clusters, **settings)
+    members = stored(both.members, "members")
+    twice = members.groupBy("study_id").agg(F.count_distinct("is_train").alias("n")).where("n > 1").select("study_id", F.lit(True).alias("twice"))
+    keys = members.select("study_id", "key").distinct()
+    marks = [F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n")]
+    profiles = keys.groupBy("study_id").agg(*marks).join(twice, "study_id", "left")
+    profiles = profiles.select("study_id", F.struct("x", "y", "n", F.when(F.col("twice"), F.col("study_id")).alias("s")).alias("profile"))
+    source = cases.select(shared_key(F.col("study_id")).alias("study_id"), "source").groupBy("study_id").agg(F.min("source").alias("source"))
+    studies = members.select("study_id", "split_name", "is_train").distinct().join(profiles, "study_id").join(source, "study_id", "left")
+    studies = stored(studies.groupBy("profile", "split_name", "is_train", "source").agg(F.count(F.lit(1)).alias("n_studies")), "profiles")
+    of = stored(keys.join(profiles, "study_id").select("key", "profile").distinct(), "profile-keys")
+    pairs = both.links.join(of.select(F.col("key").alias("train_key"), F.col("profile").alias("a")), "train_key")
+    pairs = pairs.join(of.select(F.col("key").alias("eval_key"), F.col("profile").alias("b")), "eval_key").select("a", "b").distinct()
+    pairs = pairs.where("a.s is null or b.s is null or a.s <> b.s")
+    left = studies.where("is_train").groupBy(F.col("profile").alias("a"), "source").agg(F.sum("n_studies").alias("n_a"))
+    right = studies.where("not is_train").groupBy(F.col("profile").alias("b"), "split_name").agg(F.sum("n_studies").alias("n_b"))
+    spread = stored(pairs.join(left, "a").join(right, "b"), "profile-pairs")
+    counts = spread.groupBy("split_name", "source").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n_pairs"))
+    trained = spread.select("a", "source", "split_name", "n_a").distinct().groupBy("split_name", F.col("source").alias("s")).agg(F.sum("n_a").alias("n_train_studies"))
+    asked = spread.select("b", "source", "split_name", "n_b").distinct().groupBy("split_name", F.col("source").alias("s")).agg(F.sum("n_b").alias("n_eval_studies"))
+    for part in (trained, asked):
+        counts = counts.join(part.withColumnRenamed("split_name", "p"), (F.col("p") == F.col("split_name")) & F.col("s").eqNullSafe(F.col("source"))).drop("p", "s")
+    return counts.select("split_name", "source", "n_pairs", "n_train_studies", "n_eval_studies")

@@ -33,19 +33,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.broken_answers(results.unionByName(checks), table(spark, d, "questions"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.cross_split_pairs(
-        table(spark, d, "paired_cases"), table(spark, d, "study_splits"), table(spark, d, "duplicate_clusters")
-    )
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "paired_cases"), table(spark, d, "study_splits"), table(spark, d, "duplicate_clusters")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("train_study"), F.col("eval_study")
-    return _pairs(spark, d).select(F.least(a, b).alias("study_id_a"), F.greatest(a, b).alias("study_id_b")).distinct()
+    pairs = overlap.cross_split_pairs(*_sides(spark, d))
+    return pairs.select(F.least(a, b).alias("study_id_a"), F.greatest(a, b).alias("study_id_b")).distinct()
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(_pairs(spark, d), table(spark, d, "paired_cases"))
+    return overlap.overlap_report(*_sides(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

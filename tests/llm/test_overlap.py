@@ -46,7 +46,7 @@ def test_forms_that_do_not_matter(spark):
     cases, sides, clusters = setup(spark, reports, splits, [("C", " s3"), ("C", "S4"), ("C", "S4"), (None, "S1"), ("D", None)])
     pairs = cross_split_pairs(cases, sides, clusters)
     assert {(r[0], r[1]) for r in pairs.collect()} == {("S1", "S2"), ("S3", "S4")}
-    assert [(r["split_name"], r["n_pairs"]) for r in overlap_report(pairs, cases).collect()] == [("test", 2)]
+    assert [tuple(r) for r in overlap_report(cases, sides, clusters).collect()] == [("test", "src", 2, 2, 2)]
 
 
 def test_group_of_copies(spark):
@@ -57,3 +57,32 @@ def test_group_of_copies(spark):
 
 def test_empty(spark):
     assert cross_split_pairs(*setup(spark, [], [], [])).count() == 0
+
+
+def test_report_counts_the_listed_pairs(spark):
+    """Copies, near-copies, studies of several reports, in several splits and clusters, null sources."""
+    draw = random.Random(6)
+    base = [" ".join(draw.choice(WORDS) for _ in range(50)) for _ in range(12)]
+    reports, splits, listed = [], [], []
+    for k in range(260):
+        study = f"S{k % 200:03}"  # some studies have two reports
+        text = draw.choice(base).split()
+        if draw.random() < 0.3:
+            text[draw.randrange(50)] = "changed"
+        reports.append((study, " ".join(text), None, draw.choice(["x", "y", None])))
+        splits.append((study, draw.choice(["train", "train", "validation", "test"])))
+        if draw.random() < 0.2:
+            listed.append((f"C{draw.randrange(9)}", study))
+    cases = spark.createDataFrame(reports, "study_id string, findings string, impression string, source string")
+    _, sides, clusters = setup(spark, [], splits, listed)
+    source = {}
+    for study, _, _, own in reports:
+        if own is not None:
+            source[study] = min(own, source.get(study, own))
+    want = {}
+    for a, b, split in {tuple(r) for r in cross_split_pairs(cases, sides, clusters).collect()}:
+        row = want.setdefault((split, source.get(a)), (set(), set(), set()))
+        for part, value in zip(row, ((a, b), a, b)):
+            part.add(value)
+    got = {(r["split_name"], r["source"]): (r["n_pairs"], r["n_train_studies"], r["n_eval_studies"]) for r in overlap_report(cases, sides, clusters).collect()}
+    assert got == {k: tuple(map(len, v)) for k, v in want.items()} and len(got) > 4

@@ -140,7 +140,7 @@ class PushdownParser:
                 at = found.end()
         if "```" not in self.open:
             outside.append(text[at:])
-        self.items: list[str] = ITEM.findall("\n".join(outside)) if ITEM.search(text) else []
+        self.items: list[str] = ITEM.findall("\n".join(outside)) if "\n" in text else []
 
     def last_item_is_open(self) -> bool:
         """Whether the last list item lacks the end mark that an item before it has."""
@@ -245,6 +245,8 @@ def copies_question(core: str, question: str | None) -> bool:
     if rest.strip() != " ".join(a):
         return not set(rest.split()) - LABEL_WORDS  # the question again and again, or the question and more
     need = max(0.6 * max(len(a), len(q)), max(len(a), len(q)) - 2)
+    if min(len(a), len(q)) < need:
+        return False
     return sum((Counter(a) & Counter(q)).values()) >= need and tiled(a, q) >= need  # tiles can't cover more than the common words
 
 

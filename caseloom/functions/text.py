@@ -78,10 +78,14 @@ def plain_sentences(value: Column) -> Column:
     return F.filter(F.split(clean_text(value), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+# What numbers a sentence, and what ends one, in evidence checks.
+NUMBERING, SENTENCE_END = r"\b(\d+)\.\s+", r"(?<=[.!?])\s+|[\r\n]+|\s*;\s*"
+
+
 def numbered_sentences(value: Column) -> Column:
     """Third splitter: '1. ' numbering is protected; breaks at sentence ends, new lines and semicolons."""
-    guarded = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"\b(\d+)\.\s+", "$1\u0001 ")
-    parts = F.split(guarded, r"(?<=[.!?])\s+|[\r\n]+|\s*;\s*")
+    guarded = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), NUMBERING, "$1\u0001 ")
+    parts = F.split(guarded, SENTENCE_END)
     return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: s != "")
 
 
@@ -102,15 +106,17 @@ NEGATION = r"(?i)\b(?:no|not|without|absent|absence\s+of|negative\s+for|free\s+o
 NORMALITY = r"(?i)\b(?:normal|within\s+normal\s+limits|unremarkable|no\s+acute\s+(?:disease|abnormality))\b"
 
 
+# Plural endings, longest first, with the least letters of a word, the ending that is spared, and what replaces them.
+ENDINGS = (("ies", 5, None, "y"), ("es", 5, "ses", ""), ("s", 4, "ss", ""))
+
+
 def stemmed(token: Column) -> Column:
-    """Plural endings only: ies gives y, then es (but not ses), then s (but not ss) is dropped, in words long enough."""
-    size = F.length(token)
-    return (
-        F.when((size > 4) & token.endswith("ies"), F.concat(token.substr(F.lit(1), size - 3), F.lit("y")))
-        .when((size > 4) & token.endswith("es") & ~token.endswith("ses"), token.substr(F.lit(1), size - 2))
-        .when((size > 3) & token.endswith("s") & ~token.endswith("ss"), token.substr(F.lit(1), size - 1))
-        .otherwise(token)
-    )
+    """Without the first of the plural ENDINGS that fits."""
+    size, out = F.length(token), token
+    for ending, least, spared, instead in reversed(ENDINGS):
+        fits = (size >= least) & token.endswith(ending) & (~token.endswith(spared) if spared else F.lit(True))
+        out = F.when(fits, F.concat(token.substr(F.lit(1), size - len(ending)), F.lit(instead))).otherwise(out)
+    return out
 
 
 def content_tokens(value: Column) -> Column:

@@ -17,6 +17,8 @@ OUT_OF_SCOPE = ["attenuation", "discharge", "hounsfield", "medication", "oxygen
 IMPRESSION_CUES = ["conclusion", "assessment", "bottom line", "radiologist reach", "diagnostic"]
 FINDINGS_CUES = ["observation", "abnormalit", "images", "radiographic", "examination show"]
 NOT_ANSWERABLE = "NOT ANSWERABLE"
+# Fixed values of the evidence score: credit for a routed and an open section, weights of level and overlap, half-level of the top score, ceiling; and the probability of an unavailable question.
+ROUTED, OPEN, LEVEL, OVERLAP, HALF, CEILING, UNAVAILABLE = 0.55, 0.15, 0.25, 0.20, 3.0, 0.99, 0.02
 
 
 def report_intent(question: Column) -> Column:
@@ -45,8 +47,8 @@ def _scored(asked: DataFrame, found: DataFrame) -> DataFrame:
     terms = F.array_distinct(ascii_tokens(F.col("query")))
     seen = ascii_tokens(F.array_join(F.transform("hits", lambda h: h["text"]), " "))
     overlap = F.when(F.size(terms) > 0, F.size(F.array_intersect(terms, seen)) / F.size(terms)).otherwise(0.0)
-    level = F.when(F.col("top") > 0, F.col("top") / (F.col("top") + 3.0)).otherwise(0.0)
-    score = F.when(F.col("hits").isNull(), 0.0).otherwise(F.least(F.lit(0.99), F.col("credit") + 0.25 * level + 0.20 * overlap))
+    level = F.when(F.col("top") > 0, F.col("top") / (F.col("top") + HALF)).otherwise(0.0)
+    score = F.when(F.col("hits").isNull(), 0.0).otherwise(F.least(F.lit(CEILING), F.col("credit") + LEVEL * level + OVERLAP * overlap))
     none = F.array().cast("array<struct<rank:int,chunk_id:string,text:string>>")
     return rows.select("qid", F.coalesce("hits", none).alias("hits"), score.alias("score"))
 
@@ -61,13 +63,13 @@ def closed_loop(questions: DataFrame, chunks: DataFrame, k: int = 3, threshold:
     chunks = stored(chunks.select("chunk_id", "case_id", "section", "text"), "chunks")  # read by both passes
     plan = questions.select("qid", "case_id", F.coalesce("question", F.lit("")).alias("question")).withColumn("intent", report_intent(F.col("question")))
     routed = F.col("intent").isin("findings", "impression")
-    first = plan.where("intent <> 'unavailable'").select("qid", "case_id", F.col("question").alias("query"), F.when(routed, F.col("intent")).alias("section"), F.when(routed, 0.55).otherwise(0.15).alias("credit"))
+    first = plan.where("intent <> 'unavailable'").select("qid", "case_id", F.col("question").alias("query"), F.when(routed, F.col("intent")).alias("section"), F.when(routed, ROUTED).otherwise(OPEN).alias("credit"))
     one = _scored(first, retrieve_scoped(first, chunks, k)).select("qid", F.col("hits").alias("h1"), F.col("score").alias("s1"))
     one = stored(one, "first_pass")
     summary = F.lower("question").contains("summar")
     again = plan.join(one.where(F.col("s1") < threshold).select("qid"), "qid").select(
         "qid", "case_id", F.concat("question", F.when(summary, F.lit(" final radiology impression conclusion")).otherwise(F.lit(" radiographic findings impression"))).alias("query"),
-        F.when(summary, "impression").otherwise("findings").alias("section"), F.when(summary, 0.55).otherwise(0.15).alias("credit"),
+        F.when(summary, "impression").otherwise("findings").alias("section"), F.when(summary, ROUTED).otherwise(OPEN).alias("credit"),
     )
     two = _scored(again, retrieve_scoped(again, chunks, k)).select("qid", F.col("hits").alias("h2"), F.col("score").alias("s2"))
     two = two.join(again.select("qid", F.col("section").alias("retry_intent")), "qid")
@@ -75,7 +77,7 @@ def closed_loop(questions: DataFrame, chunks: DataFrame, k: int = 3, threshold:
     none = F.array().cast("array<struct<chunk_id:string,text:string>>")
     bare = lambda c: F.coalesce(F.transform(c, lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["text"].alias("text"))), none)
     hits = F.array_distinct(F.concat(bare("h1"), bare("h2")))
-    sure = F.when(F.col("intent") == "unavailable", 0.02).otherwise(F.greatest(F.col("s1"), F.coalesce("s2", F.lit(0.0))))
+    sure = F.when(F.col("intent") == "unavailable", UNAVAILABLE).otherwise(F.greatest(F.col("s1"), F.coalesce("s2", F.lit(0.0))))
     rows = rows.withColumn("hits", hits).withColumn("answer_probability", sure)
     answers = F.col("answer_probability") >= threshold
     calls = F.when(F.col("s1").isNull(), 0).when(F.col("s2").isNull(), 1).otherwise(2)

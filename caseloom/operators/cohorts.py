@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.hashing import order_key
 from caseloom.functions.text import normalized_key
 from caseloom.operators.components import connected_components, star_edges
-from caseloom.operators.near_text import near_text_pairs
+from caseloom.operators.near_text import near_text_links
 from caseloom.operators.order import with_positions
 from caseloom.session import stored
 
@@ -81,7 +81,7 @@ def near_text_clusters(cases: DataFrame, key: str, texts: list[str], threshold:
     rows = stored(cases.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), text.alias("text")).distinct().withColumn("h", F.xxhash64("text")), "texts")
     said = rows.where("text <> ''")
     one = said.groupBy("h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"), F.min("k").alias("k"))
-    near = near_text_pairs(one.select(F.col("h").alias("id"), "text", "n"), threshold)
+    near = near_text_links(one.select(F.col("h").alias("id"), "text", "n"), threshold)
     heads = one.select("h", "k")
     near = near.join(heads.select(F.col("h").alias("a"), F.col("k").alias("u")), "a").join(heads.select(F.col("h").alias("b"), F.col("k").alias("v")), "b")
     parts = connected_components(star_edges(said, "k", "h").unionByName(near.select("u", "v")))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.vectors import logit, sigmoid
+from caseloom.operators.order import ranks_in_groups
+from caseloom.operators.skew import join_one_per_key
 
 
 def fit_logistic(rows: DataFrame, features: str, label: str, reg: float = 0.01) -> dict:
@@ -28,14 +30,21 @@ def predict(features: Column, model: dict) -> Column:
     return sigmoid(F.aggregate(parts, F.lit(float(model["intercept"])), lambda s, x: s + x))
 
 
-def pair_differences(rows: DataFrame, query: str, item: str, features: str, gain: str, least_gap: float) -> DataFrame:
-    """(query, x, label): feature differences of high against low items of a query, once each way: a linear pairwise ranker is a logistic model of them."""
-    a = rows.select(query, F.col(item).alias("_i"), F.col(features).alias("_x"), F.col(gain).alias("_g"))
-    b = rows.select(query, F.col(item).alias("_j"), F.col(features).alias("_y"), F.col(gain).alias("_h"))
-    pairs = a.join(b, query).where(F.col("_g") - F.col("_h") >= least_gap)
+def pair_differences(rows: DataFrame, query: str, item: str, features: str, gain: str, high: float, low: float, draws: int = 8, seed: int = 7) -> DataFrame:
+    """(query, x, label): feature differences of items of gain >= high against items of gain <= low of the same query, once each way: a linear pairwise ranker is a logistic model of them.
+
+    Every high item meets `draws` low items of its query (repeats drop out), drawn by hash: low items are numbered within their query, and an item looks its draws up by number. So
+    pairs grow with the rows of a query, not with their square.
+    """
+    lows = rows.where(F.col(gain) <= low).select(query, F.col(item).alias("_j"), F.col(features).alias("_y"))
+    numbered = ranks_in_groups(lows, [query], [F.xxhash64("_j", F.lit(seed)), F.col("_j")], "_at")
+    sizes = lows.groupBy(query).agg(F.count(F.lit(1)).alias("_n"))
+    highs = join_one_per_key(rows.where(F.col(gain) >= high).select(query, F.col(item).alias("_i"), F.col(features).alias("_x")), sizes, query)
+    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.pmod(F.xxhash64("_i", k, F.lit(seed)), F.col("_n")) + 1))
+    pairs = highs.select(query, "_x", F.explode(picks).alias("_at")).join(numbered, [query, "_at"])
     diff = F.zip_with("_x", "_y", lambda x, y: x.cast("double") - y.cast("double"))
-    high = pairs.select(query, diff.alias("x"), F.lit(1).alias("label"))
-    return high.unionByName(high.select(query, F.transform("x", lambda v: -v).alias("x"), F.lit(0).alias("label")))
+    first = pairs.select(query, diff.alias("x"), F.lit(1).alias("label"))
+    return first.unionByName(first.select(query, F.transform("x", lambda v: -v).alias("x"), F.lit(0).alias("label")))
 
 
 def fit_platt(rows: DataFrame, probability: str, truth: str, l2: float = 0.01, rounds: int = 50, tolerance: float = 1e-8) -> dict[str, float]:

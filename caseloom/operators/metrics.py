@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import ascii_tokens
-from caseloom.operators.order import with_positions
-from caseloom.session import stored
+from caseloom.operators.order import running_maximum, with_positions
 
 
-def retrieval_metrics(ranks: DataFrame, qrels: DataFrame, query: str, item: str, groups: list[str], ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """Mean hit@k, recall@k and reciprocal rank over all queries of qrels, per group of rankings (say, a system); a query without a ranking counts 0.
+def retrieval_metrics(ranks: DataFrame, qrels: DataFrame, query: str, item: str, systems: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Mean hit@k, recall@k and reciprocal rank over all queries of qrels, per system; a query without a ranking counts 0.
 
-    ranks has query, item, rank and the groups; qrels has query and item of the relevant pairs.
+    ranks has query, item, rank and the columns of systems, and may be reduced to relevant items; systems lists the few ranking systems; qrels has query and item of the relevant pairs.
     """
+    groups = systems.columns
     relevant = qrels.select(query, item).distinct()
     total = relevant.groupBy(query).agg(F.count(F.lit(1)).alias("n_rel"))
-    every = ranks.select(*groups).distinct()
     found = ranks.join(relevant, [query, item]).groupBy(*groups, query).agg(
         F.min("rank").alias("first"), *[F.count_if(F.col("rank") <= k).alias(f"n_{k}") for k in ks]
     )
-    per_query = total.join(F.broadcast(every))  # a few rows: one per ranking system
+    per_query = total.join(F.broadcast(systems))  # a few rows: one per ranking system
     per_query = per_query.join(found, [*groups, query], "left")
     hit = [F.avg(F.when(F.coalesce(f"n_{k}", F.lit(0)) > 0, 1.0).otherwise(0.0)).alias(f"hit_at_{k}") for k in ks]
     recall = [F.avg(F.coalesce(f"n_{k}", F.lit(0)) / F.col("n_rel")).alias(f"recall_at_{k}") for k in ks]
@@ -32,27 +33,29 @@ def retrieval_metrics(ranks: DataFrame, qrels: DataFrame, query: str, item: str,
 def ndcg(gains: DataFrame, query: str, rank: str, gain: str, k: int = 10) -> DataFrame:
     """(query, ndcg): Σ(2^gain-1)/log2(rank+1) over the ideal order of all gains of the query; an ideal of 0 gives 0.
 
-    rank is null for a judged item that wasn't ranked.
+    rank is null for a judged item that wasn't ranked, or not among the best k. The ideal order needs the k highest gains only, so Spark cuts groups before the shuffle.
     """
-    ideal = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(gain), F.col(rank).asc_nulls_last()))
     value = F.pow(F.lit(2.0), F.col(gain)) - 1
-    part = lambda r: F.sum(F.when(r <= k, value / F.log2(r + 1)).otherwise(0.0))
-    sums = gains.withColumn("_ideal", ideal).groupBy(query).agg(part(F.col(rank)).alias("dcg"), part(F.col("_ideal")).alias("best"))
+    part = lambda r: F.sum(F.when(F.col(r) <= k, value / F.log2(F.col(r) + 1)).otherwise(0.0))
+    got = gains.groupBy(query).agg(part(rank).alias("dcg"))
+    order = Window.partitionBy(query).orderBy(F.desc(gain), F.col(rank).asc_nulls_last())
+    top = gains.withColumn("_ideal", F.row_number().over(order)).where(F.col("_ideal") <= k)
+    sums = got.join(top.groupBy(query).agg(part("_ideal").alias("best")), query)
     return sums.select(query, F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(0.0).alias("ndcg"))
 
 
 def token_f1(rows: DataFrame, key: str, prediction: str, reference: str) -> DataFrame:
     """rows with token_f1: multiset F1 of ascii tokens; two empty texts give 1, one gives 0. key must be unique."""
-    p, r = ascii_tokens(F.col(prediction)), ascii_tokens(F.col(reference))
-    bag = lambda t: F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("t"), F.size(F.filter(t, lambda y: y == x)).alias("n")))
-    common = F.aggregate(bag(p), F.lit(0), lambda s, x: s + F.least(x["n"], F.size(F.filter(r, lambda y: y == x["t"]))))
-    sized = rows.withColumn("_c", common).withColumn("_p", F.size(p)).withColumn("_r", F.size(r))
+    side = lambda text, n: rows.select(F.col(key).alias("_k"), F.explode(ascii_tokens(F.col(text))).alias("t"), F.lit(n).alias("p"), F.lit(1 - n).alias("r"))
+    words = side(prediction, 1).unionAll(side(reference, 0)).groupBy("_k", "t").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    sums = words.groupBy("_k").agg(F.sum(F.least("p", "r")).alias("_c"), F.sum("p").alias("_p"), F.sum("r").alias("_r"))
+    sized = rows.join(sums, rows[key] == sums["_k"], "left").fillna(0, ["_c", "_p", "_r"])
     score = (
         F.when((F.col("_p") == 0) & (F.col("_r") == 0), 1.0)
         .when((F.col("_p") == 0) | (F.col("_r") == 0), 0.0)
         .otherwise(2.0 * F.col("_c") / (F.col("_p") + F.col("_r")))
     )
-    return sized.withColumn("token_f1", score).drop("_c", "_p", "_r")
+    return sized.withColumn("token_f1", score).drop("_k", "_c", "_p", "_r")
 
 
 def reliability_bins(rows: DataFrame, probability: str, truth: str, bins: int = 10) -> DataFrame:
@@ -130,15 +133,9 @@ def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
 
 def holm(rows: DataFrame, p: str, tie: str) -> DataFrame:
     """rows with holm: step-down adjusted p values. The running maximum is taken within sorted partitions and carried on by their maxima."""
-    placed, n = with_positions(rows, [F.col(p), F.col(tie)])
-    raw = placed.withColumn("_raw", F.least(F.lit(1.0), (n - F.col("position") + 1) * F.col(p))).withColumn("_block", F.floor((F.col("position") - 1) / 100_000))
-    raw = stored(raw, "holm")
-    tops = raw.groupBy("_block").agg(F.max("_raw").alias("m"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per 100,000
-    carried = tops.select("_block", F.coalesce(F.max("m").over(before), F.lit(0.0)).alias("_carry"))
-    inside = Window.partitionBy("_block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    out = raw.join(F.broadcast(carried), "_block")
-    return out.withColumn("holm", F.greatest("_carry", F.max("_raw").over(inside))).drop("_raw", "_block", "_carry", "position")
+    placed, n = with_positions(rows, [F.col(p), F.col(tie)], keep_part=True)
+    raw = F.least(F.lit(1.0), (n - F.col("position") + 1) * F.col(p))
+    return running_maximum(placed, "position", raw, "holm").drop("position")
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -149,17 +146,46 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     return centre - half, centre + half
 
 
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)  # fixed values: shares of a Poisson count of mean one up to 0, 1, ... 7
+
+
+def bootstrap_sums(values: DataFrame, key: str, value: str, repetitions: int, seed: int) -> DataFrame:
+    """(repetition, n, total): resampled counts and sums over groups, whose keys are unique.
+
+    How often a group is drawn in a repetition is a Poisson count of mean one (the large-sample form of drawing with replacement), read from eight
+    digits of sha256('seed|key|block'), eight repetitions a digest; so draws are the same on every run and can be said in SQL. Groups are
+    weighed where they are read and summed before the shuffle: what is shuffled is one row per repetition and task.
+    """
+    blocks = values.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(-(-repetitions // 8) - 1))).alias("block"))
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("k"), F.col("block").cast("string")), 256)
+    digits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(F.col("digest"), i * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(2.0**32))
+    drawn = blocks.withColumn("digest", digest).select("x", "block", F.posexplode(digits).alias("i", "u"))
+    weight = reduce(lambda a, b: a + b, [(F.col("u") >= c).cast("int") for c in POISSON])
+    rows = drawn.select((F.col("block") * 8 + F.col("i")).cast("long").alias("repetition"), "x", weight.alias("w")).where(F.col("repetition") < repetitions)
+    return rows.groupBy("repetition").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("total"))
+
+
 def bootstrap_means(values: DataFrame, key: str, value: str, repetitions: int, seed: int) -> DataFrame:
-    """(repetition, mean): means of resamples of n groups with replacement.
+    """(repetition, mean): means of resampled groups; a repetition that draws none has no row."""
+    sums = bootstrap_sums(values, key, value, repetitions, seed)
+    return sums.where("n > 0").select("repetition", (F.col("total") / F.col("n")).alias("mean"))
+
+
+def paired_bootstrap(pairs: DataFrame, key: str, first: str, second: str, repetitions: int, seed: int) -> DataFrame:
+    """One row: n, difference, low, high, p_value of the mean of second - first over groups that have both.
 
-    Slots are drawn by hash, so that the draws are the same on every run and expressible in SQL: slot i of
-    repetition r takes the group at position sha256('seed|r|i') mod n.
+    The interval is the middle 95 % of resampled mean differences; the two-sided p value is twice the share of them on the other side of 0, with one added to both counts, 1 at most.
     """
-    placed, n = with_positions(values.select(key, F.col(value).alias("_x")), [F.col(key)])
-    spark = values.sparkSession
-    if not n:
-        return spark.createDataFrame([], "repetition long, mean double")
-    slots = spark.range(repetitions * n).select((F.floor(F.col("id") / n)).cast("long").alias("repetition"), F.pmod("id", F.lit(n)).alias("slot"))
-    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("repetition").cast("string"), F.col("slot").cast("string")), 256)
-    slots = slots.withColumn("position", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n)) + 1)
-    return slots.join(placed.select("position", "_x"), "position").groupBy("repetition").agg(F.avg("_x").alias("mean"))
+    both = pairs.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(key, (F.col(second) - F.col(first)).alias("_d"))
+    means = bootstrap_means(both, key, "_d", repetitions, seed)
+    drawn = means.agg(
+        F.count(F.lit(1)).alias("m"), F.expr("percentile(mean, 0.025)").alias("low"), F.expr("percentile(mean, 0.975)").alias("high"),
+        F.count_if(F.col("mean") <= 0).alias("below"), F.count_if(F.col("mean") >= 0).alias("above"),
+    )
+    whole = both.agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("difference"))
+    return whole.join(F.broadcast(drawn)).select("n", "difference", "low", "high", plus_one_p(F.least("below", "above"), F.col("m")).alias("p_value"))  # one row each
+
+
+def plus_one_p(exceeding: Column, drawn: Column, sides: int = 2) -> Column:
+    """Monte-Carlo p value that is never 0: sides * (exceeding + 1) / (drawn + 1), 1 at most."""
+    return F.least(F.lit(1.0), sides * (exceeding + 1) / (drawn + 1))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators.order import with_positions
+from caseloom.session import stored
+
 
 def hash_sample(rows: DataFrame, key: str, count: int, domain: str, seed: int) -> DataFrame:
     """The first `count` distinct keys in hash order; the limit is the feature."""
@@ -29,15 +32,36 @@ def round_robin(rows: DataFrame, group: str, key: list[str], count: int, seed: i
     return taken.orderBy("turn", group).limit(count)
 
 
-def hashed_history(targets: DataFrame, bank: DataFrame, target: str, key: str, count: int, seed: int, excluded: Column) -> DataFrame:
-    """(target, position, key): the first `count` bank rows in a hash order of the target's own, without the excluded pairs.
+def hashed_history(targets: DataFrame, bank: DataFrame, target: str, key: str, group: str, count: int, seed: int) -> DataFrame:
+    """(target, position, key): for every target `count` bank rows of other groups, drawn by hash.
 
-    The targets are a stated query set; Spark meets it with the bank in blocks and keeps `count` per target before the shuffle.
+    The bank is put in the order of sha256('seed|key') and closed to a ring; a target begins at a place of its own, sha256('seed|start|target') modulo the bank's
+    size, and takes the first `count` rows from there that are neither itself nor of its group (null is no group). targets has target and group, bank has key
+    (unique) and group. Targets look up a window of the ring by equi-join; those that it leaves short look up one four times as wide, until the ring is used up.
     """
-    pairs = targets.join(bank, ~F.coalesce(excluded, F.lit(False)))
-    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(target), F.col(key)), 256)
-    order = Window.partitionBy(target).orderBy(digest, key)
-    return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= count).select(target, "position", key)
+    spark = bank.sparkSession
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key)), 256)
+    ring, n = with_positions(bank.select(F.col(key).alias("_key"), F.col(group).alias("_group"), digest.alias("_h")), [F.col("_h"), F.col("_key")])
+    kind = f"`{target}` {targets.schema[target].dataType.simpleString()}, position int, `{key}` {bank.schema[key].dataType.simpleString()}"
+    if not n:
+        return spark.createDataFrame([], kind)
+    ring = stored(ring.select("_key", "_group", (F.col("position") - 1).alias("_at")), "ring")
+    start = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit("start"), F.col(target)), 256), 1, 15), 16, 10).cast("long") % n
+    left, width, found = stored(targets.select(target, group, start.alias("_start")), "targets"), min(n, 2 * count + 2), None
+    while True:
+        steps = left.select(target, group, "_start", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_step"))
+        met = steps.withColumn("_at", (F.col("_start") + F.col("_step")) % n).join(ring, "_at")
+        met = met.where((F.col("_key") != F.col(target)) & ~F.coalesce(F.col("_group") == F.col(group), F.lit(False)))
+        order = Window.partitionBy(target).orderBy("_step")
+        taken = stored(met.withColumn("position", F.row_number().over(order)).where(F.col("position") <= count).select(target, "position", F.col("_key").alias(key)), "taken")
+        full = taken.groupBy(target).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == count).select(target)
+        short = stored(left.join(full, target, "left_anti"), "short")
+        last = width >= n or short.isEmpty()
+        part = taken if last else taken.join(full, target, "left_semi")
+        found = part if found is None else found.unionAll(part)
+        if last:
+            return found
+        left, width = short, min(n, 4 * width)
 
 
 def hard_negatives(scores: DataFrame, query: str, item: str, score: str, gain: str, k: int, most_gain: float) -> DataFrame:

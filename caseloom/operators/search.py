@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import ascii_tokens
-from caseloom.functions.vectors import dot, l2_normalized
 from caseloom.operators.rank import ranked
+from caseloom.operators.skew import join_one_per_key
+from caseloom.session import stored
 
 K1, B = 1.5, 0.75  # fixed values of the ranking function
 
@@ -18,29 +23,37 @@ def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     return cut.select("key", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_size(texts: DataFrame, text: str) -> DataFrame:
-    """One row: n (texts) and avgdl, over all texts, the empty ones too."""
-    return texts.select(F.size(ascii_tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+EVERY = ""  # stands for the text itself among its terms; no token is empty
+
+
+def query_postings(texts: DataFrame, key: str, text: str, terms: DataFrame, scope: str | None = None) -> DataFrame:
+    """(key, term, dl, tf) of the given terms, stored once; and one row of the term EVERY for each text, the empty ones too. Texts are cut once.
+
+    Only postings of the given terms leave the scan: they filter before the shuffle.
+    """
+    also = [F.col(scope).alias("_scope")] if scope else []
+    source = texts.select(F.col(key).alias("key"), *also, ascii_tokens(F.col(text)).alias("tokens"))
+    rows = source.select("key", *(["_scope"] if scope else []), F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(EVERY)))).alias("term"))
+    wanted = terms.select("term").distinct().unionAll(texts.sparkSession.createDataFrame([(EVERY,)], "term string"))
+    return stored(rows.join(wanted, "term", "left_semi").groupBy("key", "term", "dl", *(["_scope"] if scope else [])).agg(F.count(F.lit(1)).alias("tf")), "postings")
+
+
 def bm25_scores(queries: DataFrame, texts: DataFrame, query: str, query_text: str, key: str, text: str, scope: tuple[str, str] | None = None) -> DataFrame:
     """(query, key, score) for every text that shares a term with the query; repeated query terms count repeatedly.
 
-    idf = ln(1 + (N - df + 0.5)/(df + 0.5)), statistics over all texts, even for scoped search. Only
-    postings of terms that some query holds leave the scan: the query terms filter them before the shuffle.
+    idf = ln(1 + (N - df + 0.5)/(df + 0.5)), statistics over all texts, even for scoped search.
     scope (column of queries, column of texts) restricts each query to the texts with an equal value.
     """
     asked = queries.select(F.col(query), *([F.col(scope[0]).alias("_scope")] if scope else []), F.explode(ascii_tokens(F.col(query_text))).alias("term"))
     asked = asked.groupBy(query, "term", *(["_scope"] if scope else [])).agg(F.count(F.lit(1)).alias("qtf"))
-    source = texts.select(F.col(key).alias("key"), *([F.col(scope[1]).alias("_scope")] if scope else []), ascii_tokens(F.col(text)).alias("tokens"))
-    postings = source.select("key", *(["_scope"] if scope else []), F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("key", "term", "dl", *(["_scope"] if scope else [])).agg(F.count(F.lit(1)).alias("tf"))
+    every = query_postings(texts, key, text, asked, scope[1] if scope else None)
+    postings = every.where(F.col("term") != EVERY)
+    size = every.where(F.col("term") == EVERY).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = corpus_size(texts, text)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = df.join(F.broadcast(size)).select("term", idf.alias("idf"), "avgdl")  # size is one row
     terms = asked.join(weighted, "term")
@@ -62,26 +75,70 @@ def top_with_fill(scores: DataFrame, queries: DataFrame, texts: DataFrame, query
 
 
 def tfidf_scores(queries: DataFrame, texts: DataFrame, query: str, query_text: str, key: str, text: str) -> DataFrame:
-    """(query, key, score): cosine of tf/length · (ln((1+N)/(1+df)) + 1) vectors; unknown query terms weigh 0."""
-    counts = term_counts(texts, key, text)
+    """(query, key, score): cosine of tf/length · (ln((1+N)/(1+df)) + 1) vectors; unknown query terms weigh 0.
+
+    Texts are cut and counted once. All terms are needed for the lengths of the vectors only; the products meet the queries' terms before anything is shuffled.
+    """
+    counts = stored(term_counts(texts, key, text), "counts")
     n = texts.agg(F.count(F.lit(1)).alias("n"))
     idf = document_frequencies(counts).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    weighted = counts.join(idf, "term").select("key", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    idf = stored(idf, "idf")
+    weigh = lambda rows: rows.withColumn("w", F.col("tf") / F.col("dl") * F.col("idf"))
+    norms = weigh(join_one_per_key(counts, idf, "term")).groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = term_counts(queries.select(F.col(query).alias("q"), F.col(query_text).alias("t")), "q", "t")
-    asked = asked.join(idf, "term").select(F.col("key").alias("q"), "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("qw"))
+    asked = stored(asked.join(idf, "term").select(F.col("key").alias("q"), "term", "idf", (F.col("tf") / F.col("dl") * F.col("idf")).alias("qw")), "asked")
     qnorms = asked.groupBy("q").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    sums = weighted.join(asked, "term").groupBy("q", "key").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    sums = weigh(counts.join(asked, "term")).groupBy("q", "key").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     whole = sums.join(norms, "key").join(qnorms, "q")
     return whole.select(F.col("q").alias(query), F.col("key").alias(key), (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 
 
-def dense_scores(queries: DataFrame, bank: DataFrame, query: str, key: str, vector: str) -> DataFrame:
-    """(query, key, score): cosines of every query vector with every other bank vector; zero vectors score 0.
+def dense_top_k(queries: DataFrame, bank: DataFrame, query: str, key: str, vector: str, k: int, block: int = 50_000) -> DataFrame:
+    """(query, key, score, rank): the k best cosines of every query vector with other bank vectors, to nine places, equal ones by the smaller key.
 
-    The query set is a stated one (a hundredth of the bank); Spark meets it with the bank in blocks, and
-    ranked(..., k) keeps k per query and block before anything is shuffled.
+    The query set is a stated one (a hundredth of the bank). It is asked in blocks of at most about `block` vectors, which are broadcast; the bank is
+    scanned once per block and never shuffled: every task keeps k keys per query. Zero vectors score 0; null and misshapen vectors, and null keys, drop out.
     """
-    a = queries.select(F.col(query), l2_normalized(F.col(vector)).alias("_a"))
-    b = bank.select(F.col(key), l2_normalized(F.col(vector)).alias("_b"))
-    return a.join(b, F.col(query) != F.col(key)).select(query, key, dot(F.col("_a"), F.col("_b")).alias("score"))
+    spark = bank.sparkSession
+    usable = lambda df, name: df.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(F.col(name), F.col(vector).cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    asked, held = usable(queries, query), usable(bank, key)
+    kinds = [asked.schema[query].dataType.simpleString(), held.schema[key].dataType.simpleString()]
+    passes = max(1, -(-asked.count() // block))
+    found = None
+    for i in range(passes):
+        got = asked.where(F.pmod(F.xxhash64(query), F.lit(passes)) == i).toArrow()
+        shared = spark.sparkContext.broadcast((got.column(query).to_pylist(), _unit(got.column("v").combine_chunks())))
+        rows = held.mapInArrow(lambda batches, shared=shared: _best_of_task(batches, *shared.value, k), f"`{query}` {kinds[0]}, `{key}` {kinds[1]}, score double")
+        found = rows if found is None else found.unionAll(rows)
+    return ranked(found, query, key, "score", k)
+
+
+def _unit(lists: pa.ListArray) -> np.ndarray:
+    width = len(lists[0]) if len(lists) else 0
+    if any(len(v) != width for v in lists):
+        raise ValueError("vectors of one length are needed")
+    wide = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+    return wide / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-300)
+
+
+def _best_of_task(batches: Iterator[pa.RecordBatch], names: list, asked: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best keys of every query among the batches of one task."""
+    best: list = [(np.zeros(0), np.zeros(0, object))] * len(names)
+    for batch in batches:
+        keys = np.array(batch.column(0).to_pylist(), object)
+        turn = np.argsort(keys, kind="stable")
+        keys, wide = keys[turn], _unit(batch.column(1))[turn]
+        for at in range(0, len(names) if len(keys) else 0, 512):
+            cosines = np.round(asked[at : at + 512] @ wide.T, 9) + 0.0
+            width = min(k + 1, len(keys))  # one more, as the query itself may be among them
+            order = np.round(cosines * 1e9).astype(np.int64) * len(keys) - np.arange(len(keys))
+            keep = np.argpartition(-order, width - 1, axis=1)[:, :width]
+            for i, row in enumerate(keep, at):
+                row = row[keys[row] != names[i]]
+                scores, own = np.concatenate([best[i][0], cosines[i - at, row]]), np.concatenate([best[i][1], keys[row]])
+                first = sorted(range(len(own)), key=lambda j: (-scores[j], own[j]))[:k]
+                best[i] = scores[first], own[first]
+    if names and any(len(b[0]) for b in best):
+        kept = [[(name, x, s) for s, x in zip(*b)] for name, b in zip(names, best)]
+        rows = [r for part in kept for r in part]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([float(r[2]) for r in rows], pa.float64())], names=["query", "key", "score"])

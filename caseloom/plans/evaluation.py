@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.text import normalized_key
+from caseloom.functions.text import NEGATION, normalized_key
 from caseloom.operators import cohorts, evidence, metrics, relevance
+from caseloom.operators.order import quantiles
 from caseloom.plans.text import S
 from caseloom.session import table
 
 
+WRITTEN = {"verifier_results": ["created_at", "loaded_at"], "evidence_checks": ["created_at", "loaded_at"], "paired_cases": ["ingested_at"]}
+
+
+def first_rows(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """One row per key of a table whose rows may be written twice: the one written first."""
+    return evidence.latest_rows(table(spark, d, name), key, [F.col(c) for c in WRITTEN[name]])
+
+
 def sentence_checks(spark: SparkSession, d: str) -> DataFrame:
     """One row per checked sentence of each distinct check: check_id, at, and the fields of the check."""
-    rows = table(spark, d, "evidence_checks").select("check_id", "qid", "sentence_checks").dropDuplicates(["check_id"])
+    rows = first_rows(spark, d, "evidence_checks", "check_id").select("check_id", "qid", "sentence_checks")
     return rows.select("check_id", "qid", F.posexplode("sentence_checks").alias("at", "c")).select("check_id", "qid", "at", "c.*")
 
 
@@ -30,7 +39,7 @@ def evidence_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verifier_actions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "evidence_checks").select("check_id", "revised_answer", "sentence_checks").dropDuplicates(["check_id"])
+    rows = first_rows(spark, d, "evidence_checks", "check_id").select("check_id", "revised_answer", "sentence_checks")
     policies = F.explode(F.array(*[F.lit(p) for p in ("sentence_filter", "contradiction_only", "audit_only")])).alias("policy")
     rows = rows.select("check_id", "revised_answer", "sentence_checks", policies)
     act = evidence.verifier_action(F.coalesce("revised_answer", F.lit("")), F.col("sentence_checks"), F.col("policy"))
@@ -39,21 +48,21 @@ def verifier_actions(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_support(spark: SparkSession, d: str) -> DataFrame:
     """Every verifier answer against the report of its study, sentence by sentence."""
-    said = table(spark, d, "verifier_results").select("result_id", "study_id", "answer").dropDuplicates(["result_id"])
+    said = first_rows(spark, d, "verifier_results", "result_id").select("result_id", "study_id", "answer")
     report = table(spark, d, "paired_cases").groupBy("study_id").agg(F.min(F.concat_ws(" ", "findings", "impression")).alias("report"))
     checks = evidence.evidence_support(said.join(report, "study_id"), "result_id", "answer", "report")
     return evidence.revised_answers(checks, "result_id").withColumn("support_rate", F.round("support_rate", 6))
 
 
 def policy_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "verifier_results").select("result_id", "action_policy", "abstained", "revised", F.size("accepted_sentences").alias("n")).dropDuplicates(["result_id"])
+    rows = first_rows(spark, d, "verifier_results", "result_id").select("result_id", "action_policy", "abstained", "revised", F.size("accepted_sentences").alias("n"))
     return rows.cube("action_policy", "abstained").agg(
         F.count(F.lit(1)).alias("n_rows"), F.grouping_id().cast("int").alias("grouping"), F.round(F.avg(F.col("revised").cast("double")), 6).alias("revised_rate"), F.median("n").alias("median_accepted")
     )
 
 
 def answer_token_f1(spark: SparkSession, d: str) -> DataFrame:
-    said = table(spark, d, "verifier_results").select("result_id", "qid", "answer").dropDuplicates(["result_id"])
+    said = first_rows(spark, d, "verifier_results", "result_id").select("result_id", "qid", "answer")
     asked = table(spark, d, "questions").groupBy("qid").agg(F.min(F.coalesce("reference_answer", F.lit(""))).alias("reference"), F.min("question_type").alias("question_type"))
     scored = metrics.token_f1(said.join(asked, "qid"), "result_id", "answer", "reference")
     return scored.groupBy("question_type").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("token_f1"), 6).alias("mean_token_f1"))
@@ -92,7 +101,7 @@ def support_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 def label_f1(spark: SparkSession, d: str) -> DataFrame:
     """Definite labels of a study against all active ones: per label and overall."""
-    rows = table(spark, d, "paired_cases").dropDuplicates(["study_id"]).where("labels is not null").select(
+    rows = first_rows(spark, d, "paired_cases", "study_id").where("labels is not null").select(
         "study_id", F.map_keys(F.map_filter("labels", lambda k, v: v == 1.0)).alias("reference"), F.map_keys(F.map_filter("labels", lambda k, v: v != 0.0)).alias("prediction")
     )
     parts = metrics.label_statistics(rows, "study_id", "reference", "prediction")
@@ -106,7 +115,7 @@ def holm_adjusted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def abstention_intervals(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "verifier_results").select("result_id", "action_policy", "abstained").dropDuplicates(["result_id"])
+    rows = first_rows(spark, d, "verifier_results", "result_id").select("result_id", "action_policy", "abstained")
     counts = rows.groupBy("action_policy").agg(F.count_if("abstained").alias("n_abstained"), F.count(F.lit(1)).alias("n_rows"))
     low, high = metrics.wilson(F.col("n_abstained").cast("double"), F.col("n_rows").cast("double"))
     return counts.select("action_policy", "n_abstained", "n_rows", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
@@ -114,13 +123,16 @@ def abstention_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 def support_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "evidence_checks").where("support_rate is not null and qid is not null").groupBy("qid").agg(F.avg("support_rate").alias("x"))
-    means = metrics.bootstrap_means(rows, "qid", "x", 100, 2026)
+    means = metrics.bootstrap_means(rows, "qid", "x", 1000, 2026)
     return means.agg(F.count(F.lit(1)).alias("n"), F.round(F.expr("percentile(mean, 0.025)"), 6).alias("low"), F.round(F.expr("percentile(mean, 0.975)"), 6).alias("high"))
 
 
 def score_quantiles(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "scored_cases").where("score is not null and not isnan(score) and abs(score) < double('infinity')")
-    return rows.groupBy("route").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.median("score"), 6).alias("median"), F.round(F.percentile("score", F.lit(0.95)), 6).alias("p95"), F.round(F.stddev_pop("score"), 6).alias("spread"))
+    sums = rows.groupBy("route").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("spread"))
+    places = quantiles(rows.withColumn("route", F.coalesce("route", F.lit(""))), "route", "score", {"median": 0.5, "p95": 0.95})
+    joined = sums.join(places.withColumnRenamed("route", "r"), F.coalesce("route", F.lit("")) == F.col("r"))
+    return joined.select("route", "n_rows", "mean", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "spread")
 
 
 def bank_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -165,13 +177,13 @@ def latest_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_polarities(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "verifier_results").select("result_id", "answer", "action_policy").dropDuplicates(["result_id"])
+    rows = first_rows(spark, d, "verifier_results", "result_id").select("result_id", "answer", "action_policy")
     return rows.groupBy("action_policy", relevance.claim_polarity(F.col("answer")).alias("polarity")).agg(F.count(F.lit(1)).alias("n_answers"))
 
 
 def answer_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Answers by whether the question could be answered and whether they abstained: counts and rates per policy."""
-    said = table(spark, d, "verifier_results").select("result_id", "qid", "action_policy", "abstained").dropDuplicates(["result_id"])
+    said = first_rows(spark, d, "verifier_results", "result_id").select("result_id", "qid", "action_policy", "abstained")
     asked = table(spark, d, "questions").groupBy("qid").agg(F.min("is_answerable").alias("is_answerable"))
     rows = said.join(asked, "qid")
     n = lambda c: F.count_if(c)
@@ -217,15 +229,26 @@ checks AS (SELECT check_id, qid, pos, c.sentence AS sentence, c.lexical_score AS
 _KEY = f"lower(trim(regexp_replace(coalesce(%s, ''), '{S}+', ' ', 'g')))"
 _PATIENT = r"nullif(upper(regexp_replace(patient_id, '^\s+|\s+$', '', 'g')), '')"
 
+
+
+_NEGATION = "'" + NEGATION.replace("'", "''") + "'"
+
+
+def _resampled(key: str, value: str, seed: int, repetitions: int) -> str:
+    """m(r, mean): resampled means of the rows g, as bootstrap_means draws them."""
+    weight = " + ".join(f"(u >= {c})::INT" for c in metrics.POISSON)
+    return f"""h AS (SELECT x, block, sha256('{seed}|' || k || '|' || block) AS digest FROM (SELECT {key} AS k, {value} AS x, unnest(range({-(-repetitions // 8)})) AS block FROM g)),
+        u AS (SELECT x, block * 8 + i AS r, ('0x' || substr(digest, i * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM h, (SELECT unnest(range(8)) AS i)),
+        m AS (SELECT r, sum(w * x) / sum(w) AS mean FROM (SELECT r, x, {weight} AS w FROM u WHERE r < {repetitions}) GROUP BY r HAVING sum(w) > 0)"""
+
+
 _SAID = f"(SELECT result_id, min(qid) AS qid, min(action_policy) AS action_policy, bool_and(abstained) AS abstained, {_KEY % 'min(answer)'} AS t FROM verifier_results GROUP BY result_id)"
 
 SQL = {
-    "claim_polarities": rf"""
-        SELECT action_policy, CASE WHEN regexp_matches(regexp_extract(t, '^[^.;]*'), '^yes\b') THEN 'positive'
-            WHEN regexp_matches(regexp_extract(t, '^[^.;]*'), '^no\b') OR regexp_matches(t, '\b(?:no|not|without|absent|absence\s+of|negative\s+for|free\s+of|neither|nor|cannot|can''t|unable\s+to)\b') THEN 'negative'
-            WHEN regexp_matches(t, '\b(normal|no acute|no active disease|unremarkable)\b') THEN 'normal'
-            WHEN regexp_matches(t, '\b(there is|there are|present|seen|shows|demonstrates|compatible with)\b') THEN 'positive' ELSE 'uncertain' END AS polarity, count(*) AS n_answers
-        FROM {_SAID} GROUP BY 1, 2""",
+    "claim_polarities": f"""
+        WITH p AS (SELECT action_policy, list_filter(regexp_split_to_array(t, '[.!?;]+({S}+|$)'), lambda s: s <> '') AS said FROM {_SAID}),
+        n AS (SELECT action_policy, len(said) AS k, len(list_filter(said, lambda s: regexp_matches(s, {_NEGATION}))) AS n FROM p)
+        SELECT action_policy, CASE WHEN k = 0 THEN 'none' WHEN n = k THEN 'negative' WHEN n = 0 THEN 'positive' ELSE 'mixed' END AS polarity, count(*) AS n_answers FROM n GROUP BY 1, 2""",
     "answer_outcomes": f"""
         WITH r AS (SELECT * FROM {_SAID} JOIN (SELECT qid, bool_and(is_answerable) AS y FROM questions GROUP BY qid) USING (qid)),
         c AS (SELECT action_policy, count(*) FILTER (y AND NOT abstained) AS tp, count(*) FILTER (NOT y AND abstained) AS tn, count(*) FILTER (NOT y AND NOT abstained) AS fp, count(*) FILTER (y AND abstained) AS fn FROM r GROUP BY 1)
@@ -288,11 +311,8 @@ SQL = {
         SELECT action_policy, k AS n_abstained, n AS n_rows,
           round((k / n + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4.0::DOUBLE * n * n)) / (1 + z * z / n), 6) AS low,
           round((k / n + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4.0::DOUBLE * n * n)) / (1 + z * z / n), 6) AS high FROM c""",
-    "support_bootstrap": """
-        WITH g AS (SELECT qid, avg(support_rate) AS x FROM evidence_checks WHERE support_rate IS NOT NULL AND qid IS NOT NULL GROUP BY qid),
-        o AS (SELECT x, row_number() OVER (ORDER BY qid) - 1 AS pos FROM g), n AS (SELECT count(*) AS n FROM g),
-        s AS (SELECT r, ('0x' || substr(sha256('2026|' || r || '|' || i), 1, 8))::BIGINT % n AS pos FROM n, (SELECT unnest(range(100)) AS r), LATERAL (SELECT unnest(range(n.n)) AS i)),
-        m AS (SELECT r, avg(x) AS mean FROM s JOIN o USING (pos) GROUP BY r)
+    "support_bootstrap": f"""
+        WITH g AS (SELECT qid, avg(support_rate) AS x FROM evidence_checks WHERE support_rate IS NOT NULL AND qid IS NOT NULL GROUP BY qid), {_resampled('qid', 'x', 2026, 1000)}
         SELECT count(*) AS n, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""",
     "score_quantiles": """SELECT route, count(*) AS n_rows, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_cont(score, 0.95), 6) AS p95, round(stddev_pop(score), 6) AS spread
         FROM scored_cases WHERE score IS NOT NULL AND isfinite(score) GROUP BY route""",

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import ascii_tokens, clean_text
 from caseloom.functions.vectors import cosine
-from caseloom.operators import rank, sampling
+from caseloom.operators import sampling
 from caseloom.operators.cohorts import patient_key
-from caseloom.operators.order import with_positions
-from caseloom.plans.evaluation import _CHECKS, _PATIENT, sentence_checks
+from caseloom.operators.order import quantiles, ranks_in_groups, with_positions
+from caseloom.plans.evaluation import _CHECKS, _PATIENT, first_rows, sentence_checks
 from caseloom.plans.retrieval import _BEST, COMPONENTS, _mm, best_scores
 from caseloom.plans.text import _clean
 from caseloom.session import table
@@ -19,23 +19,31 @@ TERMS = ["effusion", "nodule", "consolidation", "oedema", "fracture"]
 
 
 def ranking_features(spark: SparkSession, d: str) -> DataFrame:
-    """Min-max, reciprocal rank and rank fraction of every component, and the question type, for all scored pairs; summed per question."""
+    """Min-max, reciprocal rank and rank fraction of every component, and the question type, over all scored pairs; summed per question.
+
+    All pairs are ranked by one global sort over questions and components; sums over a range need its ends only, so nothing is joined back.
+    """
     best = best_scores(spark, d)
     kinds = table(spark, d, "questions").groupBy("qid").agg(F.min("question_type").alias("question_type"))
-    out = best.select("qid", "study_id", *COMPONENTS)
-    n = F.count(F.lit(1)).over(Window.partitionBy("qid"))
-    for c in COMPONENTS:
-        place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "study_id"))
-        out = out.withColumn(f"{c}_rr", 1.0 / place).withColumn(f"{c}_fraction", F.when(n > 1, 1 - (place - 1) / (n - 1)).otherwise(1.0)).withColumn(f"{c}_mm", rank.minmax(F.col(c), ["qid"], 1e-12))
-    rows = out.join(kinds, "qid")
-    sums = [F.round(F.sum(F.col(f"{c}_mm") * F.col(f"{c}_rr")), 6).alias(f"{c}_weighted") for c in COMPONENTS] + [F.round(F.avg(f"{c}_fraction"), 6).alias(f"{c}_fraction") for c in COMPONENTS]
-    return rows.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("question_type") == "case_scoped_findings").cast("int")).alias("is_findings"), *sums)
+    long = best.select("qid", "study_id", F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("value")) for c in COMPONENTS])).alias("x")).select("qid", "study_id", "x.*")
+    ranks = ranks_in_groups(long, ["qid", "source"], [F.desc("value"), F.col("study_id")])
+    sums = ranks.groupBy("qid", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum(F.col("value") / F.col("rank")).alias("vr"), F.sum(1.0 / F.col("rank")).alias("r"), F.avg("rank").alias("mean_rank")
+    )
+    weighted = F.when(F.col("high") - F.col("low") > 1e-12, (F.col("vr") - F.col("low") * F.col("r")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    fraction = F.when(F.col("n") > 1, 1 - (F.col("mean_rank") - 1) / (F.col("n") - 1)).otherwise(1.0)
+    rows = sums.select("qid", "source", "n", weighted.alias("weighted"), fraction.alias("fraction"))
+    wide = [F.round(F.max(F.when(F.col("source") == c, F.col(v))), 6).alias(f"{c}_{v}") for c in COMPONENTS for v in ("weighted", "fraction")]
+    kind = F.max((F.col("question_type") == "case_scoped_findings").cast("int")).alias("is_findings")
+    return rows.join(kinds, "qid").groupBy("qid").agg(F.max("n").alias("n"), kind, *wide)
 
 
 def component_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Spread and agreement of components per question; a degenerate correlation is 0."""
     best = best_scores(spark, d)
-    return best.groupBy("qid").agg(F.round(F.coalesce(F.nanvl(F.corr("bm25", "image"), F.lit(0.0)), F.lit(0.0)), 5).alias("correlation"), F.round(F.stddev_pop("bm25"), 6).alias("spread"), F.round(F.expr("percentile(image, 0.75) - percentile(image, 0.25)"), 6).alias("iqr"))
+    sums = best.groupBy("qid").agg(F.round(F.coalesce(F.nanvl(F.corr("bm25", "image"), F.lit(0.0)), F.lit(0.0)), 5).alias("correlation"), F.round(F.stddev_pop("bm25"), 6).alias("spread"))
+    ends = quantiles(best, "qid", "image", {"low": 0.25, "high": 0.75})
+    return sums.join(ends, "qid").select("qid", "correlation", "spread", F.round(F.col("high") - F.col("low"), 6).alias("iqr"))
 
 
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
@@ -57,9 +65,7 @@ def view_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 def hashed_history(spark: SparkSession, d: str) -> DataFrame:
     bank = table(spark, d, "paired_cases").groupBy("study_id").agg(F.min(patient_key(F.col("patient_id"))).alias("patient"))
-    asked = bank.where(F.substring("study_id", 3, 20).cast("long") % 100 == 0).select(F.col("study_id").alias("target"), F.col("patient").alias("target_patient"))
-    out = (F.col("target") == F.col("study_id")) | (F.col("target_patient") == F.col("patient"))
-    return sampling.hashed_history(asked, bank, "target", "study_id", 3, 7, out)
+    return sampling.hashed_history(bank.select(F.col("study_id").alias("target"), "patient"), bank, "target", "study_id", "patient", 3, 7)
 
 
 def blinded_review(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +102,7 @@ def nested_means(spark: SparkSession, d: str) -> DataFrame:
 
 def policy_differences(spark: SparkSession, d: str) -> DataFrame:
     """Accepted sentences per question under two policies side by side, for questions that have both."""
-    rows = table(spark, d, "verifier_results").select("result_id", "qid", "action_policy", F.size("accepted_sentences").alias("n")).dropDuplicates(["result_id"])
+    rows = first_rows(spark, d, "verifier_results", "result_id").select("result_id", "qid", "action_policy", F.size("accepted_sentences").alias("n"))
     wide = rows.groupBy("qid").pivot("action_policy", ["sentence_filter", "contradiction_only"]).agg(F.avg("n"))
     both = wide.where("sentence_filter is not null and contradiction_only is not null")
     gap = F.col("contradiction_only") - F.col("sentence_filter")
@@ -105,7 +111,7 @@ def policy_differences(spark: SparkSession, d: str) -> DataFrame:
 
 def located_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Where each checked sentence stands, word for word, in the revised answer of its check."""
-    rows = table(spark, d, "evidence_checks").select("check_id", "revised_answer", "sentence_checks").dropDuplicates(["check_id"])
+    rows = first_rows(spark, d, "evidence_checks", "check_id").select("check_id", "revised_answer", "sentence_checks")
     rows = rows.select("check_id", "revised_answer", F.posexplode("sentence_checks").alias("pos", "c"))
     place = F.instr(clean_text(F.col("revised_answer")), clean_text(F.col("c.sentence")))
     return rows.where(F.length("c.sentence") > 0).select("check_id", "pos", place.alias("found_at")).where("found_at > 0")
@@ -155,10 +161,10 @@ SQL = {
         WHERE {_OK.format('image_embedding')} AND {_OK.format('report_embedding')}""",
     "hashed_history": f"""
         WITH bank AS (SELECT study_id, min({_PATIENT}) AS patient FROM paired_cases GROUP BY study_id),
-        t AS (SELECT study_id AS target, patient AS tp FROM bank WHERE substr(study_id, 3)::BIGINT % 100 = 0),
-        p AS (SELECT target, study_id FROM t JOIN bank ON target <> study_id AND (tp IS NULL OR patient IS NULL OR tp <> patient))
-        SELECT target, row_number() OVER (PARTITION BY target ORDER BY sha256('7|' || target || '|' || study_id), study_id) AS position, study_id FROM p
-        QUALIFY row_number() OVER (PARTITION BY target ORDER BY sha256('7|' || target || '|' || study_id), study_id) <= 3""",
+        ring AS (SELECT study_id, patient, row_number() OVER (ORDER BY sha256('7|' || study_id), study_id) - 1 AS place, count(*) OVER () AS n FROM bank),
+        t AS (SELECT study_id AS target, patient AS tp, ('0x' || substr(sha256('7|start|' || study_id), 1, 15))::BIGINT % n AS start FROM ring),
+        p AS (SELECT target, study_id, (place - start + n) % n AS step FROM t JOIN ring ON target <> study_id AND (tp IS NULL OR patient IS NULL OR tp <> patient))
+        SELECT target, (row_number() OVER (PARTITION BY target ORDER BY step))::INT AS position, study_id FROM p QUALIFY row_number() OVER (PARTITION BY target ORDER BY step) <= 3""",
     "blinded_review": """
         WITH c AS (SELECT DISTINCT study_id FROM paired_cases), s AS (SELECT study_id FROM c ORDER BY sha256('review|7047|' || study_id), study_id LIMIT 100),
         r AS (SELECT study_id, unnest(['bm25', 'fixed', 'learned']) AS system FROM s)

@@ -12,6 +12,7 @@ from caseloom.plans.text import _tokens
 from caseloom.session import table
 
 COMPONENTS = ["bm25", "image", "report"]
+ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def asked_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -27,9 +28,10 @@ def best_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("qid", "study_id").agg(F.max(rank.finite(F.col("score"))).alias("score"), *parts)
 
 
-def component_ranks(best: DataFrame) -> DataFrame:
+def component_ranks(best: DataFrame, k: int) -> DataFrame:
+    """The k best studies of every component and question."""
     long = best.select("qid", "study_id", F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("value")) for c in COMPONENTS])).alias("x"))
-    return rank.ranked(long.select("qid", "study_id", "x.source", "x.value"), "qid", "study_id", "value", extra=["source"])
+    return rank.ranked(long.select("qid", "study_id", "x.source", "x.value"), "qid", "study_id", "value", k, extra=["source"])
 
 
 def bm25_top_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -60,8 +62,7 @@ def scoped_bm25_reports(spark: SparkSession, d: str) -> DataFrame:
 def dense_top_vectors(spark: SparkSession, d: str) -> DataFrame:
     bank = table(spark, d, "embeddings")
     asked = bank.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    scores = search.dense_scores(asked, bank, "query_id", "vec_id", "embedding")
-    top = rank.ranked(scores.withColumn("score", F.round("score", 9)), "query_id", "vec_id", "score", 5)
+    top = search.dense_top_k(asked, bank, "query_id", "vec_id", "embedding", 5)
     return top.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -71,18 +72,19 @@ def ranked_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minmax_components(spark: SparkSession, d: str) -> DataFrame:
-    best = best_scores(spark, d)
-    scaled = best.select("qid", "study_id", *[rank.minmax(F.col(c), ["qid"], 1e-12).alias(c) for c in COMPONENTS])
-    return scaled.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in COMPONENTS])
+    """Mean of every component after min-max scaling within the question: the scaled mean is the mean, scaled."""
+    sums = [F.struct(F.avg(c).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in COMPONENTS]
+    rows = best_scores(spark, d).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return rows.select("qid", "n", *[F.round(rank.minmax(F.col(f"{c}.mean"), F.col(f"{c}.low"), F.col(f"{c}.high"), 1e-12), 6).alias(c) for c in COMPONENTS])
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    fused = rank.reciprocal_rank_fusion(component_ranks(best_scores(spark, d)), "qid", "study_id", 100, 10)
+    fused = rank.reciprocal_rank_fusion(component_ranks(best_scores(spark, d), 100), "qid", "study_id", 100, 10)
     return fused.select("qid", "rank", "study_id", F.round("score", 8).alias("score"))
 
 
 def weighted_rrf(spark: SparkSession, d: str) -> DataFrame:
-    fused = rank.reciprocal_rank_fusion(component_ranks(best_scores(spark, d)), "qid", "study_id", 100, 5, {"bm25": 0.25, "image": 0.75, "report": 0.0})
+    fused = rank.reciprocal_rank_fusion(component_ranks(best_scores(spark, d), 100), "qid", "study_id", 100, 5, {"bm25": 0.25, "image": 0.75, "report": 0.0})
     return fused.select("qid", "rank", "study_id", F.round("score", 8).alias("score"))
 
 
@@ -94,16 +96,16 @@ def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def shortlist_fusion(spark: SparkSession, d: str) -> DataFrame:
     best = best_scores(spark, d).select("qid", "study_id", "bm25", "image")
-    fused = rank.shortlist_fusion(best, "qid", "study_id", "bm25", "image", 20, 0.4)
-    return fused.where("rank <= 10").select("qid", "rank", "study_id", F.round("score", 6).alias("score"))
+    fused = rank.shortlist_fusion(best, "qid", "study_id", "bm25", "image", 20, 0.4, 10)
+    return fused.select("qid", "rank", "study_id", F.round("score", 6).alias("score"))
 
 
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
-    return rank.top_k_union(component_ranks(best_scores(spark, d)), "qid", "study_id", 5)
+    return rank.top_k_union(component_ranks(best_scores(spark, d), 5), "qid", "study_id", 5)
 
 
 def adaptive_choices(spark: SparkSession, d: str) -> DataFrame:
-    ranks = component_ranks(best_scores(spark, d)).where("source in ('bm25', 'image') and rank <= 2")
+    ranks = component_ranks(best_scores(spark, d), 2).where("source in ('bm25', 'image')")
     tops = ranks.where("rank = 1").select("qid", "source", F.col("study_id").alias("top"))
     sides = rank.margins_from_ranks(ranks, "qid", "value", ["source"]).join(tops, ["qid", "source"])
     base = sides.where("source = 'bm25'").select("qid", F.col("top").alias("bt"), F.col("margin").alias("bm"), F.col("top_score").alias("bs"))
@@ -115,9 +117,10 @@ def adaptive_choices(spark: SparkSession, d: str) -> DataFrame:
 def route_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "scored_cases").where("qid is not null and study_id is not null and route is not null")
     best = rows.groupBy("route", "qid", "study_id").agg(F.max(rank.finite(F.col("score"))).alias("score")).where("score is not null")
-    ranks = rank.ranked(best, "qid", "study_id", "score", extra=["route"])
     qrels = table(spark, d, "questions").select("qid", F.col("case_id").alias("study_id")).where("study_id is not null")
-    m = metrics.retrieval_metrics(ranks, qrels, "qid", "study_id", ["route"])
+    ranks = rank.ranks_of(best, qrels, ["route", "qid"], "study_id", {"rank": F.col("score")})
+    routes = rows.select("route").distinct()
+    m = metrics.retrieval_metrics(ranks, qrels, "qid", "study_id", routes)
     return m.select("route", "n_queries", *[F.round(c, 6).alias(c) for c in m.columns if c not in ("route", "n_queries")])
 
 
@@ -126,7 +129,8 @@ def graded_ndcg(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "paired_cases").groupBy("study_id").agg(F.max(F.struct("ingested_at", F.to_json("labels").alias("j"))).alias("x"))
     labels = labels.select("study_id", label_weights(F.from_json(F.coalesce("x.j", F.lit("{}")), "map<string,double>")).alias("w"))
     target = table(spark, d, "questions").groupBy("qid").agg(F.min("case_id").alias("case_id"))
-    rows = rank.ranked(best, "qid", "study_id", "score").join(labels, "study_id").join(target, "qid")
+    top = rank.ranked(best, "qid", "study_id", "score", 10).select("qid", "study_id", "rank")
+    rows = best.select("qid", "study_id").join(top, ["qid", "study_id"], "left").join(labels, "study_id").join(target, "qid")
     rows = rows.join(labels.select(F.col("study_id").alias("case_id"), F.col("w").alias("qw")), "case_id")
     gains = rows.select("qid", "rank", F.round(label_similarity(F.col("qw"), F.col("w")), 9).alias("gain"))
     return metrics.ndcg(gains, "qid", "rank", "gain", 10).select("qid", F.round("ndcg", 6).alias("ndcg"))
@@ -184,23 +188,23 @@ def relevance_profiles(spark: SparkSession, d: str) -> DataFrame:
 def list_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Confidence of each question's ranked list; agreement is the share of components whose best study is the list's."""
     best = best_scores(spark, d).where("score is not null")
-    ranks = rank.ranked(best, "qid", "study_id", "score")
-    sums = ranks.groupBy("qid").agg(F.max("score").alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.min("score").alias("low"), F.max(F.when(F.col("rank") == 1, F.col("study_id"))).alias("best"))
-    tops = component_ranks(best).where("rank = 1").join(sums.select("qid", "best"), "qid").groupBy("qid").agg(F.avg((F.col("study_id") == F.col("best")).cast("double")).alias("agreement"))
+    ranks = rank.ranked(best, "qid", "study_id", "score", 2)
+    low = best.groupBy("qid").agg(F.min("score").alias("low"))
+    sums = ranks.groupBy("qid").agg(F.max("score").alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("rank") == 1, F.col("study_id"))).alias("best")).join(low, "qid")
+    tops = component_ranks(best, 1).join(sums.select("qid", "best"), "qid").groupBy("qid").agg(F.avg((F.col("study_id") == F.col("best")).cast("double")).alias("agreement"))
     c = relevance.retrieval_confidence(F.col("top"), F.coalesce("second", F.lit(0.0)), F.col("low"), F.col("agreement"), F.lit(0.0), F.lit(0.0))
     return sums.join(tops, "qid").select("qid", F.round(c, 6).alias("confidence"))
 
 
 def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Mean reciprocal rank of the question's case for weights of text against image; one pass scores all weights."""
-    best = best_scores(spark, d)
-    a = F.explode(F.array(*[F.lit(w) for w in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("alpha")
-    rows = best.select("qid", "study_id", rank.minmax(F.col("bm25"), ["qid"], 1e-12).alias("t"), rank.minmax(F.col("image"), ["qid"], 1e-12).alias("v"))
-    rows = rows.select("qid", "study_id", a, "t", "v").withColumn("score", F.round(F.col("alpha") * F.col("t") + (1 - F.col("alpha")) * F.col("v"), 9))
-    ranks = rank.ranked(rows, "qid", "study_id", "score", extra=["alpha"])
-    target = table(spark, d, "questions").select("qid", F.col("case_id").alias("study_id")).where("study_id is not null").distinct()
-    found = ranks.join(target, ["qid", "study_id"]).groupBy("alpha", "qid").agg(F.min("rank").alias("first"))
-    return found.groupBy("alpha").agg(F.count(F.lit(1)).alias("n_found"), F.round(F.sum(1.0 / F.col("first")), 6).alias("sum_rr"))
+    scaled = rank.minmax_scaled(best_scores(spark, d).select("qid", "study_id", "bm25", "image"), "qid", ["bm25", "image"], 1e-12)
+    target = table(spark, d, "questions").select("qid", F.col("case_id").alias("study_id")).where("study_id is not null")
+    scores = {f"a{i}": F.round(F.lit(w) * F.col("bm25") + F.lit(1 - w) * F.col("image"), 9) for i, w in enumerate(ALPHAS)}
+    found = rank.ranks_of(scaled, target, ["qid"], "study_id", scores)
+    firsts = found.groupBy("qid").agg(*[F.min(n).alias(n) for n in scores])
+    long = firsts.select(F.explode(F.array(*[F.struct(F.lit(w).alias("alpha"), F.col(f"a{i}").alias("first")) for i, w in enumerate(ALPHAS)])).alias("x")).select("x.*")
+    return long.groupBy("alpha").agg(F.count(F.lit(1)).alias("n_found"), F.round(F.sum(1.0 / F.col("first")), 6).alias("sum_rr"))
 
 
 def closed_loop_answers(spark: SparkSession, d: str) -> DataFrame:

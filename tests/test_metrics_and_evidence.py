@@ -49,7 +49,7 @@ def test_ndcg_and_retrieval(spark):
     assert abs(got["q"] - 1 / math.log2(3)) < 1e-12 and got["z"] == 0.0 and got["u"] == 0.0
     ranks = spark.createDataFrame([("s", "q", "a", 1), ("s", "q", "b", 2)], "system string, q string, item string, rank int")
     qrels = spark.createDataFrame([("q", "b"), ("q", "c"), ("none", "x")], "q string, item string")
-    m = metrics.retrieval_metrics(ranks, qrels, "q", "item", ["system"]).first()
+    m = metrics.retrieval_metrics(ranks, qrels, "q", "item", ranks.select("system").distinct()).first()
     assert (m["n_queries"], m["hit_at_1"], m["hit_at_5"], m["recall_at_5"], m["mrr"]) == (2, 0.0, 0.5, 0.25, 0.25)
 
 
@@ -64,6 +64,17 @@ def test_bootstrap_is_repeatable(spark):
     a = sorted(r["mean"] for r in metrics.bootstrap_means(rows, "k", "x", 40, 1).collect())
     assert a == sorted(r["mean"] for r in metrics.bootstrap_means(rows, "k", "x", 40, 1).collect())
     assert len(a) == 40 and 0.3 < sum(a) / 40 < 0.7
+    sums = metrics.bootstrap_sums(rows, "k", "x", 400, 1).collect()  # counts of mean and variance one
+    drawn = [r["n"] for r in sums]
+    mean = sum(drawn) / len(drawn)
+    assert abs(mean - 50) < 1.5 and 30 < sum((n - mean) ** 2 for n in drawn) / len(drawn) < 70
+
+
+def test_paired_bootstrap_and_plus_one(spark):
+    rows = spark.createDataFrame([(f"k{i}", float(i % 3), float(i % 3) + 0.5 + 0.01 * (i % 5)) for i in range(60)] + [("x", None, 1.0)], "k string, a double, b double")
+    got = metrics.paired_bootstrap(rows, "k", "a", "b", 200, 3).first()
+    assert got["n"] == 60 and abs(got["difference"] - 0.52) < 1e-9 and 0.5 < got["low"] < got["difference"] < got["high"] < 0.54 and abs(got["p_value"] - 2 / 201) < 1e-12
+    assert metrics.paired_bootstrap(rows.limit(0), "k", "a", "b", 8, 3).first()["n"] == 0
 
 
 def test_evidence_support_and_revision(spark):

@@ -28,18 +28,15 @@ def sample(n=150):
     return sorted({*texts, "x", "ab", "x y"})
 
 
-def test_pairs_equal_brute_force(spark, monkeypatch):
+def test_links_equal_brute_force(spark, monkeypatch):
     texts = sample()
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, n long")
-    for threshold in (0.95, 0.8):
-        want = brute(texts, threshold)
-        assert len(want) > 20
-        assert {(r["b"], r["a"]) for r in near_text.near_text_pairs(df, threshold).collect()} == want
-    monkeypatch.setattr(near_text, "CHUNK", 3)  # several parts and chunks
-    few = texts[:200]
-    got = near_text.near_text_pairs(df.where("id < 200"), 0.8).collect()
-    assert {(r["b"], r["a"]) for r in got} == brute(few, 0.8)
-    assert near_text.near_text_pairs(df.limit(0)).count() == 0
+    want = brute(texts, 0.95)
+    assert len(want) > 20
+    assert {(r["b"], r["a"]) for r in near_text.near_text_links(df, 0.95).collect()} == want
+    monkeypatch.setattr(near_text, "MOST_GRAMS", 0)  # frequencies are joined
+    assert {(r["b"], r["a"]) for r in near_text.near_text_links(df, 0.95).collect()} == want
+    assert near_text.near_text_links(df.limit(0)).count() == 0
 
 
 def test_near_copies_share_a_cluster(spark):

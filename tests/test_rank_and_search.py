@@ -18,7 +18,7 @@ def test_rrf_and_union(spark):
 
 def test_minmax_variants(spark):
     rows = spark.createDataFrame([("q", 1.0), ("q", 3.0), ("q", float("nan")), ("q", None), ("r", 2.0), ("r", 2.0)], "q string, s double")
-    got = sorted(r["m"] for r in rows.select(rank.minmax(F.col("s"), ["q"]).alias("m")).collect())
+    got = sorted(r["s"] for r in rank.minmax_scaled(rows, "q", ["s"]).collect())
     assert got == [0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
 
@@ -60,3 +60,60 @@ def test_positions_and_running_sums(spark):
     assert placed.where("position <> v + 1 or total <> v * (v + 1) / 2").count() == 0
     empty, none = order.with_positions(rows.limit(0), [F.col("v")], {"total": F.col("v")})
     assert none == 0 and empty.count() == 0
+
+
+def test_ranks_in_groups_of_any_size(spark):
+    """A hot group fills many partitions, others are cut by partition ends; compared with a plain sort."""
+    import random
+
+    draw = random.Random(4)
+    rows = [("hot" if i % 3 else draw.choice("abc") if i % 2 else None, i % 2, draw.randrange(50) / 7, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "q string, s int, v double, i int")
+    got = {(r["q"], r["s"], r["i"]): r["rank"] for r in order.ranks_in_groups(df, ["q", "s"], [F.desc("v"), F.col("i")]).collect()}
+    want = {}
+    for row in sorted(rows, key=lambda r: (r[0] or "", r[1], -r[2], r[3])):
+        group = (row[0], row[1])
+        want[(*group, row[3])] = 1 + sum(k[:2] == group for k in want)
+    assert got == want
+    assert order.ranks_in_groups(df.limit(0), ["q"], [F.col("i")]).count() == 0
+    plan = order.ranks_in_groups(df, ["q"], [F.col("i")])._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def test_ranks_of_wanted_items(spark):
+    rows = [("q", c, s) for c, s in zip("abcdef", (0.5, 0.9, 0.5, 0.1, 0.9, 0.2))] + [("r", "a", 1.0)]
+    df = spark.createDataFrame(rows, "q string, i string, s double")
+    wanted = spark.createDataFrame([("q", "c"), ("q", "e"), ("q", "c"), ("r", "a"), ("r", "zz"), ("none", "a")], "q string, i string")
+    got = {(r["q"], r["i"]): r["rank"] for r in rank.ranks_of(df, wanted, ["q"], "i", {"rank": F.col("s")}).collect()}
+    assert got == {("q", "c"): 4, ("q", "e"): 2, ("r", "a"): 1}
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    values = {"a": draw.integers(0, 9, 501).tolist(), "b": draw.normal(size=40).tolist(), "c": [2.5]}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), (None, 1.0)], "g string, v double")
+    got = {r["g"]: (r["lo"], r["hi"]) for r in order.quantiles(df, "g", "v", {"lo": 0.25, "hi": 0.9}).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert all(np.allclose(got[g], [np.quantile(values[g], 0.25), np.quantile(values[g], 0.9)]) for g in got)
+
+
+def test_dense_top_k_in_blocks(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(300, 8))
+    x[7], x[9], x[11] = 0, x[8], x[8]
+    bank = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(999, None), (None, [1.0] * 8)], "id long, v array<double>").repartition(5)
+    asked = bank.where("id % 10 = 8 or id = 7").select(F.col("id").alias("q"), "v")
+    got = {}
+    for r in search.dense_top_k(asked, bank, "q", "id", "v", 4, block=7).collect():
+        got.setdefault(r["q"], {})[r["rank"]] = (r["id"], r["score"])
+    y = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    for q in got:
+        scores = np.round(y @ y[q], 9)
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-scores[i], i))[:4]
+        assert [got[q][k][0] for k in (1, 2, 3, 4)] == want
+    assert len(got) == 31
+    assert search.dense_top_k(asked.limit(0), bank, "q", "id", "v", 4).count() == 0

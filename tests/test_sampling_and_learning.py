@@ -19,9 +19,18 @@ def test_samples_are_repeatable(spark):
 
 def test_history_leaves_out_excluded_and_keeps_unknown(spark):
     bank = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", None), ("d", "q")], "k string, p string")
-    asked = spark.createDataFrame([("a", "p"), ("c", None)], "t string, tp string")
-    got = sampling.hashed_history(asked, bank, "t", "k", 9, 1, (F.col("t") == F.col("k")) | (F.col("tp") == F.col("p"))).collect()
+    asked = spark.createDataFrame([("a", "p"), ("c", None)], "t string, p string")
+    got = sampling.hashed_history(asked, bank, "t", "k", "p", 9, 1).collect()
     assert {(r["t"], r["k"]) for r in got} == {("a", "c"), ("a", "d"), ("c", "a"), ("c", "b"), ("c", "d")}
+    assert sampling.hashed_history(asked, bank.limit(0), "t", "k", "p", 9, 1).count() == 0
+
+
+def test_history_past_a_large_group(spark):
+    """A target whose group holds most of the bank looks further along the ring, and everybody gets the full number."""
+    bank = spark.createDataFrame([(f"k{i:03}", "hot" if i < 180 else f"g{i}") for i in range(200)], "k string, p string")
+    got = sampling.hashed_history(bank.select(F.col("k").alias("t"), "p"), bank, "t", "k", "p", 3, 5).collect()
+    assert len(got) == 600 and len({(r["t"], r["k"]) for r in got}) == 600 and {r["position"] for r in got} == {1, 2, 3}
+    assert all(int(r["k"][1:]) >= 180 for r in got if int(r["t"][1:]) < 180) and all(r["t"] != r["k"] for r in got)
 
 
 def test_pairs(spark):
@@ -46,7 +55,7 @@ def test_logistic_and_its_export(spark):
 
 def test_pairwise_ranker(spark):
     rows = spark.createDataFrame([(f"q{q}", f"i{i}", [float(i), float(q)], i / 4) for q in range(6) for i in range(5)], "q string, i string, x array<double>, g double")
-    model = learning.fit_logistic(learning.pair_differences(rows, "q", "i", "x", "g", 0.2), "x", "label")
+    model = learning.fit_logistic(learning.pair_differences(rows, "q", "i", "x", "g", 0.75, 0.5), "x", "label")
     assert model["coefficients"][0] > 0.5 and abs(model["coefficients"][1]) < 1e-6
 
 

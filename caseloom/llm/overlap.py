@@ -42,18 +42,25 @@ def counted(hashes: np.ndarray) -> np.ndarray:
     return np.sort(mixed ^ (mixed >> np.uint64(29)))
 
 
-def band_keys(items: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band from BANDS * ROWS minwise hashes of 32 bits."""
+def least_hashes(items: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS minwise hashes of 32 bits."""
     short = (items >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    least = None
     for at in range(0, len(short), 256):  # long texts in slices, so that memory stays flat
-        least = np.minimum(least, (short[at : at + 256, None] * factors + offsets).min(axis=0))
-    rows = least.astype(np.uint64).reshape(BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64) * _MIX
+        hashed = short[at : at + 256, None] * factors
+        hashed += offsets
+        least = hashed.min(axis=0) if least is None else np.minimum(least, hashed.min(axis=0))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band and row of a matrix of minwise hashes, row by row."""
+    rows = least.astype(np.uint64).reshape(len(least), BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _MIX, rows.shape[:2])
     for k in range(ROWS):
-        keys = (keys ^ rows[:, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys = (keys ^ rows[:, :, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
         keys ^= keys >> np.uint64(31)
-    return keys
+    return keys.ravel()
 
 
 def report_bags(reports: DataFrame) -> DataFrame:
@@ -84,7 +91,7 @@ def report_bags(reports: DataFrame) -> DataFrame:
 
 
 def class_bands(classes: DataFrame, seed: int = 7) -> DataFrame:
-    """(class_id, in_train, in_eval, band) with BANDS rows of each class; classes has class_id, in_train, in_eval, items."""
+    """(class_id, band) with BANDS rows of each class; classes has class_id and items."""
     draws = np.random.default_rng(seed)
     factors = draws.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
     offsets = draws.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -93,13 +100,11 @@ def class_bands(classes: DataFrame, seed: int = 7) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                keys = [band_keys(bag.values.to_numpy().view(np.uint64), factors, offsets) for bag in batch.column(3)]
-                spread = np.repeat(np.arange(len(keys)), BANDS)
-                bands = pa.array(np.concatenate(keys).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(spread)) for c in batch.columns[:3]], bands], names=["class_id", "in_train", "in_eval", "band"])
+                keys = band_keys(np.stack([least_hashes(bag.values.to_numpy().view(np.uint64), factors, offsets) for bag in batch.column(1)]))
+                spread = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(spread), pa.array(keys.view(np.int64))], names=["class_id", "band"])
 
-    rows = classes.select("class_id", "in_train", "in_eval", "items")
-    return rows.mapInArrow(sign, "class_id binary, in_train boolean, in_eval boolean, band long")
+    return classes.select("class_id", "items").mapInArrow(sign, "class_id binary, band long")
 
 
 def study_sides(splits: DataFrame, train: str, evaluation: list[str]) -> DataFrame:
@@ -116,9 +121,8 @@ def similar_classes(classes: DataFrame, least: float) -> DataFrame:
     classes has class_id, items, in_train, in_eval. Only pairs across the sides are formed: the
     join of a bucket is between its train and its evaluation classes.
     """
-    banded = class_bands(classes)
-    left = banded.where("in_train").select("band", F.col("class_id").alias("train_class"))
-    right = banded.where("in_eval").select("band", F.col("class_id").alias("eval_class"))
+    left = class_bands(classes.where("in_train")).select("band", F.col("class_id").alias("train_class"))
+    right = class_bands(classes.where("in_eval")).select("band", F.col("class_id").alias("eval_class"))
     pairs = left.join(right, "band").where("train_class <> eval_class").select("train_class", "eval_class").distinct()
     bag = classes.select("class_id", "items")
     both = pairs.join(bag.where("in_train").select(F.col("class_id").alias("train_class"), F.col("items").alias("a")), "train_class")

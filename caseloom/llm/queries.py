@@ -82,7 +82,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p2_found, p2_splits, p3_found, p4_found, p4_report, p5_found, p6_ids, p7_found, p8_found, p8_profile)
 }
 
+_KEY = r"nullif(upper(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
+# plain words of a report: of the compatible forms, those that the reports hold
+_WORDS = r"regexp_extract_all(replace(translate(lower(concat_ws(chr(10), findings, impression)), '０１２３４５６７８９', '0123456789'), 'ﬁ', 'fi'), '[\p{L}\p{N}]+')"
+_OVERLAP = f"""
+        side AS (SELECT DISTINCT {_KEY.format('study_id')} AS s, lower(trim(split_name)) AS split_name FROM study_splits WHERE lower(trim(split_name)) IN ('train', 'calibration', 'validation', 'test') AND {_KEY.format('study_id')} IS NOT NULL),
+        r AS (SELECT row_number() OVER () AS rid, * FROM (SELECT DISTINCT {_KEY.format('study_id')} AS s, {_WORDS} AS t FROM paired_cases) WHERE len(t) > 0),
+        item AS (SELECT rid, w, row_number() OVER (PARTITION BY rid, w) AS nth FROM (SELECT rid, unnest(t) AS w FROM r)),
+        a AS (SELECT rid, w, nth FROM item WHERE rid IN (SELECT rid FROM r JOIN side USING (s) WHERE split_name = 'train')),
+        b AS (SELECT rid, w, nth FROM item WHERE rid IN (SELECT rid FROM r JOIN side USING (s) WHERE split_name <> 'train')),
+        near AS (SELECT x, y FROM (SELECT a.rid AS x, b.rid AS y, count(*) AS n FROM a JOIN b USING (w, nth) GROUP BY 1, 2) JOIN r p ON p.rid = x JOIN r q ON q.rid = y WHERE n / (len(p.t) + len(q.t) - n) >= 0.8),
+        listed AS (SELECT DISTINCT cluster_id, {_KEY.format('case_id')} AS s FROM duplicate_clusters WHERE cluster_id IS NOT NULL),
+        tied AS (SELECT p.s AS s, q.s AS e FROM near JOIN r p ON p.rid = x JOIN r q ON q.rid = y UNION SELECT p.s, q.s FROM listed p JOIN listed q USING (cluster_id)),
+        pair AS (SELECT DISTINCT tied.s AS t, tied.e AS e, f.split_name FROM tied JOIN side o ON o.s = tied.s AND o.split_name = 'train' JOIN side f ON f.s = tied.e AND f.split_name <> 'train' WHERE tied.s <> tied.e)"""
+
 SQL: dict[str, str] = {
+    "p4_found": f"WITH {_OVERLAP} SELECT DISTINCT least(t, e) AS study_id_a, greatest(t, e) AS study_id_b FROM pair",
+    "p4_report": f"""WITH {_OVERLAP}, source AS (SELECT {_KEY.format('study_id')} AS t, min(source) AS source FROM paired_cases GROUP BY 1)
+        SELECT split_name, source, count(*) AS n_pairs, count(DISTINCT t) AS n_train_studies, count(DISTINCT e) AS n_eval_studies FROM pair LEFT JOIN source USING (t) GROUP BY ALL""",
     "p1_found": """
         WITH best AS (
           SELECT qid, study_id, max(score) AS score FROM scored_cases

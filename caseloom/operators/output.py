@@ -69,6 +69,32 @@ def parse_compact_output(rows: DataFrame, key: str, text: str, allowed: str) ->
     )
 
 
+def without_trailing_commas(text: Column) -> Column:
+    """Commas right before a closing brace or bracket dropped."""
+    return F.regexp_replace(text, r",(\s*[}\]])", "$1")
+
+
+def staged_output(rows: DataFrame, key: str, answer: str, support: str, allowed: str, no_history: Column) -> DataFrame:
+    """(key, answer, uncertainty, historical_support, supporting_ids, no_reliable_history, evidence_abstained, answer_stage_valid, support_stage_valid) of a two-stage output.
+
+    The first stage is a JSON object {a, u}, the second {s: [{p, t}]}; trailing commas and text around the objects are tolerated. An unknown uncertainty is high; without an answer the whole text is taken, or a fixed sentence.
+    Support whose id isn't in `allowed`, or without a text, is dropped and makes that stage invalid; without reliable history (no_history) there is no support.
+    """
+    read = rows.select(key, F.coalesce(F.col(answer), F.lit("")).alias("_t"), F.col(allowed).alias("_ok"), no_history.alias("_none"), first_json_object(without_trailing_commas(F.col(answer))).alias("_j"), first_json_object(without_trailing_commas(F.col(support))).alias("_k"))
+    read = read.withColumn("_f", F.from_json("_j", "a string, u string")).withColumn("_g", F.from_json("_k", "s array<struct<p:string,t:string>>"))
+    said, mood = clean_text(F.col("_f.a")), F.lower(clean_text(F.col("_f.u")))
+    known = mood.isin("low", "medium", "high")
+    empty = F.array().cast("array<struct<p:string,t:string>>")
+    given = F.transform(F.coalesce("_g.s", empty), lambda s: F.struct(clean_text(s["p"]).alias("p"), clean_text(s["t"]).alias("t")))
+    kept = F.filter(given, lambda s: F.array_contains(F.col("_ok"), s["p"]) & (s["t"] != ""))
+    shown = F.when(F.col("_none"), empty).otherwise(kept)
+    return read.select(
+        key, F.when(said != "", said).when(clean_text(F.col("_t")) != "", clean_text(F.col("_t"))).otherwise(F.lit(NO_ANSWER)).alias("answer"), F.when(known, mood).otherwise("high").alias("uncertainty"),
+        shown.alias("historical_support"), F.array_sort(F.array_distinct(F.transform(shown, lambda s: s["p"]))).alias("supporting_ids"), F.col("_none").alias("no_reliable_history"), (F.size(shown) == 0).alias("evidence_abstained"),
+        (F.col("_j").isNotNull() & known & (said != "")).alias("answer_stage_valid"), (F.col("_k").isNotNull() & F.col("_g.s").isNotNull() & (F.size(kept) == F.size(given))).alias("support_stage_valid"),
+    )
+
+
 def model_slot(rows: DataFrame, column: str, result: str, kind: str, load) -> DataFrame:
     """rows with `result` from an external model: load() is called once per task and gives a function from a pandas Series to a Series.
 

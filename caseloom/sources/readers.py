@@ -23,9 +23,12 @@ ARCHIVE_SCHEMA = (
 )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, plain or gzipped; quoted line breaks and a byte-order mark are allowed; every column is a string."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_table(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """A CSV with a header, plain or gzipped; a byte-order mark is allowed; every column is a string.
+
+    line_breaks allows quoted line breaks; a file is then read by one task, so large tables with such breaks should come in several files.
+    """
+    df = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
@@ -62,6 +65,11 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASE_SCHEMA).json(path)
 
 
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a given schema, one JSON object a line."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_archive(spark: SparkSession, path: str, split: str) -> DataFrame:
     """(document_id, context, qa, split) of a nested question archive."""
     rows = spark.read.option("multiLine", True).schema(ARCHIVE_SCHEMA).json(path)

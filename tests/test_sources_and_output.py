@@ -14,7 +14,7 @@ def test_report_cases(spark, tmp_path):
         f.write('﻿uid,Indication,findings,Impression,MeSH\n1,cough,"clear\nlungs, both",normal,x\ncxr2,,,,\n,a,b,c,d\n')
     views = tmp_path / "v.csv"
     views.write_text("uid,filename,projection\n1,b.png,Lateral\n1,a.png,Frontal\n9,z.png,Frontal\n2,,Frontal\n")
-    cases = readers.report_cases(readers.read_table(spark, str(reports)), readers.read_table(spark, str(views)))
+    cases = readers.report_cases(readers.read_table(spark, str(reports), line_breaks=True), readers.read_table(spark, str(views)))
     got = {r["case_id"]: r for r in cases.collect()}
     assert set(got) == {"CXR1", "CXR2"}
     assert got["CXR1"]["report_text"] == "cough\nclear\nlungs, both\nnormal"
@@ -23,7 +23,7 @@ def test_report_cases(spark, tmp_path):
     again = readers.read_cases(spark, str(tmp_path / "cases"))
     assert sorted(r["case_id"] for r in again.collect()) == ["CXR1", "CXR2"]
     sinks.write_table(cases, str(tmp_path / "table"))
-    assert readers.read_table(spark, str(tmp_path / "table")).count() == 2
+    assert readers.read_table(spark, str(tmp_path / "table"), line_breaks=True).count() == 2
     assert len(json.loads(sinks.to_record(cases).first()["record"])) == len(cases.columns)
 
 

@@ -107,7 +107,7 @@ def encode_corpus(documents: DataFrame, key: str, text: str, vocabulary: str = D
                 part = batch.slice(at, 256)
                 words = [cut.findall(t) if t else [] for t in part.column(1).to_pylist()]
                 fresh = {w.encode() for ws in words for w in ws if w not in memo}
-                if held > MEMO_BYTES:
+                if held + 200 * len(trie.fits) > MEMO_BYTES:
                     memo, held, trie.fits = {}, 0, {}
                     fresh = {w.encode() for ws in words for w in ws}
                 for word, ids in trie.encode(fresh).items():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from caseloom.session import stored
 
-TAG = regex.compile(r"<[!/]?\p{L}[^<>]{0,200}>")
+TAG = regex.compile(r"<[!/]?\p{L}[^<>]*>")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 SENTENCE = re.compile(r"(?<=[.!?;])[\s\"”»')]+|\n+")
 LIST_SIZES = (100, 200, 300)  # nested high-frequency lists; shares outside each of them enter the formula
@@ -80,19 +80,21 @@ def document_words(documents: DataFrame) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if doc is None or not text:
-                    continue
-                shown = plain(text)
-                if not has_words(shown, LEAST_WORDS):
-                    continue
-                sentences = sentences_of(shown)
-                if is_english(sentences):
-                    ids.append(doc)
-                    rows.append([" ".join(words) for words in sentences])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "sentences"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # few whole texts are Python objects at a time
+                batch = whole.slice(at, 256)
+                ids, rows = [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if doc is None or not text:
+                        continue
+                    shown = plain(text)
+                    if not has_words(shown, LEAST_WORDS):
+                        continue
+                    sentences = sentences_of(shown)
+                    if is_english(sentences):
+                        ids.append(doc)
+                        rows.append([" ".join(words) for words in sentences])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "sentences"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(cut, f"doc_id {kind}, sentences array<string>")
@@ -167,7 +169,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, sizes: tuple[int, ..
     spark = documents.sparkSession
     cut = stored(document_words(documents), "sentences")
     rank = {w: i for i, w in enumerate(familiar_words(cut, max(sizes)))}
-    rated = rated_levels(labels).join(cut, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(5))).limit(most_rated)
+    drawn = rated_levels(labels).join(cut.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most_rated)  # ids and levels only
+    rated = stored(drawn, "rated").join(cut, "doc_id")
     shared_rank = spark.sparkContext.broadcast((rank, sizes))
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +184,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, sizes: tuple[int, ..
             yield pd.DataFrame(rows, columns=["level_no", "weight", "x"])
 
     # what reaches the driver is bounded: one rated text gives at most SENTENCES of its sentences
-    sample = rated.select("level_no", F.when(F.size("sentences") > SENTENCES, F.slice(F.shuffle("sentences", F.lit(11)), 1, SENTENCES)).otherwise(F.col("sentences")).alias("sentences"))
+    mixed = F.array_sort(F.transform("sentences", lambda s: F.struct(F.xxhash64(s, F.lit(11)).alias("h"), s.alias("s"))))
+    sample = rated.select("level_no", F.transform(F.slice(mixed, 1, SENTENCES), lambda x: x["s"]).alias("sentences"))
     fit = sample.mapInPandas(features, "level_no long, weight double, x array<double>").toPandas()
     kind = documents.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {kind}, level_no long, unfamiliar_share double, words_per_sentence double"
@@ -193,22 +197,22 @@ def reading_levels(documents: DataFrame, labels: DataFrame, sizes: tuple[int, ..
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, lists = shared_rank.value
         use = shared.value
-        for frame in frames:
-            if not len(frame):
-                continue
-            own = [[s.split(" ") for s in sentences] for sentences in frame["sentences"]]
-            counts = np.array([len(x) for x in own])
-            x = np.array([sentence_features(w, known, lists) for sentences in own for w in sentences])
-            words = np.array([len(w) for sentences in own for w in sentences], float)
-            which = np.repeat(np.arange(len(own)), counts)
-            votes = np.zeros((len(own), len(use.levels)))
-            np.add.at(votes, (which, use.shares(x).argmax(axis=1)), words)
-            total = votes.sum(axis=1)
-            strange = np.zeros(len(own))
-            np.add.at(strange, which, x[:, len(lists) - 1] * words)
-            yield pd.DataFrame(
-                {"doc_id": frame["doc_id"], "level_no": use.levels[votes.argmax(axis=1)].astype(np.int64), "unfamiliar_share": strange / total, "words_per_sentence": total / counts}
-            )
+        for whole in frames:
+            for at in range(0, len(whole), 512):
+                frame = whole.iloc[at : at + 512]
+                own = [[s.split(" ") for s in sentences] for sentences in frame["sentences"]]
+                counts = np.array([len(x) for x in own])
+                x = np.array([sentence_features(w, known, lists) for sentences in own for w in sentences])
+                words = np.array([len(w) for sentences in own for w in sentences], float)
+                which = np.repeat(np.arange(len(own)), counts)
+                votes = np.zeros((len(own), len(use.levels)))
+                np.add.at(votes, (which, use.shares(x).argmax(axis=1)), words)
+                total = votes.sum(axis=1)
+                strange = np.zeros(len(own))
+                np.add.at(strange, which, x[:, len(lists) - 1] * words)
+                yield pd.DataFrame(
+                    {"doc_id": frame["doc_id"].to_numpy(), "level_no": use.levels[votes.argmax(axis=1)].astype(np.int64), "unfamiliar_share": strange / total, "words_per_sentence": total / counts}
+                )
 
     one = cut.mapInPandas(rate, result).groupBy("doc_id").agg(F.min(F.struct("level_no", "unfamiliar_share", "words_per_sentence")).alias("x"))
     return one.select("doc_id", "x.*")

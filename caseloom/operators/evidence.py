@@ -33,17 +33,21 @@ def question_intent(question: Column, indication: Column | None = None) -> Colum
     return chain.otherwise("summary")
 
 
+def prepared_evidence(text: Column) -> Column:
+    """array<struct<text, plain, words, negated>> of the sentences of a text: what every sentence that is checked against it needs."""
+    return F.transform(numbered_sentences(text), lambda e: F.struct(e.alias("text"), normalized_key(e).alias("plain"), content_tokens(e).alias("words"), contains_negation(e).alias("negated")))
+
+
 def evidence_support(rows: DataFrame, key: str, answer: str, evidence: str, least: float = 0.65) -> DataFrame:
     """(key, position, sentence, matched_evidence, support_score, negation_consistent, supported) per sentence of the answer.
 
+    evidence is a text, or already prepared_evidence where many answers share it.
     Each sentence takes the evidence sentence that holds the largest share of its content words (all of
     them if it contains the sentence), the first one among equals; opposite polarity bars support but keeps the score.
     A sentence without content words scores 0. Everything is an expression over the row: no join, no shuffle.
     """
-    facts = F.transform(
-        numbered_sentences(F.col(evidence)),
-        lambda e: F.struct(e.alias("text"), normalized_key(e).alias("plain"), content_tokens(e).alias("words"), contains_negation(e).alias("negated")),
-    )
+    plain = rows.schema[evidence].dataType.simpleString() == "string"
+    facts = prepared_evidence(F.col(evidence)) if plain else F.col(evidence)
     said = rows.select(key, F.col(answer).alias("_answer"), facts.alias("facts"))
     said = said.select(key, "facts", F.posexplode(numbered_sentences(F.col("_answer"))).alias("position", "sentence"))
     said = said.withColumn("plain", normalized_key(F.col("sentence"))).withColumn("words", content_tokens(F.col("sentence"))).withColumn("negated", contains_negation(F.col("sentence")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.text import NEGATION, normalized_key
+from caseloom.functions.text import ENDINGS, NEGATION, NORMALITY, STOP_WORDS, normalized_key
 from caseloom.operators import cohorts, evidence, metrics, relevance
 from caseloom.operators.order import quantiles
 from caseloom.plans.text import S
@@ -50,6 +50,7 @@ def evidence_support(spark: SparkSession, d: str) -> DataFrame:
     """Every verifier answer against the report of its study, sentence by sentence."""
     said = first_rows(spark, d, "verifier_results", "result_id").select("result_id", "study_id", "answer")
     report = table(spark, d, "paired_cases").groupBy("study_id").agg(F.min(F.concat_ws(" ", "findings", "impression")).alias("report"))
+    report = report.select("study_id", evidence.prepared_evidence(F.col("report")).alias("report"))  # once per study
     checks = evidence.evidence_support(said.join(report, "study_id"), "result_id", "answer", "report")
     return evidence.revised_answers(checks, "result_id").withColumn("support_rate", F.round("support_rate", 6))
 
@@ -244,7 +245,39 @@ def _resampled(key: str, value: str, seed: int, repetitions: int) -> str:
 
 _SAID = f"(SELECT result_id, min(qid) AS qid, min(action_policy) AS action_policy, bool_and(abstained) AS abstained, {_KEY % 'min(answer)'} AS t FROM verifier_results GROUP BY result_id)"
 
+def _numbered(c: str) -> str:
+    """The sentences that numbered_sentences gives."""
+    guarded = rf"regexp_replace(trim(coalesce({c}, ''), ' '), '\b(\d+)\.\s+', '\1' || chr(1) || ' ', 'g')"
+    cut = rf"string_split(regexp_replace(regexp_replace({guarded}, '([.!?])\s+', '\1␟', 'g'), '[\r\n]+|\s*;\s*', '␟', 'g'), '␟')"
+    return f"list_filter(list_transform({cut}, lambda s: trim(replace(s, chr(1), '.'), ' ')), lambda s: s <> '')"
+
+
+def _content(c: str) -> str:
+    """The words that content_tokens gives."""
+    stop = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+    stem = "lambda t: CASE " + " ".join(
+        f"WHEN length(t) >= {least} AND suffix(t, '{ending}')" + (f" AND NOT suffix(t, '{spared}')" if spared else "") + f" THEN left(t, length(t) - {len(ending)}) || '{instead}'" for ending, least, spared, instead in ENDINGS
+    ) + " ELSE t END"
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({stop}, t)), {stem}))"
+
+
+def _negated(c: str) -> str:
+    return f"(regexp_matches({c}, {_NEGATION}) OR regexp_matches({c}, '{NORMALITY}'))"
+
+
 SQL = {
+    "evidence_support": f"""
+        WITH one AS (SELECT result_id, min(study_id) AS study_id, arg_min(answer, created_at) AS answer FROM verifier_results GROUP BY result_id),
+        rep AS (SELECT study_id, min(concat_ws(' ', findings, impression)) AS report FROM paired_cases GROUP BY study_id),
+        s AS (SELECT result_id, study_id, text, pos, {_KEY % 'text'} AS plain, {_content('text')} AS words, {_negated('text')} AS negated
+              FROM (SELECT result_id, study_id, unnest(a) AS text, generate_subscripts(a, 1) AS pos FROM (SELECT result_id, study_id, {_numbered('answer')} AS a FROM one JOIN rep USING (study_id)))),
+        e AS (SELECT study_id, text, pos, {_KEY % 'text'} AS plain, {_content('text')} AS words, {_negated('text')} AS negated
+              FROM (SELECT study_id, unnest(a) AS text, generate_subscripts(a, 1) AS pos FROM (SELECT study_id, {_numbered('report')} AS a FROM rep))),
+        x AS (SELECT s.result_id, s.pos, s.text, CASE WHEN len(s.words) > 0 THEN CASE WHEN s.plain <> '' AND contains(e.plain, s.plain) THEN 1.0::DOUBLE ELSE len(list_intersect(s.words, e.words)) / len(s.words) END END AS score,
+              e.negated = s.negated AS same, row_number() OVER (PARTITION BY s.result_id, s.pos ORDER BY CASE WHEN s.plain <> '' AND contains(e.plain, s.plain) THEN 1.0::DOUBLE ELSE len(list_intersect(s.words, e.words)) / len(s.words) END DESC, e.pos) AS r
+              FROM s LEFT JOIN e USING (study_id)),
+        c AS (SELECT result_id, pos, text, coalesce(score, 0) >= 0.65 AND (score IS NULL OR coalesce(same, true)) AS supported FROM x WHERE r = 1)
+        SELECT result_id, round(avg(supported::INT), 6) AS support_rate, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (supported), '{evidence.INSUFFICIENT}') AS revised_answer, count(*) FILTER (supported) = 0 AS abstained FROM c GROUP BY result_id""",
     "claim_polarities": f"""
         WITH p AS (SELECT action_policy, list_filter(regexp_split_to_array(t, '[.!?;]+({S}+|$)'), lambda s: s <> '') AS said FROM {_SAID}),
         n AS (SELECT action_policy, len(said) AS k, len(list_filter(said, lambda s: regexp_matches(s, {_NEGATION}))) AS n FROM p)

@@ -58,6 +58,20 @@ def token_f1(rows: DataFrame, key: str, prediction: str, reference: str) -> Data
     return sized.withColumn("token_f1", score).drop("_k", "_c", "_p", "_r")
 
 
+def ngram_f1(rows: DataFrame, key: str, prediction: str, reference: str, n: int) -> DataFrame:
+    """(key, f1): multiset F1 of runs of n ascii tokens, for rows with such a run on either side; key must be unique."""
+
+    def runs(text: str) -> Column:
+        t = ascii_tokens(F.col(text))
+        last = F.size(t) - n + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    side = lambda text, p: rows.select(F.col(key).alias("_k"), F.explode(runs(text)).alias("g"), F.lit(p).alias("p"), F.lit(1 - p).alias("r"))
+    counts = side(prediction, 1).unionAll(side(reference, 0)).groupBy("_k", "g").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    return counts.groupBy(F.col("_k").alias(key)).agg((2.0 * F.sum(F.least("p", "r")) / (F.sum("p") + F.sum("r"))).alias("f1"))
+
+
 def reliability_bins(rows: DataFrame, probability: str, truth: str, bins: int = 10) -> DataFrame:
     """(bin, n, mean_probability, accuracy): equal-width bins, the last one closed; empty bins are kept with n = 0."""
     p = F.col(probability)

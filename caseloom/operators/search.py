@@ -62,6 +62,25 @@ def bm25_scores(queries: DataFrame, texts: DataFrame, query: str, query_text: st
     return hits.groupBy(query, F.col("key").alias(key)).agg(F.sum(part).alias("score"))
 
 
+def leave_one_out_scores(queries: DataFrame, texts: DataFrame, query: str, query_text: str, key: str, text: str) -> DataFrame:
+    """(query, key, score) as bm25_scores, where a query is itself a text's key: that text is neither scored nor counted in the statistics.
+
+    Frequencies, number and mean length are those of all texts less the query's own, so nothing is counted anew per query.
+    """
+    asked = queries.select(F.col(query), F.explode(ascii_tokens(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    every = query_postings(texts, key, text, asked)
+    postings, lengths = every.where(F.col("term") != EVERY), every.where(F.col("term") == EVERY).select("key", "dl")
+    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    own = postings.select(F.col("key").alias(query), "term", F.lit(1).alias("held"))
+    rows = asked.join(df, "term").join(lengths.select(F.col("key").alias(query), F.col("dl").alias("own")), query).join(own, [query, "term"], "left").join(F.broadcast(size))  # size is one row
+    n, held = F.col("n") - 1, F.col("df") - F.coalesce("held", F.lit(0))
+    terms = rows.select(query, "term", "qtf", F.log(1 + (n - held + 0.5) / (held + 0.5)).alias("idf"), ((F.col("total") - F.col("own")) / n).alias("avgdl"))
+    hits = postings.join(terms, "term").where(F.col("key") != F.col(query))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy(query, F.col("key").alias(key)).agg(F.sum(part).alias("score"))
+
+
 def top_with_fill(scores: DataFrame, queries: DataFrame, texts: DataFrame, query: str, key: str, k: int) -> DataFrame:
     """Top k per query, where texts without a score follow with 0.0 in the order of their key.
 

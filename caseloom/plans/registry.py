@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseloom.plans import evaluation, extended, more, retrieval, text
+from caseloom.plans import diagnostics, evaluation, extended, more, retrieval, text
 
-QUERIES = text.QUERIES | retrieval.QUERIES | evaluation.QUERIES | more.QUERIES | extended.QUERIES
-SQL = text.SQL | retrieval.SQL | evaluation.SQL | more.SQL | extended.SQL
+QUERIES = text.QUERIES | retrieval.QUERIES | evaluation.QUERIES | more.QUERIES | extended.QUERIES | diagnostics.QUERIES
+SQL = text.SQL | retrieval.SQL | evaluation.SQL | more.SQL | extended.SQL | diagnostics.SQL

@@ -13,7 +13,7 @@ from caseloom.operators.skew import join_one_per_key
 from caseloom.session import stored
 
 SIZES = (3, 5)  # shortest and longest gram, in characters
-BANDS, ROWS = 48, 8  # texts whose gram sets have a Jaccard similarity j never meet with probability (1 - j**ROWS)**BANDS: 0.02 % at 0.8, 0.6 % at 0.75
+BANDS, ROWS, SHARED = 48, 8, 3  # texts must share SHARED bands: of pairs whose gram sets have a Jaccard similarity of 0.85, 0.004 % don't, of 0.8, 0.9 %; of 0.4, 2 in 100,000 do
 MOST_GRAMS = 4_000_000  # grams of two documents or more that are broadcast with their frequencies (16 bytes each); more are joined
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -77,9 +77,9 @@ def gram_bands(texts: DataFrame, seed: int = 5) -> DataFrame:
 
 
 def _linked(banded: DataFrame) -> DataFrame:
-    """(a, b) with a < b: texts that share a band. Equal texts are one row by now, so a band grows with its different texts only, and its join is split where it is hot."""
+    """(a, b) with a < b: texts that share SHARED bands. Equal texts are one row by now, so a band grows with its different texts only, and its join is split where it is hot."""
     left, right = banded.select("band", F.col("id").alias("a")), banded.select("band", F.col("id").alias("b"))
-    return left.join(right, "band").where("a < b").select("a", "b").distinct()
+    return left.join(right, "band").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED).select("a", "b")
 
 
 def _cosines_by_broadcast(pairs: DataFrame, texts: DataFrame, frequencies: DataFrame, documents: int) -> DataFrame:
@@ -134,11 +134,10 @@ def _cosines_by_join(pairs: DataFrame, texts: DataFrame, frequencies: DataFrame,
 
 
 def near_text_links(texts: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """(a, b, cosine) of texts with a cosine of at least the threshold that share a band; texts has id (long, unique), text, n.
+    """(a, b, cosine) of texts with a cosine of at least the threshold that share enough bands; texts has id (long, unique), text, n.
 
     n documents hold a text; frequencies count documents, idf is ln((1+N)/(1+df)) + 1, and cosines are exact. Texts meet through banded minwise hashes
-    of their gram sets. In reports of this kind two texts of a cosine of 0.95 have gram sets of a Jaccard similarity of 0.93 or more, and nearly all others of less than 0.4,
-    of which one pair in 5,000 meets.
+    of their gram sets. In reports of this kind two texts of a cosine of 0.95 have gram sets of a Jaccard similarity of 0.93 or more, and nearly all others of less than 0.4.
     """
     texts = stored(texts.where("text <> ''").select("id", "text", F.col("n").cast("long").alias("n")), "texts")
     documents = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -110,27 +110,36 @@ def ranks_in_groups(df: DataFrame, group: list[str], by: list[Column], rank: str
     return out.withColumn(rank, place).drop("_g", "_part", "_local", "_run", "_first", "_more")
 
 
-def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """(group, one column per share): exact quantiles by linear interpolation of the non-null values of each group, however large.
+def _levels(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(g, v, n, upto, size): the distinct values of each group, how many rows have them, running counts within the group, and its rows.
 
-    Values are first counted per level, combined before the shuffle; running counts in global order then tell the levels that a quantile lies between.
-    A null group has no row.
+    Values are counted per level, combined before the shuffle; running counts come from the global order. Null groups and values drop out.
     """
     kept = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     levels = kept.groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     placed, _ = with_positions(levels, [F.col("g"), F.col("v")], {"upto": F.col("n")})
-    whole = levels.groupBy("g").agg(F.sum("n").alias("size"))
-    before = placed.groupBy("g").agg(F.min(F.col("upto") - F.col("n")).alias("start"))
-    held = join_one_per_key(join_one_per_key(placed, whole, "g"), before, "g").withColumn("upto", F.col("upto") - F.col("start"))
+    whole = placed.groupBy("g").agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("size"))
+    return join_one_per_key(placed, whole, "g").select("g", "v", "n", (F.col("upto") - F.col("start")).alias("upto"), "size")
+
+
+def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, one column per share): exact quantiles by linear interpolation of the non-null values of each group, however large. A null group has no row."""
     parts = []
     for name, share in shares.items():
         at = F.lit(share) * (F.col("size") - 1)
         for end, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             parts.append(F.min(F.when(F.col("upto") > index, F.col("v"))).alias(f"{name}_{end}"))
-    got = held.groupBy("g", "size").agg(*parts)
+    got = _levels(rows, group, value).groupBy("g", "size").agg(*parts)
     out = [F.col("g").alias(group)]
     for name, share in shares.items():
         at = F.lit(share) * (F.col("size") - 1)
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         out.append((low + (at - F.floor(at)) * (high - low)).alias(name))
     return got.select(*out)
+
+
+def nearest_index(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """(group, value): the value at index round-half-even((n-1)·share) of the sorted non-null values of each group, however large."""
+    index = F.bround((F.col("size") - 1) * F.lit(share))
+    got = _levels(rows, group, value).where(F.col("upto") > index).groupBy("g").agg(F.min("v").alias("v"))
+    return got.select(F.col("g").alias(group), F.col("v").alias(value))

@@ -51,12 +51,6 @@ def smallest_sufficient(metrics: DataFrame, size: str, value: str, target: float
     return means.agg(F.coalesce(F.min(F.when(F.col("m") >= target, F.col(size))), F.max(size)).alias(size))
 
 
-def nearest_index_percentile(values: str, share: float) -> Column:
-    """An aggregate: the value at index round-half-even((n-1)·share) of the sorted values of a group of bounded size."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.bround((F.size(ordered) - 1) * F.lit(share)) + 1).cast("int"))
-
-
 def pooled_views(views: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, vector): unit vectors of a case's views averaged and scaled to length one again; averaged by position, combined before the shuffle."""
     flat = views.select(key, F.posexplode(l2_normalized(F.col(vector))).alias("at", "x"))

@@ -99,6 +99,15 @@ SQL = {
         WITH toks AS (SELECT doc_id, list_filter(string_split({_clean('text')}, ' '), lambda t: t <> '') AS t FROM documents),
         w AS (SELECT doc_id, t, unnest(range(0, len(t), 64)) AS s FROM toks)
         SELECT doc_id, s // 64 AS window, sha256(array_to_string(t[s + 1 : s + 64], ' ')) AS window_sha256 FROM w""",
+    "packed_reports": f"""
+        WITH RECURSIVE p AS (SELECT DISTINCT study_id, findings, study_id || '|' || coalesce(findings, '') AS rid FROM paired_cases),
+        s AS (SELECT rid, study_id, unnest(c) AS s, generate_subscripts(c, 1) AS a FROM (SELECT rid, study_id, {_sentences('findings')} AS c FROM p)),
+        t AS (SELECT rid, study_id, a, list_filter(string_split(s, ' '), lambda x: x <> '') AS t FROM s),
+        w AS (SELECT rid, study_id, a, b, t[b + 1 : b + 64] AS t FROM (SELECT *, unnest(range(0, len(t), 64)) AS b FROM t)),
+        n AS (SELECT rid, study_id, row_number() OVER (PARTITION BY rid ORDER BY a, b) AS i, array_to_string(t, ' ') AS text, len(t) AS k FROM w),
+        r AS (SELECT rid, i, 0 AS c, k AS n FROM n WHERE i = 1
+          UNION ALL SELECT n.rid, n.i, CASE WHEN r.n + n.k <= 64 THEN r.c ELSE r.c + 1 END, CASE WHEN r.n + n.k <= 64 THEN r.n + n.k ELSE n.k END FROM r JOIN n ON n.rid = r.rid AND n.i = r.i + 1)
+        SELECT study_id, c AS chunk, string_agg(text, ' ' ORDER BY i) AS text FROM r JOIN n USING (rid, i) GROUP BY study_id, rid, c""",
     "question_intents": f"SELECT DISTINCT qid, {_INTENT} AS intent FROM questions",
     "stable_folds": """
         WITH ids AS (SELECT DISTINCT study_id, sha256('7145:' || study_id) AS f, sha256(study_id || '|absent') AS a, sha256('roles|7|' || study_id) AS r FROM paired_cases)

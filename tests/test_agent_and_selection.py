@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from caseloom.operators import agent, selection
+from caseloom.operators import agent, order, selection
 
 
 def test_closed_loop(spark):
@@ -37,7 +37,8 @@ def test_policies_sizes_percentiles(spark):
     assert selection.policy_within_tolerance(rows, "n", "v", 0.01, ["c", "b", "a"]) == "b"
     sizes = spark.createDataFrame([(1, 0.2), (5, 0.8), (10, 0.9)], "k int, v double")
     assert selection.smallest_sufficient(sizes, "k", "v", 0.75).first()["k"] == 5 and selection.smallest_sufficient(sizes, "k", "v", 0.99).first()["k"] == 10
-    assert spark.range(10).agg(selection.nearest_index_percentile("id", 0.5)).first()[0] == 4
+    rows = spark.range(10).selectExpr("'g' as g", "id as v").unionAll(spark.range(3).selectExpr("'h' as g", "7 as v"))
+    assert {r["g"]: r["v"] for r in order.nearest_index(rows, "g", "v", 0.5).collect()} == {"g": 4, "h": 7}
 
 
 def test_views(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.vectors import label_similarity, label_weights
 from caseloom.functions.text import token_set
 from caseloom.operators import agent, chunks, evidence, metrics, rank, relevance, search
-from caseloom.plans.text import _tokens
+from caseloom.plans.text import _clean, _tokens
 from caseloom.session import table
 
 COMPONENTS = ["bm25", "image", "report"]
@@ -253,7 +253,35 @@ _CASES = """cases AS (
   SELECT study_id, map_entries(arg_max(labels, ingested_at)) AS labels, list_distinct(arg_max(radgraph_facts, ingested_at)) AS facts FROM paired_cases GROUP BY study_id),
 w AS (SELECT study_id, facts, list_transform(list_filter(coalesce(labels, []), lambda e: e.value IN (1.0, 0.5, -1.0)), lambda e: struct_pack(k := e.key, v := CASE WHEN e.value = 1.0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)) AS l FROM cases)"""
 
+
+
+def _attributes() -> str:
+    """The word sets that fact_attributes gives, of column f: lists of the parts of each fact."""
+    family, status = "string_split(p[{0}], '::')[1]", "CASE WHEN contains(p[{0}], '::') THEN substr(p[{0}], strpos(p[{0}], '::') + 2) END"
+    words = lambda rows, pick: f"flatten(list_transform(list_filter(f, lambda p: {rows}), lambda p: regexp_extract_all({pick}, '[a-z0-9]+')))"
+    entity, relation = "p[1] = 'entity' AND len(p) >= 3", "p[1] = 'relation' AND len(p) >= 5"
+    severe = "[" + ", ".join(f"'{w}'" for w in relevance.SEVERITY) + "]"
+    doubt = "[" + ", ".join(f"'{w}'" for w in relevance.UNCERTAINTY) + "]"
+    lesion = f"list_distinct(list_concat({words(f'{entity} AND {family.format(3)} <> ' + chr(39) + 'anatomy' + chr(39), 'p[2]')}, {words(f'{relation} AND contains(p[3], ' + chr(39) + 'observation' + chr(39) + ')', 'p[2]')}))"
+    anatomy = f"list_distinct(list_concat({words(f'{entity} AND {family.format(3)} = ' + chr(39) + 'anatomy' + chr(39), 'p[2]')}, {words(relation + ' AND p[4] IN (' + chr(39) + 'located_at' + chr(39) + ', ' + chr(39) + 'modify' + chr(39) + ')', 'p[5]')}))"
+    severity = f"list_distinct(list_filter(list_concat({words(entity, 'p[2]')}, {words(relation, 'p[2]')}), lambda w: list_contains({severe}, w)))"
+    states = f"list_distinct(list_filter(list_transform(list_filter(f, lambda p: ({entity}) OR ({relation})), lambda p: {status.format(3)}), lambda s: s IS NOT NULL AND s <> ''))"
+    return f"{lesion} AS lesion_type, {anatomy} AS anatomy, {severity} AS severity, {states} AS polarity, list_filter({states}, lambda s: list_contains({doubt}, s)) AS uncertainty"
+
+
+def _set_f1(n: str) -> str:
+    return f"CASE WHEN len(q.{n}) = 0 OR len(c.{n}) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(q.{n}, c.{n})) / (len(q.{n}) + len(c.{n})) END"
+
+
 SQL = {
+    "relevance_profiles": f"""
+        WITH {_CASES}, said AS (SELECT study_id, min(indication) AS indication FROM paired_cases GROUP BY study_id),
+        parts AS (SELECT w.study_id, l, indication, list_transform(coalesce(facts, []), lambda x: list_transform(string_split(x, '|'), lambda y: lower({_clean('y')}))) AS f FROM w JOIN said USING (study_id)),
+        side AS (SELECT study_id, {_attributes()}, list_distinct({_tokens('indication')}) AS indication, list_transform(l, lambda e: e.k) AS report_label FROM parts),
+        pairs AS (SELECT DISTINCT qid, study_id FROM scored_cases WHERE qid IS NOT NULL AND study_id IS NOT NULL), t AS (SELECT qid, min(case_id) AS case_id FROM questions GROUP BY qid),
+        r AS (SELECT qid, c.study_id, {" + ".join(f"{v}::DOUBLE * ({_set_f1(n)})" for n, v in relevance.WEIGHTS.items())} AS score, {" + ".join(f"CASE WHEN len(q.{n}) > 0 AND len(c.{n}) > 0 THEN {v}::DOUBLE ELSE 0 END" for n, v in relevance.WEIGHTS.items())} AS available
+          FROM pairs JOIN t USING (qid) JOIN side c ON c.study_id = pairs.study_id JOIN side q ON q.study_id = t.case_id WHERE t.case_id <> pairs.study_id)
+        SELECT qid, study_id, round(least(1, score), 6) AS qrel_v2, round(CASE WHEN available > 0 THEN least(1, least(1, score) / available) ELSE 0 END, 6) AS normalized FROM r""",
     "relevance_gains": f"""
         WITH {_BEST}, {_CASES}, top AS (SELECT qid, study_id FROM best WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, study_id) <= 5),
         t AS (SELECT qid, min(case_id) AS case_id FROM questions GROUP BY qid),

@@ -279,8 +279,8 @@ _UNITS = rf"""said AS (SELECT study_id, min(findings) AS findings, min(impressio
         unit AS (SELECT study_id AS case_id, section, pos - 1 AS unit_index, text, printf('%s::%s::%04d', study_id, section, pos - 1) AS provenance_id
           FROM (SELECT study_id, section, unnest(t) AS text, generate_subscripts(t, 1) AS pos FROM (SELECT study_id, section, list_filter(t, lambda x: x <> '') AS t FROM lists)))"""
 _GRAMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
-_RANKED = f"""asked AS (SELECT qid, x.c AS case_id, x.q AS query FROM (SELECT qid, min(struct_pack(q := question, c := case_id)) AS x FROM questions GROUP BY qid)),
-        pair AS (SELECT qid, provenance_id, text, query FROM asked JOIN unit USING (case_id)),
+_ASKED_CASES = "asked AS (SELECT qid, x.c AS case_id, x.q AS query FROM (SELECT qid, min(struct_pack(q := question, c := case_id)) AS x FROM questions GROUP BY qid))"
+_SCORED = f"""pair AS (SELECT qid, provenance_id, text, query FROM asked JOIN unit USING (case_id)),
         doc AS (SELECT qid, provenance_id, text FROM pair UNION ALL SELECT DISTINCT qid, '', query FROM pair),
         tf AS (SELECT qid, provenance_id, g, count(*) AS tf FROM (SELECT qid, provenance_id, unnest({_GRAMS}) AS g FROM (SELECT qid, provenance_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM doc)) GROUP BY ALL),
         df AS (SELECT qid, g, count(*) AS df, max(tf) FILTER (provenance_id = '') AS qtf FROM tf GROUP BY ALL),
@@ -288,6 +288,15 @@ _RANKED = f"""asked AS (SELECT qid, x.c AS case_id, x.q AS query FROM (SELECT qi
         dot AS (SELECT qid, provenance_id, sqrt(sum(w * w)) AS norm, sum(w * qw) AS dot FROM w GROUP BY ALL),
         score AS (SELECT p.qid, p.provenance_id, p.text, round(coalesce(d.dot / (d.norm * q.norm), 0), 9) AS score FROM pair p LEFT JOIN dot d USING (qid, provenance_id) LEFT JOIN dot q ON q.qid = p.qid AND q.provenance_id = ''),
         ranks AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, provenance_id) AS rank FROM score)"""
+_RANKED = f"{_ASKED_CASES}, {_SCORED}"
+
+
+def _two(characters: int) -> str:
+    """f and s: the first unit of a question, and the first later one of another text within the budget."""
+    return f"""f AS (SELECT * FROM ranks WHERE rank = 1),
+        s AS (SELECT f.qid, arg_min(r.provenance_id, r.rank) AS second, arg_min(r.text, r.rank) AS text FROM f JOIN ranks r ON r.qid = f.qid AND r.rank > 1 AND lower({_clean('r.text')}) <> lower({_clean('f.text')}) AND length(f.text) + 1 + length(r.text) <= {characters} GROUP BY f.qid)"""
+
+
 _CHUNKS = "list_transform({s}, lambda x, i: printf('%s::%s::%03d', study_id, '{n}', i))"
 _SAID = "said AS (SELECT study_id, min(indication) AS indication, min(findings) AS findings, min(impression) AS impression, max(len(image_paths)) AS n_images FROM paired_cases GROUP BY study_id)"
 
@@ -351,10 +360,17 @@ SQL = {
         SELECT study_id, role FROM v JOIN i ON v >= low AND v < high""",
     "evidence_units": f"WITH {_LATEST}, {_UNITS} SELECT provenance_id, section, unit_index, sha256(text) AS text_sha256 FROM unit",
     "ranked_evidence": f"WITH {_LATEST}, {_UNITS}, {_RANKED} SELECT qid, rank, provenance_id, round(score, 6) AS score FROM ranks WHERE rank <= 3",
-    "case_evidence": f"""
-        WITH {_LATEST}, {_UNITS}, {_RANKED}, f AS (SELECT * FROM ranks WHERE rank = 1),
-        s AS (SELECT f.qid, arg_min(r.provenance_id, r.rank) AS second FROM f JOIN ranks r ON r.qid = f.qid AND r.rank > 1 AND lower({_clean('r.text')}) <> lower({_clean('f.text')}) AND length(f.text) + 1 + length(r.text) <= 120 GROUP BY f.qid)
-        SELECT f.qid, concat_ws(',', f.provenance_id, second) AS units FROM f LEFT JOIN s USING (qid)""",
+    "case_evidence": f"WITH {_LATEST}, {_UNITS}, {_RANKED}, {_two(120)} SELECT f.qid, concat_ws(',', f.provenance_id, second) AS units FROM f LEFT JOIN s USING (qid)",
+    "hierarchical_evidence": f"""
+        WITH RECURSIVE {_BEST}, {_LATEST}, {_UNITS}, own AS (SELECT qid, min(struct_pack(q := question, c := case_id)) AS x FROM questions GROUP BY qid),
+        top AS (SELECT qid, study_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, study_id) AS place FROM best WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, study_id) <= 3),
+        asked AS (SELECT qid || '#' || place AS qid, study_id AS case_id, x.q AS query FROM top JOIN own USING (qid)), {_SCORED}, {_two(160)},
+        flat AS (SELECT string_split(qid, '#')[1] AS q, string_split(qid, '#')[2] AS place, 1 AS u, provenance_id AS p, text FROM f UNION ALL SELECT string_split(qid, '#')[1], string_split(qid, '#')[2], 2, second, text FROM s),
+        n AS (SELECT q, p, text, row_number() OVER (PARTITION BY q ORDER BY place, u) AS i FROM flat),
+        r AS (SELECT q, i, [p] AS kept, length(text) AS used FROM n WHERE i = 1
+          UNION ALL SELECT n.q, n.i, CASE WHEN len(kept) < 5 AND used + length(text) + 1 <= 300 THEN list_append(kept, p) ELSE kept END, CASE WHEN len(kept) < 5 AND used + length(text) + 1 <= 300 THEN used + length(text) + 1 ELSE used END FROM r JOIN n ON n.q = r.q AND n.i = r.i + 1),
+        e AS (SELECT q, arg_max(kept, i) AS kept FROM r GROUP BY q), c AS (SELECT q, unnest(kept) AS p, generate_subscripts(kept, 1) AS i FROM e)
+        SELECT q AS qid, max(len(kept))::INT AS n_units, (SELECT string_agg(k, ',' ORDER BY i) FROM (SELECT string_split(p, '::')[1] AS k, min(i) AS i FROM c WHERE c.q = e.q GROUP BY 1)) AS case_ids, array_to_string(any_value(kept), ',') AS units FROM e GROUP BY q""",
     "case_benchmark": f"""
         WITH {_SAID}, k AS (SELECT * FROM said WHERE n_images > 0 AND length({_clean('findings')}) >= 40 AND length({_clean('impression')}) >= 8
           AND len(list_filter(string_split({_clean('findings')}, ' '), lambda w: contains(upper(w), 'XXXX'))) <= 0.5 * len(string_split({_clean('findings')}, ' '))),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.vectors import label_similarity, label_weights
 from caseloom.functions.text import token_set
 from caseloom.operators import agent, chunks, evidence, metrics, rank, relevance, search
-from caseloom.plans.text import _clean, _tokens
+from caseloom.plans.text import _clean, _sentences, _tokens
 from caseloom.session import table
 
 COMPONENTS = ["bm25", "image", "report"]
@@ -273,7 +273,41 @@ def _set_f1(n: str) -> str:
     return f"CASE WHEN len(q.{n}) = 0 OR len(c.{n}) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(q.{n}, c.{n})) / (len(q.{n}) + len(c.{n})) END"
 
 
+
+def _pass(q: str, n: int) -> str:
+    """One retrieval pass over the questions q (qid, case_id, query, section, credit): pass<n> has qid, hits and score."""
+    return f"""
+        qt{n} AS (SELECT qid, case_id, term, count(*) AS qtf FROM (SELECT qid, case_id, unnest({_tokens('query')}) AS term FROM {q}) GROUP BY ALL),
+        bm{n} AS (SELECT qid, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM qt{n} JOIN idf USING (term) JOIN post USING (case_id, term), size GROUP BY ALL),
+        sc{n} AS (SELECT q.qid, c.chunk_id, c.text, round(coalesce(b.s, 0), 9) AS score FROM {q} q JOIN chunk c ON c.case_id = q.case_id AND (q.section IS NULL OR q.section = c.section) LEFT JOIN bm{n} b ON b.qid = q.qid AND b.chunk_id = c.chunk_id),
+        hit{n} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sc{n} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 3),
+        list{n} AS (SELECT qid, max(score) AS top, list(struct_pack(chunk_id := chunk_id, text := text) ORDER BY rank) AS hits FROM hit{n} GROUP BY qid),
+        pass{n} AS (SELECT q.qid, coalesce(hits, []) AS hits, CASE WHEN hits IS NULL THEN 0 ELSE least({agent.CEILING}::DOUBLE, credit + {agent.LEVEL}::DOUBLE * CASE WHEN top > 0 THEN top / (top + {agent.HALF}::DOUBLE) ELSE 0 END
+          + {agent.OVERLAP}::DOUBLE * coalesce(len(list_intersect(list_distinct({_tokens('query')}), {_tokens("array_to_string(list_transform(hits, lambda h: h.text), ' ')")})) / nullif(len(list_distinct({_tokens('query')})), 0), 0)) END AS score FROM {q} q LEFT JOIN list{n} USING (qid))"""
+
+
+_CUED = " ".join(f"WHEN len(list_filter([{', '.join(repr(c) for c in cues)}], lambda c: contains(lower({_clean('question')}), c))) > 0 THEN '{name}'" for name, cues in (("unavailable", agent.OUT_OF_SCOPE), ("impression", agent.IMPRESSION_CUES), ("findings", agent.FINDINGS_CUES)))
+
 SQL = {
+    "closed_loop_answers": f"""
+        WITH base AS (SELECT study_id, min(findings) AS findings, min(impression) AS impression FROM paired_cases GROUP BY study_id),
+        parts AS (SELECT study_id, 'findings' AS section, {_sentences('findings')} AS s FROM base UNION ALL SELECT study_id, 'impression', {_sentences('impression')} FROM base),
+        chunk AS (SELECT printf('%s::%s::%03d', study_id, section, pos) AS chunk_id, study_id AS case_id, section, text FROM (SELECT study_id, section, unnest(s) AS text, generate_subscripts(s, 1) AS pos FROM parts)),
+        toks AS (SELECT chunk_id, case_id, {_tokens('text')} AS t FROM chunk), size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+        post AS (SELECT chunk_id, case_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, case_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY ALL),
+        idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, size GROUP BY term, n),
+        plan AS (SELECT *, CASE {_CUED} ELSE 'unknown' END AS intent FROM (SELECT qid, coalesce(x.q, '') AS question, x.c AS case_id FROM (SELECT qid, min(struct_pack(q := question, c := case_id)) AS x FROM questions GROUP BY qid))),
+        q1 AS (SELECT qid, case_id, question AS query, CASE WHEN intent <> 'unknown' THEN intent END AS section, CASE WHEN intent <> 'unknown' THEN {agent.ROUTED}::DOUBLE ELSE {agent.OPEN}::DOUBLE END AS credit FROM plan WHERE intent <> 'unavailable'),
+        {_pass('q1', 1)},
+        q2 AS (SELECT qid, case_id, question || CASE WHEN contains(lower(question), 'summar') THEN ' final radiology impression conclusion' ELSE ' radiographic findings impression' END AS query,
+          CASE WHEN contains(lower(question), 'summar') THEN 'impression' ELSE 'findings' END AS section, CASE WHEN contains(lower(question), 'summar') THEN {agent.ROUTED}::DOUBLE ELSE {agent.OPEN}::DOUBLE END AS credit
+          FROM plan JOIN pass1 USING (qid) WHERE score < 0.5),
+        {_pass('q2', 2)},
+        r AS (SELECT p.qid, intent, q2.section AS again, a.score AS s1, b.score AS s2, list_concat(coalesce(a.hits, []), list_filter(coalesce(b.hits, []), lambda h: NOT list_contains(coalesce(a.hits, []), h))) AS hits,
+          CASE WHEN intent = 'unavailable' THEN {agent.UNAVAILABLE}::DOUBLE ELSE greatest(a.score, coalesce(b.score, 0)) END AS sure FROM plan p LEFT JOIN pass1 a USING (qid) LEFT JOIN pass2 b USING (qid) LEFT JOIN q2 USING (qid))
+        SELECT qid, intent AS planned_intent, coalesce(again, intent) AS final_intent, round(sure, 6) AS answer_probability, CASE WHEN sure >= 0.5 THEN 'ANSWER' ELSE 'ABSTAIN' END AS action,
+          CASE WHEN sure >= 0.5 THEN array_to_string(list_transform(hits, lambda h: h.text), ' ') ELSE '{agent.NOT_ANSWERABLE}' END AS answer, array_to_string(list_transform(hits, lambda h: h.chunk_id), ',') AS chunk_ids,
+          CASE WHEN s1 IS NULL THEN 0 WHEN s2 IS NULL THEN 1 ELSE 2 END AS retrieval_calls FROM r""",
     "relevance_profiles": f"""
         WITH {_CASES}, said AS (SELECT study_id, min(indication) AS indication FROM paired_cases GROUP BY study_id),
         parts AS (SELECT w.study_id, l, indication, list_transform(coalesce(facts, []), lambda x: list_transform(string_split(x, '|'), lambda y: lower({_clean('y')}))) AS f FROM w JOIN said USING (study_id)),
@@ -381,3 +415,5 @@ SQL = {
         SELECT route, count(*) AS n_queries, round(avg((n1 > 0)::INT), 6) AS hit_at_1, round(avg((n5 > 0)::INT), 6) AS hit_at_5, round(avg((n10 > 0)::INT), 6) AS hit_at_10,
                round(avg(n1 / n_rel), 6) AS recall_at_1, round(avg(n5 / n_rel), 6) AS recall_at_5, round(avg(n10 / n_rel), 6) AS recall_at_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM p GROUP BY route""",
 }
+_TOP_FIVE = "top AS (SELECT qid, study_id FROM best WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, study_id) <= 5)"
+SQL["relevance_gains_all"] = SQL["relevance_gains"].replace(_TOP_FIVE, "top AS (SELECT qid, study_id FROM best)")

@@ -70,9 +70,9 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_archive(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """(document_id, context, qa, split) of a nested question archive."""
-    rows = spark.read.option("multiLine", True).schema(ARCHIVE_SCHEMA).json(path)
+def read_archive(spark: SparkSession, path: str, split: str, one_document: bool = True) -> DataFrame:
+    """(document_id, context, qa, split) of a nested question archive: one JSON document a file, or else one a line, which Spark can split."""
+    rows = spark.read.option("multiLine", one_document).schema(ARCHIVE_SCHEMA).json(path)
     paragraphs = rows.select(F.explode("data").alias("a")).select(F.explode("a.paragraphs").alias("p"))
     return paragraphs.select("p.document_id", "p.context", F.explode_outer("p.qas").alias("qa"), F.lit(split).alias("split"))
 

@@ -51,7 +51,7 @@ def minmax(value: Column, low: Column, high: Column, epsilon: float = 0.0) -> Co
 
 
 def minmax_scaled(rows: DataFrame, key: str, columns: list[str], epsilon: float = 0.0) -> DataFrame:
-    """rows with each column scaled to its range over the finite values of the rows' key.
+    """rows with each column scaled to its range over the finite values of the rows' key; rows of a null key drop out.
 
     Ranges are combined before the shuffle and joined back, so that a key of any size stays spread over tasks.
     """

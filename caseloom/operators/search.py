@@ -119,7 +119,8 @@ def dense_top_k(queries: DataFrame, bank: DataFrame, query: str, key: str, vecto
     scanned once per block and never shuffled: every task keeps k keys per query. Zero vectors score 0; null and misshapen vectors, and null keys, drop out.
     """
     spark = bank.sparkSession
-    usable = lambda df, name: df.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(F.col(name), F.col(vector).cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    wide = lambda df, name: F.col(name).cast("bigint") if df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int") else F.col(name)
+    usable = lambda df, name: df.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(wide(df, name).alias(name), F.col(vector).cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull()))
     asked, held = usable(queries, query), usable(bank, key)
     kinds = [asked.schema[query].dataType.simpleString(), held.schema[key].dataType.simpleString()]
     passes = max(1, -(-asked.count() // block))
@@ -133,31 +134,35 @@ def dense_top_k(queries: DataFrame, bank: DataFrame, query: str, key: str, vecto
 
 
 def _unit(lists: pa.ListArray) -> np.ndarray:
-    width = len(lists[0]) if len(lists) else 0
-    if any(len(v) != width for v in lists):
+    widths = np.unique(np.diff(lists.offsets.to_numpy()))
+    if len(widths) > 1:
         raise ValueError("vectors of one length are needed")
-    wide = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+    wide = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), int(widths[0]) if len(widths) else 0)
     return wide / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-300)
 
 
-def _best_of_task(batches: Iterator[pa.RecordBatch], names: list, asked: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best keys of every query among the batches of one task."""
-    best: list = [(np.zeros(0), np.zeros(0, object))] * len(names)
+def _best_of_task(batches: Iterator[pa.RecordBatch], names: list, asked: np.ndarray, k: int, block: int = 512) -> Iterator[pa.RecordBatch]:
+    """The k best keys of every query among the batches of one task; queries are held in blocks of scores and keys."""
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    own = np.array(names)
     for batch in batches:
-        keys = np.array(batch.column(0).to_pylist(), object)
+        if not batch.num_rows or not names:
+            continue
+        keys = np.array(batch.column(0).to_pylist())
         turn = np.argsort(keys, kind="stable")
         keys, wide = keys[turn], _unit(batch.column(1))[turn]
-        for at in range(0, len(names) if len(keys) else 0, 512):
-            cosines = np.round(asked[at : at + 512] @ wide.T, 9) + 0.0
-            width = min(k + 1, len(keys))  # one more, as the query itself may be among them
+        width = min(k + 1, len(keys))  # one more, as the query itself may be among them
+        for at in range(0, len(names), block):
+            cosines = np.round(asked[at : at + block] @ wide.T, 9) + 0.0
             order = np.round(cosines * 1e9).astype(np.int64) * len(keys) - np.arange(len(keys))
             keep = np.argpartition(-order, width - 1, axis=1)[:, :width]
-            for i, row in enumerate(keep, at):
-                row = row[keys[row] != names[i]]
-                scores, own = np.concatenate([best[i][0], cosines[i - at, row]]), np.concatenate([best[i][1], keys[row]])
-                first = sorted(range(len(own)), key=lambda j: (-scores[j], own[j]))[:k]
-                best[i] = scores[first], own[first]
-    if names and any(len(b[0]) for b in best):
-        kept = [[(name, x, s) for s, x in zip(*b)] for name, b in zip(names, best)]
-        rows = [r for part in kept for r in part]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([float(r[2]) for r in rows], pa.float64())], names=["query", "key", "score"])
+            scores, held = np.take_along_axis(cosines, keep, 1), keys[keep]
+            scores[held == own[at : at + block, None]] = -np.inf
+            if at in best:
+                scores, held = np.concatenate([best[at][0], scores], axis=1), np.concatenate([best[at][1], held], axis=1)
+            first = np.lexsort((held, -scores), axis=-1)[:, :k]
+            best[at] = np.take_along_axis(scores, first, 1), np.take_along_axis(held, first, 1)
+    for at, (scores, held) in best.items():
+        there = np.isfinite(scores)
+        rows = np.repeat(own[at : at + block], there.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(rows.tolist()), pa.array(held[there].tolist()), pa.array(scores[there])], names=["query", "key", "score"])

@@ -157,7 +157,10 @@ class ItemWindows:
         self.place = starts[self.of] + self.at if len(listed) else np.zeros(0, np.int64)
 
     def candidates(self, terms: np.ndarray, phrase: np.ndarray, start: np.ndarray, block: int = 4096) -> Iterator[tuple[int, int, int]]:
-        """(item number, place in the item, start in the document) of the places that are left; terms is the document."""
+        """(item number, place in the item, number of the spot) of the places that are left.
+
+        terms are the words of some documents end to end, phrase and start the spots in them; words of the document before or after only let more places through.
+        """
         low, high = np.searchsorted(self.phrase, phrase), np.searchsorted(self.phrase, phrase, "right")
         upto = np.cumsum(high - low)
         edge = self.wide + self.changes
@@ -173,7 +176,7 @@ class ItemWindows:
             for shift in range(2 * self.changes + 1):
                 met |= asked == there[:, shift : shift + self.wide]
             left = np.flatnonzero(met.sum(axis=1) >= self.need)
-            yield from zip(self.of[pick[left]].tolist(), self.at[pick[left]].tolist(), start[spot[left]].tolist())
+            yield from zip(self.of[pick[left]].tolist(), self.at[pick[left]].tolist(), spot[left].tolist())
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, least: int = 20, share: float = 0.1) -> DataFrame:
@@ -228,16 +231,20 @@ def _verified(held: DataFrame, hits: DataFrame, asked: DataFrame, phrases: DataF
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, spots, starts, words in zip(*batch.columns):
-                terms = words.values.to_numpy(zero_copy_only=False)
-                best: dict[int, int] = {}
-                for item, at, start in of.candidates(terms, spots.values.to_numpy(), starts.values.to_numpy().astype(np.int64)):
-                    if best.get(item, 0) < len(of.terms[item]):
-                        best[item] = max(best.get(item, 0), longest_passage(of.terms[item], terms, at, start, share))
-                out += [(doc.as_py(), of.items[item], n) for item, n in best.items() if n >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "item_id", "words"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                ids, phrases, starts, words = whole.slice(first, 256).columns
+                base = words.offsets.to_numpy() - words.offsets[0].as_py()
+                terms, start = words.flatten().to_numpy(), starts.flatten().to_numpy().astype(np.int64)
+                document = np.repeat(np.arange(len(ids)), np.diff(phrases.offsets.to_numpy()))
+                best: dict[tuple[int, int], int] = {}
+                for item, at, spot in of.candidates(terms, phrases.flatten().to_numpy(), base[document] + start):
+                    d = int(document[spot])
+                    if best.get((d, item), 0) < len(of.terms[item]):
+                        n = longest_passage(of.terms[item], terms[base[d] : base[d + 1]], at, int(start[spot]), share)
+                        best[d, item] = max(best.get((d, item), 0), n)
+                out = [(ids[d].as_py(), of.items[item], n) for (d, item), n in best.items() if n >= least]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "item_id", "words"])
 
     rows = places.join(held, "doc_id").select("doc_id", "phrases", "starts", "terms")
     return rows.mapInArrow(verify, f"doc_id {kind['doc_id']}, item_id {kind['item_id']}, words int")

@@ -91,7 +91,7 @@ def report_bags(reports: DataFrame) -> DataFrame:
 
 
 def class_bands(classes: DataFrame, seed: int = 7) -> DataFrame:
-    """(class_id, band) with BANDS rows of each class; classes has class_id and items."""
+    """(number, band) with BANDS rows of each class; classes has number and items."""
     draws = np.random.default_rng(seed)
     factors = draws.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
     offsets = draws.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -102,9 +102,9 @@ def class_bands(classes: DataFrame, seed: int = 7) -> DataFrame:
                 batch = whole.slice(at, 512)
                 keys = band_keys(np.stack([least_hashes(bag.values.to_numpy().view(np.uint64), factors, offsets) for bag in batch.column(1)]))
                 spread = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(spread), pa.array(keys.view(np.int64))], names=["class_id", "band"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(spread), pa.array(keys.view(np.int64))], names=["number", "band"])
 
-    return classes.select("class_id", "items").mapInArrow(sign, "class_id binary, band long")
+    return classes.select("number", "items").mapInArrow(sign, "number long, band long")
 
 
 def study_sides(splits: DataFrame, train: str, evaluation: list[str]) -> DataFrame:
@@ -118,20 +118,17 @@ def study_sides(splits: DataFrame, train: str, evaluation: list[str]) -> DataFra
 def similar_classes(classes: DataFrame, least: float) -> DataFrame:
     """Pairs (train_class, eval_class, jaccard) of different bags whose exact Jaccard similarity is at least `least`.
 
-    classes has class_id, items, in_train, in_eval. Only pairs across the sides are formed: the
+    classes has class_id, number (unique, for short keys), items, in_train, in_eval. Only pairs across the sides are formed: the
     join of a bucket is between its train and its evaluation classes.
     """
-    left = class_bands(classes.where("in_train")).select("band", F.col("class_id").alias("train_class"))
-    right = class_bands(classes.where("in_eval")).select("band", F.col("class_id").alias("eval_class"))
-    pairs = left.join(right, "band").where("train_class <> eval_class").select("train_class", "eval_class").distinct()
-    bag = classes.select("class_id", "items")
-    both = pairs.join(bag.where("in_train").select(F.col("class_id").alias("train_class"), F.col("items").alias("a")), "train_class")
-    both = both.join(bag.where("in_eval").select(F.col("class_id").alias("eval_class"), F.col("items").alias("b")), "eval_class")
+    train, test = classes.where("in_train"), classes.where("in_eval")
+    left, right = class_bands(train).select("band", F.col("number").alias("x")), class_bands(test).select("band", F.col("number").alias("y"))
+    pairs = left.join(right, "band").where("x <> y").select("x", "y").distinct()
+    both = pairs.join(train.select(F.col("number").alias("x"), F.col("class_id").alias("train_class"), F.col("items").alias("a")), "x")
+    both = both.join(test.select(F.col("number").alias("y"), F.col("class_id").alias("eval_class"), F.col("items").alias("b")), "y")
     common = F.size(F.array_intersect("a", "b"))
     sized = both.select("train_class", "eval_class", common.alias("i"), (F.size("a") + F.size("b")).alias("n"))
-    return sized.select("train_class", "eval_class", (F.col("i") / (F.col("n") - F.col("i"))).alias("jaccard")).where(
-        F.col("jaccard") >= least
-    )
+    return sized.select("train_class", "eval_class", (F.col("i") / (F.col("n") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 EVALUATION = ("calibration", "validation", "test")
@@ -156,7 +153,8 @@ class Overlap:
         written = signed.select("study_id", "class_id").distinct().join(sides, "study_id")
         flags = written.groupBy("class_id").agg(F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
         bags = signed.groupBy("class_id").agg(F.first("items").alias("items"))
-        near = similar_classes(stored(bags.join(flags, "class_id"), "bags"), least).select("train_class", "eval_class")
+        bags = stored(bags.join(flags, "class_id").withColumn("number", F.monotonically_increasing_id()), "bags")
+        near = similar_classes(bags, least).select("train_class", "eval_class")
         same = flags.where("in_train and in_eval").select(F.col("class_id").alias("train_class"), F.col("class_id").alias("eval_class"))
         listed = clusters.select(shared_key(F.col("case_id")).alias("study_id"), F.encode("cluster_id", "utf-8").alias("key")).where("key is not null").distinct()
         placed = listed.join(sides, "study_id")

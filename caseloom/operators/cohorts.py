@@ -68,7 +68,7 @@ def exact_text_clusters(cases: DataFrame, key: str, texts: list[str]) -> DataFra
     cluster_id is the smallest member; cases without any text are clusters of one.
     """
     text = normalized_key(reduce(lambda a, b: F.concat_ws(" ", a, b), [F.col(t) for t in texts]))
-    rows = cases.select(F.col(key).alias("k"), F.sha2(text, 256).alias("h"), (text != "").alias("said"))
+    rows = stored(cases.select(F.col(key).alias("k"), F.sha2(text, 256).alias("h"), (text != "").alias("said")).distinct(), "texts")  # texts are read once
     parts = connected_components(star_edges(rows.where("said"), "k", "h"))
     every = rows.select("k").distinct().join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     sizes = every.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -168,15 +169,16 @@ def bootstrap_sums(values: DataFrame, key: str, value: str, repetitions: int, se
 
     How often a group is drawn in a repetition is a Poisson count of mean one (the large-sample form of drawing with replacement), read from eight
     digits of sha256('seed|key|block'), eight repetitions a digest; so draws are the same on every run and can be said in SQL. Groups are
-    weighed where they are read and summed before the shuffle: what is shuffled is one row per repetition and task.
+    weighed where they are read and summed before the shuffle: what is shuffled is one row per eight repetitions and task.
     """
     blocks = values.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(-(-repetitions // 8) - 1))).alias("block"))
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("k"), F.col("block").cast("string")), 256)
-    digits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(F.col("digest"), i * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(2.0**32))
-    drawn = blocks.withColumn("digest", digest).select("x", "block", F.posexplode(digits).alias("i", "u"))
-    weight = reduce(lambda a, b: a + b, [(F.col("u") >= c).cast("int") for c in POISSON])
-    rows = drawn.select((F.col("block") * 8 + F.col("i")).cast("long").alias("repetition"), "x", weight.alias("w")).where(F.col("repetition") < repetitions)
-    return rows.groupBy("repetition").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("total"))
+    steps = [format(math.ceil(c * 2**32), "08x") for c in POISSON]  # hexadecimal digits of one length compare like their numbers
+    weight = lambda i: reduce(lambda a, b: a + b, [(F.substring("digest", 8 * i + 1, 8) >= F.lit(t)).cast("int") for t in steps])
+    drawn = blocks.select("x", "block", digest.alias("digest")).select("x", "block", *[weight(i).alias(f"w{i}") for i in range(8)])
+    sums = drawn.groupBy("block").agg(*[F.sum(f"w{i}").alias(f"n{i}") for i in range(8)], *[F.sum(F.col(f"w{i}") * F.col("x")).alias(f"t{i}") for i in range(8)])
+    each = F.explode(F.array(*[F.struct((F.col("block") * 8 + i).cast("long").alias("repetition"), F.col(f"n{i}").alias("n"), F.col(f"t{i}").alias("total")) for i in range(8)]))
+    return sums.select(each.alias("s")).select("s.*").where(F.col("repetition") < repetitions)
 
 
 def bootstrap_means(values: DataFrame, key: str, value: str, repetitions: int, seed: int) -> DataFrame:

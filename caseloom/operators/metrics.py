@@ -171,7 +171,9 @@ def bootstrap_sums(values: DataFrame, key: str, value: str, repetitions: int, se
     digits of sha256('seed|key|block'), eight repetitions a digest; so draws are the same on every run and can be said in SQL. Groups are
     weighed where they are read and summed before the shuffle: what is shuffled is one row per eight repetitions and task.
     """
-    blocks = values.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(-(-repetitions // 8) - 1))).alias("block"))
+    rows = values.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("x"))
+    rows = rows.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")  # small rows, much work: a fixed number of tasks
+    blocks = rows.select("k", "x", F.explode(F.sequence(F.lit(0), F.lit(-(-repetitions // 8) - 1))).alias("block"))
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("k"), F.col("block").cast("string")), 256)
     steps = [format(math.ceil(c * 2**32), "08x") for c in POISSON]  # hexadecimal digits of one length compare like their numbers
     weight = lambda i: reduce(lambda a, b: a + b, [(F.substring("digest", 8 * i + 1, 8) >= F.lit(t)).cast("int") for t in steps])

@@ -41,7 +41,8 @@ def ranking_features(spark: SparkSession, d: str) -> DataFrame:
 def component_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Spread and agreement of components per question; a degenerate correlation is 0."""
     best = best_scores(spark, d)
-    sums = best.groupBy("qid").agg(F.round(F.coalesce(F.nanvl(F.corr("bm25", "image"), F.lit(0.0)), F.lit(0.0)), 5).alias("correlation"), F.round(F.stddev_pop("bm25"), 6).alias("spread"))
+    correlation = F.try_divide(F.covar_pop("bm25", "image"), F.stddev_pop("bm25") * F.stddev_pop("image"))  # corr itself is an error where a component is constant
+    sums = best.groupBy("qid").agg(F.round(F.coalesce(F.nanvl(correlation, F.lit(0.0)), F.lit(0.0)), 5).alias("correlation"), F.round(F.stddev_pop("bm25"), 6).alias("spread"))
     ends = quantiles(best, "qid", "image", {"low": 0.25, "high": 0.75})
     return sums.join(ends, "qid").select("qid", "correlation", "spread", F.round(F.col("high") - F.col("low"), 6).alias("iqr"))
 

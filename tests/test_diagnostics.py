@@ -36,3 +36,18 @@ def test_leave_one_out_equals_bm25_without_the_text(spark):
             if set(asked.split()) & set(bag):
                 want[q, k] = score
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def scored(spark, path, groups):
+    """A folder whose scored_cases hold the given (bm25, image, report) values per question."""
+    rows = [(q, f"ST{i:03}", 0.5, dict(zip(("bm25", "image", "report"), v))) for q, vs in groups.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "qid string, study_id string, score double, component_scores map<string,double>").write.parquet(f"{path}/scored_cases.parquet")
+    return str(path)
+
+
+def test_correlation_of_a_constant_component_is_zero(spark, tmp_path):
+    from caseloom.plans import registry
+
+    d = scored(spark, tmp_path, {"Q1": [(0.3, 0.1, 0.0), (0.3, 0.5, 0.0)], "Q2": [(0.3, 0.1, 0.0)], "Q3": [(0.1, 0.2, 0.0), (0.2, 0.4, 0.0)], "Q4": [(0.2, 0.7, 0.0)] * 3})
+    got = {r["qid"]: r["correlation"] for r in registry.QUERIES["component_correlation"](spark, d).collect()}
+    assert got == {"Q1": 0.0, "Q2": 0.0, "Q3": 1.0, "Q4": 0.0}

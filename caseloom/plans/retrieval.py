@@ -72,10 +72,9 @@ def ranked_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minmax_components(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of every component after min-max scaling within the question: the scaled mean is the mean, scaled."""
-    sums = [F.struct(F.avg(c).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in COMPONENTS]
-    rows = best_scores(spark, d).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), *sums)
-    return rows.select("qid", "n", *[F.round(rank.minmax(F.col(f"{c}.mean"), F.col(f"{c}.low"), F.col(f"{c}.high"), 1e-12), 6).alias(c) for c in COMPONENTS])
+    """Mean of every component after min-max scaling within the question. Rows are scaled first, as a scaled mean rounds otherwise at the sixth place."""
+    scaled = rank.minmax_scaled(best_scores(spark, d).select("qid", *COMPONENTS), "qid", COMPONENTS, 1e-12)
+    return scaled.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in COMPONENTS])
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:

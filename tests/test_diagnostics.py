@@ -51,3 +51,11 @@ def test_correlation_of_a_constant_component_is_zero(spark, tmp_path):
     d = scored(spark, tmp_path, {"Q1": [(0.3, 0.1, 0.0), (0.3, 0.5, 0.0)], "Q2": [(0.3, 0.1, 0.0)], "Q3": [(0.1, 0.2, 0.0), (0.2, 0.4, 0.0)], "Q4": [(0.2, 0.7, 0.0)] * 3})
     got = {r["qid"]: r["correlation"] for r in registry.QUERIES["component_correlation"](spark, d).collect()}
     assert got == {"Q1": 0.0, "Q2": 0.0, "Q3": 1.0, "Q4": 0.0}
+
+
+def test_scaled_components_round_as_the_mean_of_scaled_rows(spark, tmp_path):
+    """In every order of the rows the mean of the scaled values ends in 8125, the scaled mean just below."""
+    from caseloom.plans import registry
+
+    d = scored(spark, tmp_path, {"Q1": [(v, 0.5, 0.0) for v in (0.411, 0.733, 0.435, 0.093)]})
+    assert [tuple(r) for r in registry.QUERIES["minmax_components"](spark, d).collect()] == [("Q1", 4, 0.507813, 0.0, 0.0)]

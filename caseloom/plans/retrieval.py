@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.vectors import label_similarity, label_weights
 from caseloom.functions.text import token_set
-from caseloom.operators import agent, chunks, evidence, metrics, rank, relevance, search
+from caseloom.operators import agent, chunks, evidence, metrics, rank, relevance, search, top_texts
 from caseloom.plans.text import _clean, _sentences, _tokens
 from caseloom.session import table
 
@@ -36,7 +36,7 @@ def component_ranks(best: DataFrame, k: int) -> DataFrame:
 
 def bm25_top_documents(spark: SparkSession, d: str) -> DataFrame:
     asked, docs = asked_questions(spark, d), table(spark, d, "documents")
-    scores = search.bm25_scores(asked, docs, "qid", "question", "doc_id", "text")
+    scores = top_texts.top_bm25(asked, docs, "qid", "question", "doc_id", "text", 5)
     top = search.top_with_fill(scores, asked, docs, "qid", "doc_id", 5)
     return top.select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 

@@ -44,7 +44,7 @@ def bm25_top_documents(spark: SparkSession, d: str) -> DataFrame:
 def tfidf_top_reports(spark: SparkSession, d: str) -> DataFrame:
     asked = asked_questions(spark, d)
     reports = table(spark, d, "paired_cases").groupBy("study_id").agg(F.min(F.concat_ws(" ", "findings", "impression")).alias("report"))
-    scores = search.tfidf_scores(asked, reports, "qid", "question", "study_id", "report")
+    scores = top_texts.top_tfidf(asked, reports, "qid", "question", "study_id", "report", 5)
     top = rank.ranked(scores.withColumn("score", F.round("score", 9)), "qid", "study_id", "score", 5)
     return top.select("qid", "rank", "study_id", F.round("score", 6).alias("score"))
 

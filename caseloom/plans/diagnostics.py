@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.text import ascii_tokens, clean_text
 from caseloom.functions.vectors import cosine
-from caseloom.operators import agent, chunks, evidence, metrics, rank, search
+from caseloom.operators import agent, chunks, evidence, metrics, rank, search, top_texts
 from caseloom.plans.evaluation import _CHECKS, first_rows, sentence_checks
 from caseloom.plans.retrieval import _ASKED, _BEST, _LONG, _bm25, asked_questions, best_scores, case_labels, component_ranks
 from caseloom.plans.text import _INTENT, _clean, _sentences, _tokens
@@ -52,7 +52,7 @@ def leave_one_out_bm25(spark: SparkSession, d: str) -> DataFrame:
     """The five best reports for the impression of every study whose number is divisible by 100, with statistics of all other reports."""
     reports = table(spark, d, "paired_cases").groupBy("study_id").agg(F.min(F.concat_ws(" ", "findings", "impression")).alias("report"), F.min("impression").alias("impression"))
     asked = reports.where(F.substring("study_id", 3, 20).cast("long") % 100 == 0).select(F.col("study_id").alias("query_id"), "impression")
-    scores = search.leave_one_out_scores(asked, reports, "query_id", "impression", "study_id", "report")
+    scores = top_texts.top_leave_one_out(asked, reports, "query_id", "impression", "study_id", "report", 5)
     top = rank.ranked(scores.withColumn("score", F.round("score", 9)), "query_id", "study_id", "score", 5)
     return top.select("query_id", "rank", "study_id", F.round("score", 6).alias("score"))
 

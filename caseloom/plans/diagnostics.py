@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.text import ascii_tokens, clean_text
+from caseloom.functions.text import ascii_tokens, capital_sentences, clean_text
 from caseloom.functions.vectors import cosine
-from caseloom.operators import agent, chunks, evidence, metrics, rank, search, top_texts
+from caseloom.operators import agent, evidence, metrics, rank, top_texts
 from caseloom.plans.evaluation import _CHECKS, first_rows, sentence_checks
 from caseloom.plans.retrieval import _ASKED, _BEST, _LONG, _bm25, asked_questions, best_scores, case_labels, component_ranks
 from caseloom.plans.text import _INTENT, _clean, _sentences, _tokens
@@ -60,9 +60,8 @@ def leave_one_out_bm25(spark: SparkSession, d: str) -> DataFrame:
 def chunk_maximum(spark: SparkSession, d: str) -> DataFrame:
     """The five best studies of the asked questions, a study counting with its best sentence."""
     rows = table(spark, d, "paired_cases").groupBy("study_id").agg(F.min("findings").alias("findings"), F.min("impression").alias("impression"))
-    parts = chunks.section_chunks(rows, "study_id", ["findings", "impression"])
-    scores = search.bm25_scores(asked_questions(spark, d), parts, "qid", "question", "chunk_id", "text")
-    best = scores.groupBy("qid", F.substring_index("chunk_id", "::", 1).alias("study_id")).agg(F.round(F.max("score"), 9).alias("score"))
+    parts = rows.select("study_id", F.concat(capital_sentences(F.col("findings")), capital_sentences(F.col("impression"))).alias("sentences"))
+    best = top_texts.top_bm25_by_part(asked_questions(spark, d), parts, "qid", "question", "study_id", "sentences", 5)
     top = rank.ranked(best, "qid", "study_id", "score", 5)
     return top.select("qid", "rank", "study_id", F.round("score", 6).alias("score"))
 

@@ -90,6 +90,67 @@ def report_bags(reports: DataFrame) -> DataFrame:
     return reports.select("study_id", "findings", "impression").mapInArrow(cut, "study_id string, class_id binary, items array<long>")
 
 
+def marked(numbers: DataFrame) -> dict[int, bytes]:
+    """A set of row numbers as bitmaps of 32,768 numbers each: a bit a report at most, so that it can be broadcast."""
+    place = F.col("number") + 1  # Spark's buckets begin at 1
+    got = numbers.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
+    return dict(zip((b - 1 for b in got.column("b").to_pylist()), got.column("bits").to_pylist()))
+
+
+def _holds(bitmaps: dict[int, bytes], numbers: np.ndarray) -> np.ndarray:
+    buckets = numbers >> 15
+    out = np.zeros(len(numbers), bool)
+    for b in np.unique(buckets):
+        if b in bitmaps:
+            rows = buckets == b
+            out[rows] = np.unpackbits(np.frombuffer(bitmaps[b], np.uint8), bitorder="little")[numbers[rows] & 32767]
+    return out
+
+
+def picked(reports: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(number, class_id, items) of the reports with these numbers; they are picked where reports are read, so that no other items move."""
+    shared = reports.sparkSession.sparkContext.broadcast(marked(numbers))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_holds(shared.value, batch.column(0).to_numpy())))
+
+    return reports.select("number", "class_id", "items").mapInArrow(pick, "number long, class_id binary, items array<long>")
+
+
+def short_marks(bags: DataFrame) -> DataFrame:
+    """(number, marks): the first 16 bits of every item of a bag, as sorted binary, a quarter of the items' size."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [(bag.values.to_numpy().view(np.uint64) >> np.uint64(48)).astype("<u2").tobytes() for bag in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["number", "marks"])
+
+    return bags.select("number", "items").mapInArrow(cut, "number long, marks binary")
+
+
+def possible_pairs(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """The pairs (x, y) whose bags can have a Jaccard similarity of `least`: equal items have equal marks, so common marks, as often as both bags hold them, are no fewer than common items."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                bags, sizes = [], []
+                for c in (2, 3):
+                    size = np.array([len(v) // 2 for v in batch.column(c).to_pylist()], np.int64)
+                    values = np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").astype(np.int64)
+                    bags.append(np.unique((np.repeat(np.arange(len(size)), size) << 16) | values, return_counts=True))
+                    sizes.append(size)
+                both, i, j = np.intersect1d(bags[0][0], bags[1][0], assume_unique=True, return_indices=True)
+                common = np.bincount(both >> 16, np.minimum(bags[0][1][i], bags[1][1][j]), batch.num_rows)
+                fits = common / np.maximum(sizes[0] + sizes[1] - common, 1) >= least
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fits)) for c in (0, 1)], names=["x", "y"])
+
+    held = pairs.join(marks.select(F.col("number").alias("x"), F.col("marks").alias("a")), "x").join(marks.select(F.col("number").alias("y"), F.col("marks").alias("b")), "y")
+    return held.select("x", "y", "a", "b").mapInArrow(test, "x long, y long")
+
+
 def class_bands(classes: DataFrame, seed: int = 7) -> DataFrame:
     """(number, band) with BANDS rows of each class; classes has number and items."""
     draws = np.random.default_rng(seed)
@@ -115,17 +176,21 @@ def study_sides(splits: DataFrame, train: str, evaluation: list[str]) -> DataFra
     return rows.withColumn("is_train", F.col("split_name") == train)
 
 
-def similar_classes(classes: DataFrame, least: float) -> DataFrame:
+def similar_classes(reports: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs (train_class, eval_class, jaccard) of different bags whose exact Jaccard similarity is at least `least`.
 
-    classes has class_id, number (unique, for short keys), items, in_train, in_eval. Only pairs across the sides are formed: the
-    join of a bucket is between its train and its evaluation classes.
+    reports has number (unique, for short keys), class_id, items; classes has the number of one report of each class, in_train, in_eval. Only pairs across the sides are formed: the
+    join of a bucket is between its train and its evaluation classes. Most pairs of a bucket aren't similar: short marks of
+    the bags leave those that can be, and the items move for these only.
     """
-    train, test = classes.where("in_train"), classes.where("in_eval")
-    left, right = class_bands(train).select("band", F.col("number").alias("x")), class_bands(test).select("band", F.col("number").alias("y"))
-    pairs = left.join(right, "band").where("x <> y").select("x", "y").distinct()
-    both = pairs.join(train.select(F.col("number").alias("x"), F.col("class_id").alias("train_class"), F.col("items").alias("a")), "x")
-    both = both.join(test.select(F.col("number").alias("y"), F.col("class_id").alias("eval_class"), F.col("items").alias("b")), "y")
+    sides = [class_bands(picked(reports, classes.where(side).select("number"))) for side in ("in_train", "in_eval")]
+    left, right = sides[0].select("band", F.col("number").alias("x")), sides[1].select("band", F.col("number").alias("y"))
+    pairs = stored(left.join(right, "band").where("x <> y").select("x", "y").distinct(), "candidates")
+    marks = short_marks(picked(reports, pairs.select(F.explode(F.array("x", "y")).alias("number"))))
+    pairs = stored(possible_pairs(pairs, marks, least), "possible")
+    bags = picked(reports, pairs.select(F.explode(F.array("x", "y")).alias("number")))
+    both = pairs.join(bags.select(F.col("number").alias("x"), F.col("class_id").alias("train_class"), F.col("items").alias("a")), "x")
+    both = both.join(bags.select(F.col("number").alias("y"), F.col("class_id").alias("eval_class"), F.col("items").alias("b")), "y")
     common = F.size(F.array_intersect("a", "b"))
     sized = both.select("train_class", "eval_class", common.alias("i"), (F.size("a") + F.size("b")).alias("n"))
     return sized.select("train_class", "eval_class", (F.col("i") / (F.col("n") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= least)
@@ -149,12 +214,12 @@ class Overlap:
     def __init__(self, cases: DataFrame, splits: DataFrame, clusters: DataFrame, train: str = "train", evaluation: tuple[str, ...] = EVALUATION, least: float = 0.8):
         sides = study_sides(splits, train, list(evaluation))
         reports = cases.select(shared_key(F.col("study_id")).alias("study_id"), "findings", "impression")
-        signed = stored(report_bags(reports.join(sides.select("study_id").distinct(), "study_id", "left_semi")), "reports")
-        written = signed.select("study_id", "class_id").distinct().join(sides, "study_id")
-        flags = written.groupBy("class_id").agg(F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-        bags = signed.groupBy("class_id").agg(F.first("items").alias("items"))
-        bags = stored(bags.join(flags, "class_id").withColumn("number", F.monotonically_increasing_id()), "bags")
-        near = similar_classes(bags, least).select("train_class", "eval_class")
+        # reports without a split are cut as well, which is cheaper than a shuffle of all texts
+        signed = stored(report_bags(reports).withColumn("number", F.monotonically_increasing_id()), "reports")
+        written = signed.groupBy("study_id", "class_id").agg(F.min("number").alias("number")).join(sides, "study_id")
+        flags = written.groupBy("class_id").agg(F.min("number").alias("number"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
+        flags, written = stored(flags, "classes"), written.drop("number")
+        near = similar_classes(signed, flags, least).select("train_class", "eval_class")
         same = flags.where("in_train and in_eval").select(F.col("class_id").alias("train_class"), F.col("class_id").alias("eval_class"))
         listed = clusters.select(shared_key(F.col("case_id")).alias("study_id"), F.encode("cluster_id", "utf-8").alias("key")).where("key is not null").distinct()
         placed = listed.join(sides, "study_id")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from caseloom.llm.overlap import cross_split_pairs, overlap_report
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -86,3 +88,28 @@ def test_report_counts_the_listed_pairs(spark):
             part.add(value)
     got = {(r["split_name"], r["source"]): (r["n_pairs"], r["n_train_studies"], r["n_eval_studies"]) for r in overlap_report(cases, sides, clusters).collect()}
     assert got == {k: tuple(map(len, v)) for k, v in want.items()} and len(got) > 4
+
+
+def test_short_marks_keep_every_similar_pair(spark):
+    """Bags with equal marks of different items, and pairs around the threshold; what marks can't tell is left for the items."""
+    import numpy as np
+    from caseloom.llm.overlap import marked, picked, possible_pairs, short_marks, _holds
+
+    draw = np.random.default_rng(3)
+    bags = {}
+    for i in range(0, 120, 2):
+        a = np.sort(draw.integers(0, 2**64, 50, dtype=np.uint64) & np.uint64(0x000FFFFFFFFFFFFF if i % 3 == 0 else 0xFFFFFFFFFFFFFFFF))  # every third has 16 different marks at most
+        b = a.copy()
+        b[: draw.integers(0, 15)] ^= np.uint64(1 << 60) | np.uint64(5)
+        bags[i], bags[i + 1] = a, np.sort(b)
+    shift = 40_000  # numbers of several bitmaps
+    rows = [(int(i * shift), b"c", [int(v) for v in x.view(np.int64)]) for i, x in bags.items()]
+    df = spark.createDataFrame(rows, "number long, class_id binary, items array<long>")
+    pairs = spark.createDataFrame([(i * shift, j * shift) for i in bags for j in bags if i < j], "x long, y long")
+    got = {(r["x"] // shift, r["y"] // shift) for r in possible_pairs(pairs, short_marks(df), 0.8).collect()}
+    share = lambda a, b: len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+    want = {(i, j) for i in bags for j in bags if i < j and share(bags[i], bags[j]) >= 0.8}
+    assert want <= got and len(got) < 200
+    some = df.where(F.col("number") % 80_000 == 0).select("number")
+    assert {r["number"] for r in picked(df, some).collect()} == {i * shift for i in bags if i % 2 == 0}
+    assert _holds(marked(some), np.array([0, 1, 80_000, 40_000])).tolist() == [True, False, True, False]

@@ -16,9 +16,8 @@ DIMENSION = 64
 LENGTH = 8  # pivots of a vector's permutation prefix
 POSTED = 4  # files in which a vector is posted, by its nearest pivots
 ASKED = 3  # files that a vector asks
-CHUNK = 2048  # most vectors of a file that meet in one block
-SHORTLIST, SHARE = 64, 0.5  # cases of a block that are reranked: at least so many, and at least this share
-MOST_PIVOTS = 65_536  # a broadcast of 17 MB a view; from 270 million vectors on, files grow and are split by second pivots
+CHUNK = 8192  # most vectors of a file that meet in one block: it bounds a task's memory, and no result depends on it
+MOST_PIVOTS = 65_536  # a broadcast of 17 MB a view; from 270 million vectors on, files grow faster
 
 
 def usable_vectors(table: DataFrame, case: str, columns: dict[str, str], dimension: int = DIMENSION) -> DataFrame:
@@ -96,7 +95,7 @@ def permutations(classes: DataFrame, pivots: dict[str, np.ndarray]) -> DataFrame
 
 
 def footrule_agreement(asking: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """How near permutation prefixes are: the higher, the smaller Spearman's footrule, where a pivot beyond a prefix stands right behind it.
+    """A measure of permutation prefixes, which cuts no result: how near they are, the higher, the smaller Spearman's footrule, where a pivot beyond a prefix stands right behind it.
 
     A pivot at place p weighs width - p. The footrule is the sum of differences of weights, which is a constant less twice the sum of smaller weights.
     """
@@ -111,16 +110,14 @@ def footrule_agreement(asking: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def nearest_in_block(block: pa.Table, k: int) -> pa.Table:
-    """One block of one pivot file: the cases nearest to every asking vector by footrule, and of those the k + 1 best by exact cosine.
+    """One block of one pivot file: the k + 1 best cases of every asking vector by exact cosine, over all members of the block.
 
-    A case counts with its best vector in either ranking, and cases of equal footrule are all kept, so that a case of many vectors takes one place. One more than k, as the asking case may be
-    among them. The cosines of a block are one matrix product, which is cheaper than looking up the vectors that are on the shortlist.
+    A case counts with its best vector. One more than k, as the asking case may be among them. Nothing is left out by rank within a block, so the blocks of a file give what the
+    whole file would give. The cosines of a block are one matrix product.
     """
     ids = block.column("class_id").to_numpy()
     roles = block.column("role").to_numpy()
     vec = _matrix(block.column("vec").combine_chunks(), DIMENSION).astype(np.float64)
-    perm = block.column("perm").combine_chunks()
-    perm = _matrix(perm, len(perm[0]))
     asks, holds = np.flatnonzero(roles & 1), np.flatnonzero(roles & 2)
     view = block.column("view_name")[0].as_py()
     lists = block.column("cases").take(holds).combine_chunks()
@@ -130,7 +127,6 @@ def nearest_in_block(block: pa.Table, k: int) -> pa.Table:
     of = np.array([place[c] for c in lists.flatten().to_pylist()], np.int64)
     turn = np.argsort(of, kind="stable")
     row, starts = row[turn], np.searchsorted(of[turn], np.arange(len(names)))
-    listed = max(SHORTLIST, k + 1, int(np.ceil(SHARE * len(names))))
     classes, cases, cosines = [], [], []
     for begin in range(0, len(asks), 128):
         rows = asks[begin : begin + 128]
@@ -139,9 +135,6 @@ def nearest_in_block(block: pa.Table, k: int) -> pa.Table:
         cosine = np.round(vec[rows] @ vec[holds].T, 7)
         cosine[ids[rows][:, None] == ids[holds][None, :]] = 1.0
         best = np.maximum.reduceat(cosine[:, row], starts, axis=1)  # of each case its best vector
-        if listed < len(names):
-            near = np.maximum.reduceat(footrule_agreement(perm[rows], perm[holds])[:, row], starts, axis=1)
-            best[near < np.partition(near, len(names) - listed, axis=1)[:, len(names) - listed, None]] = -2.0
         # names ascend, so equal cosines go by the smaller case
         order = np.round(best * 1e7).astype(np.int64) * len(names) - np.arange(len(names))
         width = min(k + 1, len(names))
@@ -161,38 +154,17 @@ def nearest_in_block(block: pa.Table, k: int) -> pa.Table:
     )
 
 
-def _posted(indexed: DataFrame) -> DataFrame:
-    return indexed.select("*", F.posexplode(F.slice("perm", 1, POSTED)).alias("place", "pivot"))
-
-
-def hot_files(indexed: DataFrame) -> DataFrame:
-    """(view_name, pivot, hot) of the files of more than CHUNK members."""
-    sizes = _posted(indexed.select("view_name", "perm")).groupBy("view_name", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.where(F.col("n") > CHUNK).select("view_name", "pivot", F.lit(True).alias("hot"))
-
-
-def pivot_posts(indexed: DataFrame, hot: DataFrame) -> DataFrame:
-    """(view_name, pivot, second, role, ...): in which files a vector is posted (role & 2) and which it asks (role & 1).
-
-    A vector is posted in the files of its first POSTED pivots and asks those of its first ASKED. A file of more than CHUNK members is split by the
-    member's nearest other pivot, and asked under the ASKED nearest other pivots of the asker; second is -1 where a file isn't split.
-    """
-    posts = _posted(indexed).join(hot, ["view_name", "pivot"], "left")
-    others = F.filter("perm", lambda p: p != F.col("pivot"))
-    asking = F.col("place") < ASKED
-    own = F.when(asking, 3).otherwise(2)
-    files = F.transform(F.slice(others, 1, ASKED), lambda p, i: F.struct(p.alias("second"), F.when(i == 0, own).otherwise(1).alias("role")))
-    files = F.when(F.col("hot") & (F.size(others) > 0), F.filter(files, lambda f: asking | (f["role"] > 1))).otherwise(F.array(F.struct(F.lit(-1).alias("second"), own.alias("role"))))
-    return posts.select("*", F.explode(files).alias("f")).select(*indexed.columns, "pivot", "f.second", "f.role")
+def pivot_posts(indexed: DataFrame) -> DataFrame:
+    """indexed with pivot and role: a vector is posted in the files of its first POSTED pivots (role & 2) and asks those of its first ASKED (role & 1), whatever their size."""
+    return indexed.select("*", F.posexplode(F.slice("perm", 1, POSTED)).alias("place", "pivot")).withColumn("role", F.when(F.col("place") < ASKED, 3).otherwise(2)).drop("place")
 
 
 def similar_cases(classes: DataFrame, k: int, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """(view_name, class_id, neighbour_id, cosine) with about the k + 1 nearest distinct cases of every vector of a view; classes has view_name, class_id, vec, cases.
 
     Each vector is written as the ordered numbers of its LENGTH nearest pivots and posted in the files
-    of the first POSTED; it asks the files of its first ASKED pivots, ranks their members by footrule and reranks the best by exact cosine. Files that even
-    their second pivots leave with more than CHUNK members are cut into chunks by hash, and every chunk of
-    askers meets every chunk of members, so that nothing is dropped.
+    of the first POSTED; it asks the files of its first ASKED pivots and compares all their members by exact cosine. Files of more than CHUNK members are cut into chunks by hash, and every chunk of
+    askers meets every chunk of members, so that nothing is dropped and results don't depend on the cut.
     """
     counts = {r["view_name"]: r["n"] for r in classes.groupBy("view_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     kind = "view_name string, class_id long, neighbour_id string, cosine double"
@@ -201,20 +173,17 @@ def similar_cases(classes: DataFrame, k: int, most_pivots: int = MOST_PIVOTS) ->
         return spark.createDataFrame([], kind)
     pivots = {v: choose_pivots(classes, v, n, most_pivots) for v, n in counts.items()}
     indexed = stored(permutations(classes.select("view_name", "class_id", "vec", "cases"), pivots), "permutations")
-    # the two tables of hot files are stored, so that Spark knows how small they are before the vectors move
-    hot = stored(hot_files(indexed), "hot")
-    sizes = pivot_posts(indexed.select("view_name", "perm"), hot).where(F.col("role") > 1)
-    files = sizes.groupBy("view_name", "pivot", "second").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    files = stored(files.where("chunks > 1"), "files")
-    posts = pivot_posts(indexed, hot).join(files, ["view_name", "pivot", "second"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    files = pivot_posts(indexed.select("view_name", "perm")).groupBy("view_name", "pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    files = stored(files.where("chunks > 1"), "files")  # so that Spark knows how small it is before the vectors move
+    posts = pivot_posts(indexed).join(files, ["view_name", "pivot"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    asks = F.transform(every, lambda c: F.struct(own.alias("asker"), c.alias("member"), F.when((c == own) & (F.col("role") > 1), 3).otherwise(1).alias("role")))
+    asks = F.transform(every, lambda c: F.struct(own.alias("asker"), c.alias("member"), F.when(c == own, 3).otherwise(1).alias("role")))
     holds = F.transform(every, lambda c: F.struct(c.alias("asker"), own.alias("member"), F.lit(2).alias("role")))
-    both = F.when(F.col("role") == 2, holds).when(F.col("role") == 1, asks).otherwise(F.concat(asks, F.filter(holds, lambda s: s["asker"] != own)))
-    blocks = posts.select("view_name", "pivot", "second", "class_id", "vec", "perm", "cases", F.explode(both).alias("b"))
-    blocks = blocks.select("view_name", "pivot", "second", "b.asker", "b.member", "b.role", "class_id", "vec", "perm", "cases")
-    found = blocks.groupBy("view_name", "pivot", "second", "asker", "member").applyInArrow(lambda block: nearest_in_block(block, k), kind)
+    both = F.when(F.col("role") == 2, holds).otherwise(F.concat(asks, F.filter(holds, lambda s: s["asker"] != own)))
+    blocks = posts.select("view_name", "pivot", "class_id", "vec", "cases", F.explode(both).alias("b"))
+    blocks = blocks.select("view_name", "pivot", "b.asker", "b.member", "b.role", "class_id", "vec", "cases")
+    found = blocks.groupBy("view_name", "pivot", "asker", "member").applyInArrow(lambda block: nearest_in_block(block, k), kind)
     return found.where(F.col("cosine") >= -1.5).groupBy("view_name", "class_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
 
 

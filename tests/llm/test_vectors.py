@@ -98,3 +98,16 @@ def test_footrule():
 
     want = np.array([[footrule(a, b) for b in perms[:20]] for a in perms])
     assert (2 * (15 - footrule_agreement(perms, perms[:20]).astype(int)) == want).all()
+
+
+def test_results_do_not_depend_on_the_size_of_files(spark, monkeypatch):
+    """Files as a whole, and cut into chunks: the same neighbours."""
+    from caseloom.llm import vectors
+
+    x = clustered(900, 6)
+    rows = [(f"S{i:05}", [float(v) for v in x[i]], None) for i in range(len(x))]
+    found = []
+    for chunk in (20, 100_000):
+        monkeypatch.setattr(vectors, "CHUNK", chunk)
+        found.append(sorted((r["case_id"], r["neighbour_id"], round(r["cosine"], 5)) for r in run(spark, rows, most_pivots=40).collect()))
+    assert found[0] == found[1] and len(found[0]) == 5 * len(x)

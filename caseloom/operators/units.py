@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom.functions.text import clean_text, normalized_key, plain_sentences
-from caseloom.operators.rank import ranked
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"  # fixed value: what a term of a unit is
 
@@ -33,34 +38,58 @@ def case_units(cases: DataFrame, key: str, sections: list[str], facts: str | Non
     return rows.withColumn("provenance_id", F.format_string("%s::%s::%04d", F.col("case_id"), F.col("section"), F.col("unit_index")))
 
 
-def _grams(text: Column) -> Column:
-    """Terms and pairs of adjacent terms."""
-    t = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    n = F.size(t) - 1
-    pairs = F.when(n > 0, F.zip_with(F.slice(t, 1, F.greatest(n, F.lit(0))), F.slice(t, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(t, pairs)
-
-
 def ranked_units(asked: DataFrame, units: DataFrame, k: int | None = None) -> DataFrame:
     """(qid, case_id, provenance_id, section, unit_index, text, score, rank) of the units of every asked case, best first, ties by provenance.
 
-    asked has qid, case_id, query. The score is the cosine of TF-IDF vectors of terms and term pairs, tf as 1 + ln tf, with statistics over the query and the
-    units of the one case: everything is grouped by question and case, so a question costs what its case holds. Units without a common term score 0; an empty query scores all 0.
+    asked has qid, case_id, query, a pair of qid and case_id once. The score is the cosine of TF-IDF vectors of terms and term pairs, tf as 1 + ln tf, with statistics over the query and the
+    units of the one case. A case's units, which come from one report, lie in one row, and so does all that a question asks of it: terms are never rows of a table. Units without a common term score 0; an empty query scores all 0.
     """
-    pairs = asked.select("qid", "case_id", "query").join(units, "case_id")
-    keys = ["qid", "case_id"]
-    texts = pairs.select(*keys, "provenance_id", "text").unionByName(pairs.select(*keys, F.lit("").alias("provenance_id"), F.col("query").alias("text")).distinct())
-    tf = texts.select(*keys, "provenance_id", F.explode(_grams(F.coalesce("text", F.lit("")))).alias("g")).groupBy(*keys, "provenance_id", "g").agg(F.count(F.lit(1)).alias("tf"))
-    size = texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("df"), F.max(F.when(F.col("provenance_id") == "", F.col("tf"))).alias("qtf")).join(size, keys)
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    known = df.select(*keys, "g", idf.alias("idf"), (F.when(F.col("qtf").isNotNull(), (1 + F.log("qtf")) * idf).otherwise(0.0)).alias("qw"))
-    weighed = tf.join(known, [*keys, "g"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    sums = weighed.groupBy(*keys, "provenance_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    query = sums.where("provenance_id = ''").select(*keys, F.col("norm").alias("qnorm"))
-    scored = sums.where("provenance_id <> ''").join(query, keys).select(*keys, "provenance_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
-    whole = pairs.join(scored, [*keys, "provenance_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
-    return ranked(whole.select(*keys, "provenance_id", "section", "unit_index", "text", "score"), "qid", "provenance_id", "score", k, ["case_id"])
+    held = units.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("provenance_id", "section", "unit_index", "text"))).alias("units"))
+    terms = lambda text: F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    rows = asked.select("qid", "case_id", "query").join(held, "case_id")
+    rows = rows.select("qid", "case_id", "units", F.concat(F.transform("units", lambda u: terms(u["text"])), F.array(terms(F.col("query")))).alias("terms"))
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("score", T.ArrayType(T.DoubleType())), T.StructField("rank", T.ArrayType(T.IntegerType()))])
+    found = rows.mapInArrow(_scored, schema).select("qid", "case_id", F.inline(F.arrays_zip("units", "score", "rank")).alias("unit", "score", "rank"))
+    found = found if k is None else found.where(F.col("rank") <= k)
+    return found.select("qid", "case_id", "unit.provenance_id", "unit.section", "unit.unit_index", "unit.text", "score", "rank")
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scores and ranks of each row's units: terms of a row are those of its units, then those of its query."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            sizes = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = batch.column(3).flatten()
+            row, query = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - 1
+            lengths = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = texts.flatten().dictionary_encode()
+            number, width = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary) + 1
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            beside = text[1:] == text[:-1]
+            grams = np.concatenate([number, ((number[:-1] + 1) * width + number[1:])[beside]])
+            text = np.concatenate([text, text[1:][beside]])
+            grams, gram = np.unique(grams, return_inverse=True)
+            many = max(len(grams), 1)
+            entry, tf = np.unique(text * many + gram, return_counts=True)
+            text, gram = entry // many, entry % many
+            owner, own, df = np.unique(row[text] * many + gram, return_inverse=True, return_counts=True)
+            idf = np.log((1 + sizes[owner // many]) / (1 + df)) + 1
+            w = (1 + np.log(tf)) * idf[own]
+            of_query = text == query[row[text]]
+            asked = np.zeros(len(owner))
+            asked[own[of_query]] = w[of_query]
+            norm, dot = (np.bincount(text, x, len(lengths)) for x in (w * w, w * asked[own]))
+            norm = np.sqrt(norm)
+            both = norm * norm[query[row]]
+            score = np.round(np.divide(dot, both, out=np.zeros(len(both)), where=both > 0), 9)
+            unit = np.ones(len(lengths), bool)
+            unit[query] = False
+            score, row = score[unit], row[unit]
+            rank = np.empty(len(row), np.int32)
+            rank[np.lexsort((np.arange(len(row)), -score, row))] = np.arange(len(row)) - np.repeat(np.cumsum(sizes - 1) - sizes + 1, sizes - 1) + 1
+            ends = pa.array(np.append(0, np.cumsum(sizes - 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(ends, pa.array(score)), pa.ListArray.from_arrays(ends, pa.array(rank))], names=["qid", "case_id", "units", "score", "rank"])
 
 
 def _fold(units: Column, most: Column | int, characters: Column, start_used: Column, distinct: bool) -> Column:

@@ -114,3 +114,15 @@ def test_staged_output(spark):
     assert (got["foreign"]["uncertainty"], got["foreign"]["answer_stage_valid"], got["foreign"]["support_stage_valid"], got["foreign"]["evidence_abstained"]) == ("high", False, False, True)
     assert got["bare"]["answer"] == "no json" and got["null"]["answer"] == output.NO_ANSWER
     assert got["quiet"]["evidence_abstained"] and got["quiet"]["support_stage_valid"] and not got["quiet"]["historical_support"]
+
+
+def test_terms_of_units_are_no_rows(spark):
+    """Units of an asked case are scored in one row: nothing is exploded to terms or joined on them."""
+    from caseloom.operators import units
+
+    cases = spark.createDataFrame([("S1", "Clear lung. Small nodule."), ("S2", "Clear heart.")], "s string, findings string")
+    asked = spark.createDataFrame([("q", "S1", "nodule of the lung"), ("q", "S2", None), ("r", "S1", "nodule of the lung")], "qid string, case_id string, query string")
+    ranks = units.ranked_units(asked, units.case_units(cases, "s", ["findings"]))
+    assert ranks._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = {(r["qid"], r["case_id"], r["unit_index"]): (r["rank"], r["score"] > 0) for r in ranks.collect()}
+    assert got == {("q", "S1", 0): (1, True), ("q", "S1", 1): (2, True), ("q", "S2", 0): (1, False), ("r", "S1", 0): (1, True), ("r", "S1", 1): (2, True)}
